@@ -1 +1,129 @@
-"""Registered queries."""
+"""Registered statistics queries (A11, A13-A17, A23, A25) and oracles."""
+
+from __future__ import annotations
+
+from ..operators import clean, stats
+from .common import listings, market as market_df
+from .oracle import with_listings, with_market
+from .registry import register
+
+CORR_COLS = ["price", "powerPS", "kilometer", "age"]
+
+
+def _pearson_long_sql(source: str, cols: list[str]) -> str:
+    parts = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            val = "any_value(CAST(1.0 AS DOUBLE))" if i == j else f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6)"
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {val} AS corr, "
+                         f"{str(i > j).lower()} AS lower_triangle FROM {source}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("box_stats", with_market("""
+WITH q AS (SELECT vehicleType, count(*) AS count, quantile_cont(price, 0.25) AS q1,
+                  quantile_cont(price, 0.5) AS median, quantile_cont(price, 0.75) AS q3
+           FROM market WHERE price IS NOT NULL GROUP BY vehicleType),
+     b AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT b.vehicleType, any_value(b.count) AS count, round(any_value(b.q1), 6) AS q1,
+       round(any_value(b.median), 6) AS median, round(any_value(b.q3), 6) AS q3,
+       round(min(CASE WHEN m.price >= b.lo AND m.price <= b.hi THEN m.price END), 6) AS whisker_low,
+       round(max(CASE WHEN m.price >= b.lo AND m.price <= b.hi THEN m.price END), 6) AS whisker_high,
+       count(*) FILTER (WHERE NOT (m.price >= b.lo AND m.price <= b.hi)) AS outliers
+FROM market m JOIN b ON m.vehicleType = b.vehicleType WHERE m.price IS NOT NULL
+GROUP BY b.vehicleType"""))
+def q_box_stats(spark, sf):
+    return stats.box_stats(market_df(spark, sf), "price", "vehicleType")
+
+
+@register("kde", with_market("""
+WITH v AS (SELECT CAST(price AS DOUBLE) AS x FROM market WHERE price IS NOT NULL),
+     s AS (SELECT count(*) AS n, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi FROM v),
+     s2 AS (SELECT n, lo, sd * pow(CAST(n AS DOUBLE), -0.2) AS h, (hi - lo) / 199 AS step FROM s),
+     c AS (SELECT x, count(*) AS k FROM v GROUP BY x),
+     g AS (SELECT CAST(range AS INT) AS i FROM range(200)),
+     t AS (SELECT g.i, s2.lo + g.i * s2.step AS gx, s2.n, s2.h,
+                  c.k * exp(-0.5 * ((s2.lo + g.i * s2.step - c.x) / s2.h) * ((s2.lo + g.i * s2.step - c.x) / s2.h)) AS contrib
+           FROM g CROSS JOIN s2 CROSS JOIN c)
+SELECT i AS point, round(any_value(gx), 6) AS x,
+       round(sum(contrib) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 12) AS density
+FROM t GROUP BY i"""))
+def q_kde(spark, sf):
+    return stats.kde(market_df(spark, sf), "price")
+
+
+@register("corr_pearson", with_market(_pearson_long_sql("market", CORR_COLS)))
+def q_corr_pearson(spark, sf):
+    return stats.corr_pearson(market_df(spark, sf), CORR_COLS)
+
+
+_RANKS = ", ".join(
+    f"CAST(rank() OVER (ORDER BY {c}) AS DOUBLE) + CAST(count(*) OVER (PARTITION BY {c}) - 1 AS DOUBLE) / 2 AS {c}"
+    for c in CORR_COLS)
+
+
+@register("corr_spearman", with_market(
+    f"WITH ranked AS (SELECT {_RANKS} FROM market)\n" + _pearson_long_sql("ranked", CORR_COLS)))
+def q_corr_spearman(spark, sf):
+    return stats.corr_spearman(market_df(spark, sf), CORR_COLS)
+
+
+@register("corr_kendall", with_listings("""
+WITH d AS (SELECT monthOfRegistration AS x, price AS y FROM listings
+           WHERE yearOfRegistration BETWEEN 1980 AND 2023
+             AND monthOfRegistration IS NOT NULL AND price IS NOT NULL),
+     c AS (SELECT x, y, count(*) AS n FROM d GROUP BY x, y),
+     cum AS (SELECT x, y, sum(n) OVER (PARTITION BY x ORDER BY y) AS upto FROM c),
+     lv AS (SELECT DISTINCT x AS lx FROM c),
+     probe AS (SELECT c.x, c.y, c.n, lv.lx FROM c CROSS JOIN lv WHERE lv.lx <> c.x),
+     hit AS (SELECT p.x, p.y, p.n, p.lx, coalesce(k.upto, 0) AS below
+             FROM probe p ASOF LEFT JOIN cum k ON k.x = p.lx AND p.y > k.y),
+     pr AS (SELECT sum(CASE WHEN lx < x THEN n * below ELSE 0 END) AS nc,
+                   sum(CASE WHEN lx > x THEN n * below ELSE 0 END) AS nd FROM hit),
+     tt AS (SELECT count(*) AS n FROM d),
+     tx AS (SELECT sum(t * (t - 1) / 2) AS tx FROM (SELECT count(*) AS t FROM d GROUP BY x) a),
+     ty AS (SELECT sum(t * (t - 1) / 2) AS ty FROM (SELECT count(*) AS t FROM d GROUP BY y) a)
+SELECT 'monthOfRegistration' AS col_a, 'price' AS col_b, CAST(nc AS BIGINT) AS concordant,
+       CAST(nd AS BIGINT) AS discordant,
+       round((nc - nd) / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) AS tau_b
+FROM pr, tt, tx, ty"""))
+def q_corr_kendall(spark, sf):
+    return stats.corr_kendall(clean.year_range(listings(spark, sf)), "monthOfRegistration", "price")
+
+
+SKEW_COLS = ["price", "powerPS", "kilometer", "age"]
+
+
+def _skew_sql(c: str) -> str:
+    return (f"SELECT '{c}' AS column_name, round(sqrt(count(*)) * sum(power(x - m, 3)) / "
+            f"power(sum(power(x - m, 2)), 1.5), 6) AS skewness FROM "
+            f"(SELECT CAST({c} AS DOUBLE) AS x, avg(CAST({c} AS DOUBLE)) OVER () AS m FROM market "
+            f"WHERE {c} IS NOT NULL) t")
+
+
+@register("skewness", with_market("\nUNION ALL\n".join(_skew_sql(c) for c in SKEW_COLS)))
+def q_skewness(spark, sf):
+    return stats.skewness_table(market_df(spark, sf), SKEW_COLS)
+
+
+OUTLIER_COLS = ["powerPS", "kilometer", "age"]
+
+
+def _outlier_sql(c: str) -> str:
+    return (f"SELECT '{c}' AS feature, round(lo, 6) AS lower, round(hi, 6) AS upper, "
+            f"(SELECT count(*) FROM market WHERE {c} < lo OR {c} > hi) AS outliers FROM "
+            f"(SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM "
+            f"(SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM market) q) b")
+
+
+@register("outlier_counts", with_market("\nUNION ALL\n".join(_outlier_sql(c) for c in OUTLIER_COLS)))
+def q_outlier_counts(spark, sf):
+    return stats.outlier_counts(market_df(spark, sf), OUTLIER_COLS)
+
+
+@register("ols_trend", with_market("""
+SELECT vehicleType, count(*) AS n, round(regr_slope(price, powerPS), 6) AS slope,
+       round(regr_intercept(price, powerPS), 6) AS intercept, round(regr_r2(price, powerPS), 6) AS r2
+FROM market GROUP BY vehicleType"""))
+def q_ols_trend(spark, sf):
+    return stats.ols_trend(market_df(spark, sf), "powerPS", "price", "vehicleType")
