@@ -1 +1,132 @@
-"""Registered queries."""
+"""Registered usage/quota queries (J1, J3, U1-U3, U7, W3, W4) and oracles.
+
+Test limits are small (minute 1, day 2/3/5) so every branch fires on the
+fixture: plans 1-2 come from the stored plan table, plan 3 only from the
+static table, plan 4 from neither (falls back to the default plan).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import usage as U
+from .common import AS_OF, usage
+from .oracle import with_usage
+from .registry import register
+
+# ---- fixed test values: stored plans and the static fallback table ----------
+DB_PLANS = [(1, "Free", 1, 2, 0.0), (2, "Basic", 1, 3, 9.99)]
+STATIC_PLANS = [(1, "Free", 1, 2, 0.0), (2, "Basic", 1, 3, 9.99), (3, "Premium", 1, 5, 19.99)]
+MAX_DAY_LIMIT = max(p[3] for p in DB_PLANS + STATIC_PLANS)
+
+
+def _values(plans) -> str:
+    return ", ".join(f"({p[0]}, '{p[1]}', {p[2]}, {p[3]}, {p[4]})" for p in plans)
+
+
+LIMITS_CTE = f"""
+db AS (SELECT * FROM (VALUES {_values(DB_PLANS)}) AS t(plan_id, plan_name, limit_per_minute, limit_per_day, monthly_price)),
+st AS (SELECT * FROM (VALUES {_values(STATIC_PLANS)}) AS t(plan_id, plan_name, limit_per_minute, limit_per_day, monthly_price)),
+users AS (SELECT DISTINCT user_id, subscription_plan_id FROM usage_log),
+lim AS (SELECT u.user_id, u.subscription_plan_id,
+               coalesce(db.limit_per_minute, st.limit_per_minute, (SELECT limit_per_minute FROM st WHERE plan_id = 1)) AS limit_per_minute,
+               coalesce(db.limit_per_day, st.limit_per_day, (SELECT limit_per_day FROM st WHERE plan_id = 1)) AS limit_per_day,
+               CASE WHEN db.plan_id IS NOT NULL THEN 'db' WHEN st.plan_id IS NOT NULL THEN 'static' ELSE 'default' END AS limit_source
+        FROM users u LEFT JOIN db ON u.subscription_plan_id = db.plan_id
+                     LEFT JOIN st ON u.subscription_plan_id = st.plan_id),
+pred AS (SELECT * FROM usage_log WHERE starts_with(endpoint, 'POST /predict') AND user_id IS NOT NULL)"""
+
+
+def _limits(spark, sf):
+    log = usage(spark, sf)
+    return U.plan_limits(U.users_from_log(log), U.plans_frame(spark, DB_PLANS),
+                         U.plans_frame(spark, STATIC_PLANS))
+
+
+@register("plan_limits", with_usage(f"WITH {LIMITS_CTE}\nSELECT * FROM lim"))
+def q_plan_limits(spark, sf):
+    return _limits(spark, sf)
+
+
+@register("quota_status", with_usage(f"""WITH {LIMITS_CTE},
+c AS (SELECT user_id, count(*) AS usage_day,
+             count(*) FILTER (WHERE request_timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 1 MINUTE) AS usage_minute
+      FROM pred WHERE request_timestamp >= date_trunc('day', TIMESTAMP '{AS_OF}')
+                  AND request_timestamp <= TIMESTAMP '{AS_OF}' GROUP BY user_id),
+j AS (SELECT lim.*, CAST(coalesce(c.usage_day, 0) AS BIGINT) AS d, CAST(coalesce(c.usage_minute, 0) AS BIGINT) AS m
+      FROM lim LEFT JOIN c ON lim.user_id = c.user_id),
+k AS (SELECT *, CASE WHEN d >= limit_per_day THEN 0 ELSE limit_per_minute END AS ml FROM j)
+SELECT user_id, subscription_plan_id, CAST(ml AS INT) AS limit_per_minute, CAST(limit_per_day AS INT) AS limit_per_day,
+       m AS usage_minute, d AS usage_day, CAST(greatest(0, ml - m) AS BIGINT) AS remaining_minute,
+       CAST(greatest(0, limit_per_day - d) AS BIGINT) AS remaining_day,
+       greatest(0, ml - m) > 0 AND greatest(0, limit_per_day - d) > 0 AS can_predict,
+       round(d / limit_per_day * 100, 6) AS pct_day_used
+FROM k"""))
+def q_quota_status(spark, sf):
+    return U.quota_status(usage(spark, sf), _limits(spark, sf), AS_OF)
+
+
+@register("quota_admission", with_usage(f"""WITH {LIMITS_CTE},
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(request_timestamp AS DATE)
+                                   ORDER BY request_timestamp, id) AS rn FROM pred)
+SELECT r.id, r.user_id, r.request_timestamp, lim.limit_per_day,
+       coalesce(r.rn - 1 < lim.limit_per_day, false) AS admitted,
+       CASE WHEN coalesce(r.rn - 1 < lim.limit_per_day, false) THEN r.status_code ELSE 429 END AS status_code
+FROM r LEFT JOIN lim ON r.user_id = lim.user_id"""))
+def q_quota_admission(spark, sf):
+    return U.quota_admission(usage(spark, sf), _limits(spark, sf), MAX_DAY_LIMIT)
+
+
+@register("minute_windows", with_usage("""
+SELECT user_id, time_bucket(INTERVAL 1 MINUTE, request_timestamp) AS window_start,
+       time_bucket(INTERVAL 1 MINUTE, request_timestamp) + INTERVAL 1 MINUTE AS window_end,
+       count(*) AS requests
+FROM usage_log WHERE starts_with(endpoint, 'POST /predict') AND user_id IS NOT NULL
+GROUP BY 1, 2, 3"""))
+def q_minute_windows(spark, sf):
+    return U.minute_windows(usage(spark, sf))
+
+
+@register("minute_usage", with_usage("""
+SELECT id, user_id, request_timestamp,
+       count(*) OVER (PARTITION BY user_id ORDER BY request_timestamp
+                      RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS requests_last_minute
+FROM usage_log WHERE starts_with(endpoint, 'POST /predict') AND user_id IS NOT NULL"""))
+def q_minute_usage(spark, sf):
+    return U.minute_usage(usage(spark, sf))
+
+
+def handled_requests(spark, sf):
+    """Handled HTTP requests as the middleware sees them, derived from events:
+    method/path from the event type, a forwarded-for header on some calls."""
+    from ..sources.tables import read_table
+    ev = read_table(spark, sf, "events")
+    is_view = F.col("event_type") == "view"
+    return ev.select(
+        F.col("user_id"),
+        F.when(is_view, "GET").otherwise("POST").alias("method"),
+        F.when(is_view, "/cached-predictions").otherwise("/predict").alias("path"),
+        F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
+        F.col("ts").cast("timestamp").alias("started_at"),
+        (F.col("value") / 1000).alias("elapsed_s"),
+        F.when(F.col("event_id") % 3 == 0,
+               F.concat(F.lit(" 10.1.0."), (F.col("user_id") % 250).cast("string"), F.lit(", 172.16.0.1")))
+         .alias("forwarded_for"),
+        F.concat(F.lit("192.168.0."), (F.col("user_id") % 250).cast("string")).alias("client_host"),
+        F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
+         .otherwise(F.round(F.col("value") * 100, 2)).alias("predicted_price"),
+        (F.col("event_type") == "click").alias("is_cached"))
+
+
+@register("usage_append", """
+SELECT user_id, CAST(ts AS TIMESTAMP) AS request_timestamp, 'POST /predict' AS endpoint,
+       CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code,
+       CASE WHEN event_id % 3 = 0 THEN trim(split_part(' 10.1.0.' || CAST(user_id % 250 AS VARCHAR) || ', 172.16.0.1', ',', 1))
+            ELSE '192.168.0.' || CAST(user_id % 250 AS VARCHAR) END AS ip_address,
+       value / 1000 * 1000 AS response_time_ms,
+       CAST(CASE WHEN event_type = 'error' THEN NULL ELSE round(value * 100, 2) END AS DOUBLE) AS predicted_price,
+       event_type = 'click' AS is_cached
+FROM events WHERE event_type <> 'view' AND user_id IS NOT NULL""")
+def q_usage_append(spark, sf):
+    out = U.usage_records(handled_requests(spark, sf))
+    return out.withColumn("predicted_price", F.col("predicted_price").cast("double"))
