@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import encode as E
-from ..operators import clean, market
+from ..operators import clean, comparables, market
 from ..sources import tables
 from .common import AS_OF_YEAR, listings, market as market_df
 from .oracle import with_listings, with_market
@@ -346,3 +346,44 @@ SELECT brand, model, count, rank FROM (
 WHERE rank <= 10"""))
 def q_top_models_per_brand(spark, sf):
     return market.top_per_group(market_df(spark, sf), "brand", "model", 10)
+
+
+# ---- comparables (J2, T4, A20) ------------------------------------------------
+
+_BAND = """l.brand = r.brand AND l.model = r.model
+      AND l.powerPS BETWEEN r.req_powerPS * CAST(0.3 AS DOUBLE) AND r.req_powerPS * CAST(1.3 AS DOUBLE)
+      AND l.kilometer BETWEEN r.req_kilometer * CAST(0.3 AS DOUBLE) AND r.req_kilometer * CAST(1.3 AS DOUBLE)"""
+_REQ = "req AS (SELECT DISTINCT brand, model, powerPS AS req_powerPS, kilometer AS req_kilometer FROM market)"
+
+
+@register("similar_listings", with_market(f"""
+WITH {_REQ},
+m AS (SELECT r.brand, r.model, r.req_powerPS, r.req_kilometer, l.powerPS, l.kilometer, l.vehicleType,
+             l.fuelType, l.yearOfRegistration, l.price, l.gearbox, l.notRepairedDamage
+      FROM req r JOIN market l ON {_BAND}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY brand, model, req_powerPS, req_kilometer
+                 ORDER BY price, powerPS, kilometer, vehicleType, fuelType, yearOfRegistration,
+                          gearbox, notRepairedDamage) AS rank FROM m)
+SELECT brand, model, req_powerPS, req_kilometer, rank, powerPS, kilometer, vehicleType, fuelType,
+       yearOfRegistration, price FROM rk WHERE rank <= 10"""))
+def q_similar_listings(spark, sf):
+    df = market_df(spark, sf)
+    return comparables.similar_listings(df, comparables.distinct_requests(df))
+
+
+@register("price_verdict", with_market(f"""
+WITH {_REQ},
+s AS (SELECT r.brand, r.model, r.req_powerPS, r.req_kilometer, count(*) AS n,
+             sum(CAST(round(l.price * 100) AS BIGINT)) AS c
+      FROM req r JOIN market l ON {_BAND} GROUP BY r.brand, r.model, r.req_powerPS, r.req_kilometer),
+v AS (SELECT m.*, CAST(coalesce(s.n, 0) AS BIGINT) AS n_similar,
+             CAST(s.c AS DOUBLE) / (s.n * CAST(100 AS DOUBLE)) AS avg_similar_price
+      FROM market m LEFT JOIN s ON m.brand = s.brand AND m.model = s.model
+           AND m.powerPS = s.req_powerPS AND m.kilometer = s.req_kilometer)
+SELECT *, price - avg_similar_price AS price_diff,
+       CASE WHEN avg_similar_price IS NULL THEN NULL WHEN abs(price - avg_similar_price) < 100 THEN 'close'
+            WHEN price - avg_similar_price > 0 THEN 'higher' ELSE 'lower' END AS verdict
+FROM v"""))
+def q_price_verdict(spark, sf):
+    df = market_df(spark, sf)
+    return comparables.price_verdict(df, df)
