@@ -83,12 +83,19 @@ def null_safe_clip(c: str | Column, lo: float, hi: float) -> Column:
         F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi))))
 
 
+def round_half_away(c: str | Column, digits: int = 2) -> Column:
+    """``round(x * 10^d) / 10^d`` with halves away from zero, evaluated on the
+    scaled double (the rounding a C library ``round`` applies)."""
+    scale = float(10 ** digits)
+    return F.round(col_(c) * scale, 0) / scale
+
+
 def price_band(pred: str | Column, margin: float | Column) -> tuple[Column, Column, Column]:
     """SC3: ``[max(0, p - m), p + m]`` rounded to cents plus the ``"lo - hi"`` text."""
     p = col_(pred)
     m = margin if isinstance(margin, Column) else F.lit(float(margin))
-    lo = F.round(F.greatest(F.lit(0.0), p - m), 2)
-    hi = F.round(p + m, 2)
+    lo = round_half_away(F.greatest(F.lit(0.0), p - m), 2)
+    hi = round_half_away(p + m, 2)
     # max(0, x) keeps the integer 0 when x <= 0, which prints as "0".
     lo_text = F.when(p - m <= 0, F.lit("0")).otherwise(lo.cast("string"))
     text = F.concat_ws(" - ", lo_text, hi.cast("string"))

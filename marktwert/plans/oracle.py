@@ -78,3 +78,30 @@ def with_market(body: str) -> str:
 
 def with_usage(body: str) -> str:
     return _ctes(f"usage_log AS ({USAGE_SQL})", body)
+
+
+# cleaned with the training drop list, strictly encoded
+TRAINING_SQL = f"""
+SELECT brand, model, vehicleType, fuelType,
+       CAST(CASE gearbox WHEN 'automatik' THEN 1 WHEN 'manuell' THEN 0 END AS INT) AS gearbox,
+       CAST(CASE notRepairedDamage WHEN 'ja' THEN 1 WHEN 'nein' THEN 0 END AS INT) AS notRepairedDamage,
+       powerPS, kilometer, price, CAST({AS_OF_YEAR} - yearOfRegistration AS INT) AS age
+FROM listings
+WHERE brand IS NOT NULL AND model IS NOT NULL AND vehicleType IS NOT NULL
+  AND fuelType IS NOT NULL AND gearbox IS NOT NULL AND notRepairedDamage IS NOT NULL
+  AND powerPS IS NOT NULL AND kilometer IS NOT NULL AND yearOfRegistration IS NOT NULL
+  AND monthOfRegistration IS NOT NULL AND price IS NOT NULL
+  AND price BETWEEN 200 AND 20000 AND powerPS > 0 AND powerPS <= 1000
+  AND fuelType <> 'Other' AND notRepairedDamage <> 'NaN'
+"""
+
+# the per-row split bucket (same arithmetic as operators.evaluation.split_bucket)
+SPLIT_BUCKET_SQL = """((((CAST(round(price * 100) AS BIGINT) * 7919 + CAST(powerPS AS BIGINT) * 104729
+   + CAST(kilometer AS BIGINT) * 13 + CAST(age AS BIGINT) * 1009 + 105) % 100) + 100) % 100)"""
+
+
+def with_training(body: str) -> str:
+    return _ctes(f"listings AS ({LISTINGS_SQL}),\ntraining AS ({TRAINING_SQL}),\n"
+                 f"bucketed AS (SELECT *, CAST({SPLIT_BUCKET_SQL} AS INT) AS _bucket FROM training),\n"
+                 f"train AS (SELECT * EXCLUDE (_bucket) FROM bucketed WHERE _bucket >= 20),\n"
+                 f"test AS (SELECT * EXCLUDE (_bucket) FROM bucketed WHERE _bucket < 20)", body)
