@@ -130,3 +130,54 @@ FROM events WHERE event_type <> 'view' AND user_id IS NOT NULL""")
 def q_usage_append(spark, sf):
     out = U.usage_records(handled_requests(spark, sf))
     return out.withColumn("predicted_price", F.col("predicted_price").cast("double"))
+
+
+# ---- prediction cache (SC5, SC6) ------------------------------------------------
+
+def cache_requests(spark, sf):
+    """Prediction requests (POST rows of the log) keyed by their payload."""
+    from ..sources.tables import read_table
+    ev = read_table(spark, sf, "events")
+    return ev.where(F.col("event_type") != "view").select(
+        F.col("event_id").alias("id"), F.col("props").alias("request_key"),
+        F.col("ts").cast("timestamp").alias("request_timestamp"),
+        (F.col("event_type") != "error").alias("succeeded"))
+
+
+_REPLAY_SQL = """WITH RECURSIVE
+ev AS (SELECT event_id AS id, props AS request_key, CAST(ts AS TIMESTAMP) AS request_timestamp,
+              event_type <> 'error' AS succeeded,
+              row_number() OVER (PARTITION BY props ORDER BY CAST(ts AS TIMESTAMP), event_id) AS rn
+       FROM events WHERE event_type <> 'view'),
+r AS (SELECT request_key, rn, id, request_timestamp, succeeded,
+             CASE WHEN succeeded THEN request_timestamp + INTERVAL 3600 SECOND END AS expiry,
+             false AS cache_hit, succeeded AS computed
+      FROM ev WHERE rn = 1
+      UNION ALL
+      SELECT e.request_key, e.rn, e.id, e.request_timestamp, e.succeeded,
+             CASE WHEN r.expiry IS NOT NULL AND e.request_timestamp < r.expiry THEN r.expiry
+                  WHEN e.succeeded THEN e.request_timestamp + INTERVAL 3600 SECOND ELSE r.expiry END,
+             coalesce(r.expiry IS NOT NULL AND e.request_timestamp < r.expiry, false),
+             NOT coalesce(r.expiry IS NOT NULL AND e.request_timestamp < r.expiry, false) AND e.succeeded
+      FROM r JOIN ev e ON e.request_key = r.request_key AND e.rn = r.rn + 1)"""
+
+
+@register("cache_replay", _REPLAY_SQL + """
+SELECT id, request_key, request_timestamp, succeeded, cache_hit, computed FROM r""")
+def q_cache_replay(spark, sf):
+    from ..operators import scoring
+    return scoring.cache_replay(cache_requests(spark, sf), "request_key", "request_timestamp", "id",
+                                success="succeeded")
+
+
+@register("cache_live", _REPLAY_SQL + f"""
+SELECT request_key, max(request_timestamp) AS computed_at,
+       3600.0 - CAST(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(request_timestamp)) AS DOUBLE) / 1000000 AS ttl_seconds
+FROM r WHERE computed AND request_timestamp <= TIMESTAMP '{AS_OF}'
+GROUP BY request_key
+HAVING 3600.0 - CAST(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(request_timestamp)) AS DOUBLE) / 1000000 > 0""")
+def q_cache_live(spark, sf):
+    from ..operators import scoring
+    replayed = scoring.cache_replay(cache_requests(spark, sf), "request_key", "request_timestamp", "id",
+                                    success="succeeded")
+    return scoring.cache_live(replayed, "request_key", "request_timestamp", AS_OF)
