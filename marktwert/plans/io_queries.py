@@ -46,8 +46,9 @@ FROM market"""
 
 
 def _stored(spark, sf):
-    path = _out(spark, sf, "cars")
-    spark.createDataFrame([], "x int").write.mode("overwrite").parquet(path)  # start empty
+    """A fresh stored table per call: the import writes because it is empty."""
+    import uuid
+    path = _out(spark, sf, f"cars_{uuid.uuid4().hex[:12]}")
     files.import_listings(spark, market_df(spark, sf), path)
     return spark.read.parquet(path)
 
