@@ -11,8 +11,10 @@ A request matches listings of the same brand and model whose power lies in
    (brand, model, power bin, km bin) -- an equi join, so a popular
    (brand, model) never pairs every request with every cell;
 3. the exact band is a residual filter; sums over matched cells give count
-   and mean, and a second ``row_number() <= 10`` over matched cells' top
-   rows gives the cheapest 10 per request.
+   and mean.  The cheapest 10 rows of a request lie in the matched cells
+   whose minimum price ranks within the first 10 (a cell ranked lower has 10
+   rows at or below its price ahead of it, ties kept), so only those cells'
+   top rows are expanded before the final ``row_number() <= 10``.
 """
 
 from __future__ import annotations
@@ -54,7 +56,8 @@ def listing_cells(listings: DataFrame, k: int = C.SIMILAR_TOP_K):
     """(cells, top rows per cell) of the listing side."""
     key = ["brand", "model", "powerPS", "kilometer"]
     cells = (listings.groupBy(*key)
-                     .agg(F.count(F.lit(1)).alias("_n"), F.sum(cents("price")).alias("_cents"))
+                     .agg(F.count(F.lit(1)).alias("_n"), F.sum(cents("price")).alias("_cents"),
+                          F.min("price").alias("_minkey"))
                      .withColumn("_pb", _bin(F.col("powerPS")))
                      .withColumn("_kb", _bin(F.col("kilometer"))))
     w = Window.partitionBy(*key).orderBy(*[F.col(c).asc() for c in TIE_ORDER])
@@ -71,14 +74,15 @@ def matched_cells(requests: DataFrame, cells: DataFrame,
               .withColumn("_pb", F.explode(_bin_range(p, lo_f, hi_f)))
               .withColumn("_kb", F.explode(_bin_range(km, lo_f, hi_f))))
     c = cells.select(F.col("brand").alias("_cb"), F.col("model").alias("_cm"), "powerPS",
-                     "kilometer", "_n", "_cents", F.col("_pb").alias("_cpb"), F.col("_kb").alias("_ckb"))
+                     "kilometer", "_n", "_cents", "_minkey", F.col("_pb").alias("_cpb"),
+                     F.col("_kb").alias("_ckb"))
     cond = [F.col("brand") == F.col("_cb"), F.col("model") == F.col("_cm"),
             F.col("_pb") == F.col("_cpb"), F.col("_kb") == F.col("_ckb")]
     joined = probes.join(c, cond)
     band = (F.col("powerPS").between(p * F.lit(lo_f), p * F.lit(hi_f))
             & F.col("kilometer").between(km * F.lit(lo_f), km * F.lit(hi_f)))
     return joined.where(band).select("brand", "model", "req_powerPS", "req_kilometer",
-                                     "powerPS", "kilometer", "_n", "_cents")
+                                     "powerPS", "kilometer", "_n", "_cents", "_minkey")
 
 
 def distinct_requests(listings: DataFrame) -> DataFrame:
@@ -95,6 +99,11 @@ def similar_listings(listings: DataFrame, requests: DataFrame,
     """The ``k`` cheapest comparable listings per request."""
     cells, top = listing_cells(listings, k)
     m = matched_cells(requests, cells).drop("_n", "_cents")
+    # The k cheapest rows lie in the cells whose cheapest price ranks within
+    # the first k (``rank`` keeps every cell tied at the boundary): keep
+    # those cells, then expand their rows.
+    wc = Window.partitionBy(*REQ_KEY).orderBy("_minkey")
+    m = m.withColumn("_cr", F.rank().over(wc)).where(F.col("_cr") <= k).drop("_cr", "_minkey")
     cand = m.join(top, ["brand", "model", "powerPS", "kilometer"])
     w = Window.partitionBy(*REQ_KEY).orderBy(*[F.col(c).asc() for c in TIE_ORDER])
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
