@@ -242,3 +242,45 @@ def ols_trend(df: DataFrame, x: str, y: str, group: str) -> DataFrame:
         F.round(F.regr_slope(F.col(y), F.col(x)), 6).alias("slope"),
         F.round(F.regr_intercept(F.col(y), F.col(x)), 6).alias("intercept"),
         F.round(F.regr_r2(F.col(y), F.col(x)), 6).alias("r2"))
+
+
+# ---- A26 LOWESS trend ----------------------------------------------------------
+
+def lowess_trend(df: DataFrame, x: str, y: str, group: str, frac: float = 2 / 3,
+                 grid: int = 50) -> DataFrame:
+    """Local linear (non-robust) LOWESS per group on ``grid`` evenly spaced
+    points over the group's x range.
+
+    At each grid point x0 the bandwidth is the distance to the
+    ``ceil(frac * n)``-th nearest observation (counting repeats); weights are
+    tricube(d / h).  Observations are pre-aggregated to (group, x) with count
+    and sum of y, so each grid point pairs with the *distinct* x values of its
+    group only (grid x distinct values, never observation pairs).
+    """
+    data = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(group).isNotNull())
+              .select(group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")))
+    pts = data.groupBy(group, "_x").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_sy"))
+    rng = data.groupBy(group).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
+                                  F.count(F.lit(1)).alias("_total"))
+    steps = max(grid - 1, 1)
+    g = (rng.select(group, "_total", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"),
+                    "_lo", "_hi")
+            .withColumn("x0", F.col("_lo") + F.col("point") * (F.col("_hi") - F.col("_lo")) / steps)
+            .withColumn("_k", F.ceil(F.col("_total") * F.lit(frac))))
+    j = g.join(pts, group).withColumn("_d", F.abs(F.col("_x") - F.col("x0")))
+    w = Window.partitionBy(group, "point").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+    h = (j.withColumn("_cum", F.sum("_n").over(w)).where(F.col("_cum") >= F.col("_k"))
+          .groupBy(group, "point").agg(F.min("_d").alias("_h")))
+    jj = j.join(h, [group, "point"])
+    u = F.when(F.col("_h") > 0, F.col("_d") / F.col("_h")).otherwise(F.when(F.col("_d") == 0, 0.0).otherwise(1.0))
+    wt = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
+    dx = F.col("_x") - F.col("x0")
+    sums = jj.groupBy(group, "point").agg(
+        F.first("x0").alias("x"), F.sum(wt * F.col("_n")).alias("s0"), F.sum(wt * F.col("_n") * dx).alias("s1"),
+        F.sum(wt * F.col("_n") * dx * dx).alias("s2"), F.sum(wt * F.col("_sy")).alias("t0"),
+        F.sum(wt * F.col("_sy") * dx).alias("t1"))
+    den = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
+    slope = F.when(F.abs(den) > 1e-12, (F.col("s0") * F.col("t1") - F.col("s1") * F.col("t0")) / den) \
+             .otherwise(F.lit(0.0))
+    fit = (F.col("t0") - slope * F.col("s1")) / F.col("s0")
+    return sums.select(group, "point", F.round("x", 6).alias("x"), F.round(fit, 6).alias("fitted"))

@@ -387,3 +387,74 @@ FROM v"""))
 def q_price_verdict(spark, sf):
     df = market_df(spark, sf)
     return comparables.price_verdict(df, df)
+
+
+# ---- validation (P15, P16, J5) and sampling (P20) --------------------------------
+
+_REQ_FIELDS = ["vehicleType", "gearbox", "powerPS", "model", "kilometer", "fuelType", "brand",
+               "notRepairedDamage", "yearOfRegistration"]
+
+
+@register("validate_requests", with_listings(f"""
+SELECT coalesce(vehicleType, 'coupe') AS vehicleType, coalesce(gearbox, 'automatic') AS gearbox,
+       coalesce(powerPS, 190.0) AS powerPS, coalesce(model, 'a5') AS model,
+       coalesce(kilometer, 125000.0) AS kilometer, coalesce(fuelType, 'diesel') AS fuelType,
+       coalesce(brand, 'audi') AS brand, coalesce(notRepairedDamage, 'no') AS notRepairedDamage,
+       coalesce(yearOfRegistration, 2010) AS yearOfRegistration,
+       coalesce(coalesce(powerPS, 190.0) > 0 AND coalesce(kilometer, 125000.0) > 0
+                AND coalesce(yearOfRegistration, 2010) BETWEEN 1885 AND {AS_OF_YEAR}, false) AS is_valid
+FROM listings"""))
+def q_validate_requests(spark, sf):
+    """P15 over the raw listing rows taken as score requests."""
+    return clean.validate_requests(listings(spark, sf).select(*_REQ_FIELDS), AS_OF_YEAR)
+
+
+def _candidates(spark, sf):
+    from ..sources.tables import read_table
+    cu = read_table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    prefix = (F.when(k % 4 == 0, "u").when(k % 4 == 1, "us").when(k % 4 == 2, "use").otherwise("user"))
+    name = F.when(k % 97 == 0, F.repeat(F.lit("x"), 51)).otherwise(F.concat(prefix, (k % 400).cast("string")))
+    email = F.concat(F.lower("c_mktsegment"), F.lit("."), F.col("c_nationkey").cast("string"), F.lit("@mail.test"))
+    return cu.select(k.alias("candidate_id"), name.alias("username"), email.alias("email"))
+
+
+def _existing(spark, sf):
+    from ..sources.tables import read_table
+    u = F.col("user_id")
+    ev = read_table(spark, sf, "events").where(u.isNotNull()).select("user_id").distinct()
+    email = F.when(u % 2 == 0, F.concat(F.lit("building."), (u % 25).cast("string"), F.lit("@mail.test"))) \
+             .otherwise(F.concat(F.lit("u"), u.cast("string"), F.lit("@mail.test")))
+    return ev.select(F.concat(F.lit("user"), u.cast("string")).alias("username"), email.alias("email"))
+
+
+@register("validate_users", """
+WITH cand AS (SELECT c_custkey AS candidate_id,
+                     CASE WHEN c_custkey % 97 = 0 THEN repeat('x', 51)
+                          ELSE CASE c_custkey % 4 WHEN 0 THEN 'u' WHEN 1 THEN 'us' WHEN 2 THEN 'use' ELSE 'user' END
+                               || CAST(c_custkey % 400 AS VARCHAR) END AS username,
+                     lower(c_mktsegment) || '.' || CAST(c_nationkey AS VARCHAR) || '@mail.test' AS email
+              FROM customer),
+     ex AS (SELECT 'user' || CAST(user_id AS VARCHAR) AS username,
+                   CASE WHEN user_id % 2 = 0 THEN 'building.' || CAST(user_id % 25 AS VARCHAR) || '@mail.test'
+                        ELSE 'u' || CAST(user_id AS VARCHAR) || '@mail.test' END AS email
+            FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL) e),
+     f AS (SELECT c.*, NOT (length(c.username) BETWEEN 3 AND 50) AS bad_username_length,
+                  c.username IN (SELECT username FROM ex) AS username_taken,
+                  c.email IN (SELECT email FROM ex) AS email_taken,
+                  count(*) OVER (PARTITION BY c.username) > 1 AS username_repeated,
+                  count(*) OVER (PARTITION BY c.email) > 1 AS email_repeated
+           FROM cand c)
+SELECT *, NOT (bad_username_length OR username_taken OR email_taken OR username_repeated OR email_repeated) AS is_valid
+FROM f""")
+def q_validate_users(spark, sf):
+    """Registration candidates (from customers) checked against the
+    registered users (from the request log) and against each other."""
+    return clean.validate_users(_candidates(spark, sf), _existing(spark, sf))
+
+
+@register("sample_k")
+def q_sample_k(spark, sf):
+    """P20: 5000 rows chosen by a seeded row hash (a sampling operator: the
+    limit is the feature)."""
+    return market.sample_k(market_df(spark, sf), 5000, seed=0)

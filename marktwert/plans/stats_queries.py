@@ -127,3 +127,10 @@ SELECT vehicleType, count(*) AS n, round(regr_slope(price, powerPS), 6) AS slope
 FROM market GROUP BY vehicleType"""))
 def q_ols_trend(spark, sf):
     return stats.ols_trend(market_df(spark, sf), "powerPS", "price", "vehicleType")
+
+
+@register("lowess_trend")
+def q_lowess_trend(spark, sf):
+    """Price vs kilometer per fuel type (rows-only check; tested
+    against a NumPy reference)."""
+    return stats.lowess_trend(market_df(spark, sf), "kilometer", "price", "fuelType")

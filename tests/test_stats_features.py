@@ -171,3 +171,32 @@ def test_feature_estimators_persist(spark, tmp_path):
     b = [r.p_boxcox for r in again.transform(df).collect()]
     assert a == b
     assert abs(np.mean(a)) < 1e-9 and abs(np.std(a) - 1) < 1e-9
+
+
+def _lowess_ref(x, y, x0, frac):
+    n = len(x)
+    k = math.ceil(frac * n)
+    d = np.abs(x - x0)
+    h = np.sort(d)[k - 1]
+    u = d / h if h > 0 else np.where(d == 0, 0.0, 1.0)
+    w = np.where(u < 1, (1 - u ** 3) ** 3, 0.0)
+    dx = x - x0
+    s0, s1, s2 = w.sum(), (w * dx).sum(), (w * dx * dx).sum()
+    t0, t1 = (w * y).sum(), (w * dx * y).sum()
+    den = s0 * s2 - s1 * s1
+    b = (s0 * t1 - s1 * t0) / den if abs(den) > 1e-12 else 0.0
+    return (t0 - b * s1) / s0
+
+
+def test_lowess_matches_numpy(spark):
+    x = RNG.integers(1, 30, 300).astype(float)
+    y = 100 - 2 * x + RNG.normal(0, 5, 300)
+    g = np.where(np.arange(300) % 2 == 0, "a", "b")
+    df = spark.createDataFrame([(str(a), float(b), float(c)) for a, b, c in zip(g, x, y)],
+                               "g string, x double, y double")
+    got = {(r.g, r.point): (r.x, r.fitted) for r in stats.lowess_trend(df, "x", "y", "g", grid=7).collect()}
+    for grp in ["a", "b"]:
+        m = g == grp
+        for p in range(7):
+            x0, fit = got[(grp, p)]
+            assert fit == pytest.approx(_lowess_ref(x[m], y[m], x0, 2 / 3), abs=1e-5)
