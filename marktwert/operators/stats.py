@@ -6,8 +6,8 @@ Scale rules used throughout:
 * pre-aggregate by value (``groupBy(value).count()``) before any per-value
   work, so cost follows the number of distinct values, not rows;
 * global orderings (ranks, running counts) use ``ordered_prefix``: the
-  distinct values are range-partitioned, each partition is scanned in order
-  and partition totals become offsets -- no single-partition window;
+  distinct values are split into value ranges, each range is scanned in
+  order and range totals become offsets -- no single-partition window;
 * per-group quantiles use Spark's exact ``percentile`` whose buffer holds one
   entry per distinct value of the group.
 """
@@ -30,19 +30,28 @@ def ordered_prefix(df: DataFrame, order_col: str, value_cols: Sequence[str],
                    partitions: int | None = None) -> DataFrame:
     """Add ``cum_<v>`` = sum of ``v`` over rows with a smaller ``order_col``.
 
-    ``df`` must hold one row per distinct ``order_col`` value.  Rows are
-    range-partitioned on ``order_col`` and tagged with their partition; the
-    tagged frame is checkpointed (range bounds are sampled, so the tag must
-    be fixed once).  Each partition's running sum is a window over that
-    partition only; per-partition totals (one row per partition) supply
-    the offsets.
+    ``df`` must hold one row per distinct ``order_col`` value.  Cut points
+    for ``n`` ranges are taken once with ``approxQuantile`` (``n - 1``
+    values on the driver), so the range tag of a row is a pure expression
+    and every branch of the plan agrees on it.  Each range's running sum is
+    a window over that range only; per-range totals (one row per range)
+    become offsets.  Non-numeric keys fall back to ``repartitionByRange``
+    with a reliable checkpoint fixing the sampled tag.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(n, order_col)
-                .withColumn("_pid", F.spark_partition_id()))
-    tagged = tagged.checkpoint(eager=True)
+    numeric = df.schema[order_col].dataType.typeName() in (
+        "integer", "long", "double", "float", "short", "decimal")
+    if numeric:
+        probs = [i / n for i in range(1, n)]
+        cuts = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * n)))) if n > 1 else []
+        arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+        pid = F.size(F.filter(arr, lambda c: c < F.col(order_col).cast("double")))
+        tagged = df.withColumn("_pid", pid)
+    else:
+        ensure_checkpoint_dir(spark)
+        tagged = (df.repartitionByRange(n, order_col)
+                    .withColumn("_pid", F.spark_partition_id())).checkpoint(eager=True)
     totals = tagged.groupBy("_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     w_tot = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{v}").over(w_tot), F.lit(0))
@@ -50,7 +59,7 @@ def ordered_prefix(df: DataFrame, order_col: str, value_cols: Sequence[str],
     w = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     local = tagged.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_l_{v}")
                                  for v in value_cols])
-    # offsets hold one row per partition: a bounded broadcast
+    # offsets hold one row per range: a bounded broadcast
     out = local.join(F.broadcast(offsets), "_pid")
     return out.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_l_{v}")).alias(f"cum_{v}")
                                      for v in value_cols])
@@ -173,16 +182,20 @@ def corr_kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     wide = (data.groupBy(y).pivot(x, levels).agg(F.count(F.lit(1))).na.fill(0, subset=None))
     wide = wide.toDF(y, *names)
     pre = ordered_prefix(wide, y, names)
-    cnt = F.array(*[F.col(nm).cast("double") for nm in names])
-    below = F.array(*[F.col(f"cum_{nm}").cast("double") for nm in names])
-    lower_sum = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0),
-                            lambda acc, i: acc + F.element_at(cnt, i + 1) *
-                            F.aggregate(F.slice(below, F.lit(1), i), F.lit(0.0), lambda a, v: a + v))
-    upper_sum = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0),
-                            lambda acc, i: acc + F.element_at(cnt, i + 1) *
-                            F.aggregate(F.slice(below, i + 2, F.lit(k)), F.lit(0.0), lambda a, v: a + v))
-    row_n = F.aggregate(cnt, F.lit(0.0), lambda a, v: a + v)
-    per_y = pre.select(lower_sum.alias("nc"), upper_sum.alias("nd"), row_n.alias("ny"))
+    c = [F.col(nm).cast("double") for nm in names]
+    b = [F.col(f"cum_{nm}").cast("double") for nm in names]
+    # P_i = points below this y at levels < i; concordant = sum c_i * P_i and
+    # discordant = sum c_i * (B - P_i - b_i) with B = all points below this y
+    prefix, run = [], F.lit(0.0)
+    for i in range(k):
+        prefix.append(run)
+        run = run + b[i]
+    total_b = run
+    nc = sum((c[i] * prefix[i] for i in range(k)), F.lit(0.0))
+    row_n = sum(c, F.lit(0.0))
+    same = sum((c[i] * b[i] for i in range(k)), F.lit(0.0))
+    per_y = pre.select(nc.alias("nc"), row_n.alias("ny"), same.alias("_same"), total_b.alias("_tb")) \
+               .select("nc", (F.col("ny") * F.col("_tb") - F.col("_same") - F.col("nc")).alias("nd"), "ny")
     pairs = per_y.agg(F.sum("nc").alias("nc"), F.sum("nd").alias("nd"),
                       F.sum(F.col("ny") * (F.col("ny") - 1) / 2).alias("ty"),
                       F.sum("ny").alias("n"))
