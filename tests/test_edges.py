@@ -151,3 +151,26 @@ def test_price_band_text(spark):
     lo, hi, text = E.price_band("prediction", 500.0)
     got = [(r.lo, r.hi, r.t) for r in df.select(lo.alias("lo"), hi.alias("hi"), text.alias("t")).collect()]
     assert got == [(0.0, 800.0, "0 - 800.0"), (734.5, 1734.5, "734.5 - 1734.5")]
+
+
+def test_parallel_cache_replay_equals_fold(spark):
+    """The hot-key path (buckets + pointer doubling) equals the per-key fold."""
+    import random
+    rnd = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, i = [], 0
+    for key in ["hot", "warm", "cold"]:
+        n = {"hot": 400, "warm": 60, "cold": 5}[key]
+        for _ in range(n):
+            rows.append((i, key, t0 + dt.timedelta(seconds=rnd.randrange(0, 3 * 86400)), rnd.random() > 0.1))
+            i += 1
+    # exact TTL boundaries and equal timestamps
+    rows += [(i, "edge", t0, True), (i + 1, "edge", t0 + dt.timedelta(seconds=3600), True),
+             (i + 2, "edge", t0 + dt.timedelta(seconds=3600), True), (i + 3, "edge", t0 + dt.timedelta(seconds=7199), False),
+             (i + 4, "edge", t0 + dt.timedelta(seconds=7200), True)]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp, ok boolean")
+    fold = {r.id: (r.cache_hit, r.computed) for r in scoring.cache_replay(df, "key", "ts", "id", "ok").collect()}
+    par = {r.id: (r.cache_hit, r.computed)
+           for r in scoring.cache_replay(df, "key", "ts", "id", "ok", hot_share=0.0).collect()}
+    assert par == fold
+    assert fold[i + 1] == (False, True) and fold[i + 2] == (True, False) and fold[i + 4] == (False, True)
