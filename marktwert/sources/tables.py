@@ -102,6 +102,11 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stored_listings_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where ``listings`` stored the table (after a call to ``listings``)."""
+    return _STORED[(id(spark.sparkContext), sf_dir.rstrip("/"))]
+
+
 def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request log view over ``events`` (one row per API request)."""
     ev = read_table(spark, sf_dir, "events")

@@ -82,3 +82,12 @@ def requests_stream(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("id"), F.col("props").alias("request_key"),
         F.col("ts").cast("timestamp").alias("request_timestamp"),
         (F.col("event_type") != "error").alias("succeeded"))
+
+
+def score_requests_stream(model, requests: DataFrame, as_of_year: int,
+                          margin: float = C.DEFAULT_ERROR_MARGIN) -> DataFrame:
+    """SC2 on a stream: the batch scoring plan (validate, encode, age, model,
+    band) applied to a streaming frame of requests; every step is a
+    stateless per-row transform, so it runs unchanged under micro-batches."""
+    from ..operators.scoring import score_requests
+    return score_requests(model, requests, as_of_year, margin)

@@ -35,3 +35,11 @@ def test_daily_stream_equals_batch_counts(spark):
     b = {(r.user_id, r.day): r.n for r in rows.groupBy(
         "user_id", F.date_trunc("day", "request_timestamp").alias("day")).agg(F.count("*").alias("n")).collect()}
     assert s == b
+
+
+def test_score_requests_stream_equals_batch(spark):
+    q = entry.queries()
+    cols = ["brand", "model", "powerPS", "kilometer", "yearOfRegistration", "predicted_price", "acceptable_range"]
+    s = sorted(tuple(r[c] for c in cols) for r in q["score_requests_stream"](spark, SMALL_SF).collect())
+    b = sorted(tuple(r[c] for c in cols) for r in q["score_requests"](spark, SMALL_SF).collect())
+    assert s and s == b
