@@ -310,3 +310,13 @@ def q_score_distinct(spark, sf):
     """SC4: identical requests scored once, joined back."""
     reqs = SC.requests_from_listings(market_df(spark, sf))
     return SC.score_distinct(_full_model(spark, sf), reqs, AS_OF_YEAR, margin=C.DEFAULT_ERROR_MARGIN)
+
+
+@register("knn_predict")
+def q_knn_predict(spark, sf):
+    """K-NN regression (k = 5) of held-out listings on z-scored power,
+    kilometres and age among training listings of the same brand and model
+    (exact: grid join with a distance certificate, block scan for the rest)."""
+    from ..operators import knn
+    train, test = EV.train_test_split(training(spark, sf))
+    return knn.knn_regress(train, test, list(C.NUMERICAL_FEATURES), k=5)

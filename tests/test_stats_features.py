@@ -200,3 +200,34 @@ def test_lowess_matches_numpy(spark):
         for p in range(7):
             x0, fit = got[(grp, p)]
             assert fit == pytest.approx(_lowess_ref(x[m], y[m], x0, 2 / 3), abs=1e-5)
+
+
+def test_knn_regress_equals_brute_force(spark):
+    from marktwert.operators import knn
+    rng = np.random.default_rng(11)
+    train, test = [], []
+    for blk, n in (("a", 300), ("b", 40), ("c", 3)):
+        for _ in range(n):
+            train.append((blk, float(rng.uniform(0, 10)), float(rng.uniform(0, 50)), float(rng.uniform(0, 3)),
+                          float(round(rng.uniform(1000, 9000), 2))))
+    train += [train[0]] * 4                                   # duplicated listing
+    for blk, n in (("a", 60), ("b", 10), ("c", 2), ("d", 2)):
+        for _ in range(n):
+            test.append((blk, float(rng.uniform(0, 10)), float(rng.uniform(0, 50)), float(rng.uniform(0, 3)), 0.0))
+    test.append(train[0][:4] + (0.0,))                        # a query on top of the duplicates
+    schema = "brand string, x double, y double, z double, price double"
+    tr = spark.createDataFrame(train, schema).withColumn("model", F.lit("m"))
+    te = spark.createDataFrame(test, schema).withColumn("model", F.lit("m"))
+    got = {(r.brand, r.x, r.y, r.z): r.prediction
+           for r in knn.knn_regress(tr, te, ["x", "y", "z"], k=5, cell=0.5).collect()}
+    arr = np.array([t[1:4] for t in train])
+    mean, std = arr.mean(axis=0), arr.std(axis=0)
+    ztr = [(t[0], tuple((np.array(t[1:4]) - mean) / std), t[4]) for t in train]
+    zte = [(t[0], tuple((np.array(t[1:4]) - mean) / std), 0.0) for t in test]
+    want = knn.knn_brute(ztr, zte, 5)
+    for t, w in zip(test, want):
+        g = got[(t[0], t[1], t[2], t[3])]
+        if w is None:
+            assert g is None
+        else:
+            assert g == pytest.approx(w, abs=1e-6)
