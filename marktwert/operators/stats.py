@@ -160,23 +160,24 @@ def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 MAX_KENDALL_LEVELS = 256
+KENDALL_BASE = 16
 
 
 def corr_kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall tau-b between a low-cardinality ``x`` (<= 256 levels, checked)
-    and any ``y``.
+    """Kendall tau-b between any two orderable columns.
 
     Contingency cells (x, y, n) are pivoted to one row per distinct y with a
     count per x level; ``ordered_prefix`` gives, per y, the counts of points
     with a smaller y at each level.  Concordant pairs of a cell are those
     below it in y at lower x levels, discordant at higher levels.  No pair of
-    rows or cells is ever materialised.
+    rows or cells is ever materialised.  An ``x`` with more than 256 levels
+    takes the digit-level path (``_kendall_pairs_by_digits``), which is just
+    as exact.
     """
     data = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     levels = [r[0] for r in data.select(x).distinct().orderBy(x).limit(MAX_KENDALL_LEVELS + 1).collect()]
     if len(levels) > MAX_KENDALL_LEVELS:
-        raise ValueError(f"corr_kendall: {x} has more than {MAX_KENDALL_LEVELS} levels; "
-                         f"pass the lower-cardinality column as x")
+        return _kendall_result(data, x, y, _kendall_pairs_by_digits(data, x, y))
     k = len(levels)
     names = [f"_c{i}" for i in range(k)]
     wide = (data.groupBy(y).pivot(x, levels).agg(F.count(F.lit(1))).na.fill(0, subset=None))
@@ -196,19 +197,101 @@ def corr_kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     same = sum((c[i] * b[i] for i in range(k)), F.lit(0.0))
     per_y = pre.select(nc.alias("nc"), row_n.alias("ny"), same.alias("_same"), total_b.alias("_tb")) \
                .select("nc", (F.col("ny") * F.col("_tb") - F.col("_same") - F.col("nc")).alias("nd"), "ny")
-    pairs = per_y.agg(F.sum("nc").alias("nc"), F.sum("nd").alias("nd"),
-                      F.sum(F.col("ny") * (F.col("ny") - 1) / 2).alias("ty"),
-                      F.sum("ny").alias("n"))
-    tx = data.groupBy(x).agg(F.count(F.lit(1)).alias("t")).agg(
-        F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("tx"))
-    n0 = F.col("n") * (F.col("n") - 1) / 2
+    pairs = per_y.agg(F.sum("nc").alias("nc"), F.sum("nd").alias("nd"))
+    return _kendall_result(data, x, y, pairs)
+
+
+def _kendall_result(data: DataFrame, x: str, y: str, pairs: DataFrame) -> DataFrame:
+    """tau-b from the one-row (nc, nd) frame plus the tie counts of x and y."""
+    def ties(c: str, name: str) -> DataFrame:
+        return data.groupBy(c).agg(F.count(F.lit(1)).alias("t")).agg(
+            F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(name), F.sum("t").alias(f"n_{name}"))
+    tx, ty = ties(x, "tx"), ties(y, "ty")
+    n0 = F.col("n_tx") * (F.col("n_tx") - 1) / 2
     tau = (F.col("nc") - F.col("nd")) / F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))
-    return pairs.crossJoin(tx).select(
+    # three one-row frames
+    return pairs.crossJoin(tx).crossJoin(ty).select(
         F.lit(x).alias("col_a"), F.lit(y).alias("col_b"),
         F.col("nc").cast("bigint").alias("concordant"), F.col("nd").cast("bigint").alias("discordant"),
         F.round(tau, 6).alias("tau_b"))
 
 
+def _dense_rank(data: DataFrame, c: str, name: str) -> DataFrame:
+    """Distinct values of ``c`` with their 0-based dense rank ``name``."""
+    vals = data.select(c).distinct().withColumn("_one", F.lit(1).cast("long"))
+    return ordered_prefix(vals, c, ["_one"]).select(c, F.col("cum__one").alias(name))
+
+
+def _kendall_pairs_by_digits(data: DataFrame, x: str, y: str,
+                             base: int = KENDALL_BASE) -> DataFrame:
+    """Exact concordant/discordant counts for an ``x`` of any cardinality.
+
+    Write the dense rank d of x in ``base`` digits (m of them).  Two points
+    with different x first differ at one digit position l: they share the
+    higher digits (their *group* g) and differ at digit l.  Level l pivots
+    the cells (g, y) on that digit, so it is the low-cardinality algorithm
+    applied inside every group at once.  The running counts per group come
+    from one ``ordered_prefix`` over the composite key (g, rank of y) --
+    groups are contiguous in that order, so the counts of earlier groups are
+    a per-group offset, and their contribution is removed with group-level
+    sums (one row per group), never by a window over a whole group.  Sums
+    are exact decimals.
+    """
+    cells = data.groupBy(x, y).agg(F.count(F.lit(1)).alias("_n"))
+    rx, ry = _dense_rank(cells, x, "_dx"), _dense_rank(cells, y, "_ry")
+    n_x, n_y = rx.count(), ry.count()
+    m = 1
+    while base ** m < n_x:
+        m += 1
+    ranked = cells.join(rx, x).join(ry, y).select("_dx", "_ry", "_n")
+    names = [f"_c{i}" for i in range(base)]
+    dec = "decimal(38,0)"
+    parts = []
+    for level in range(m):
+        s = base ** (m - 1 - level)
+        lvl = (ranked.select(F.floor(F.col("_dx") / (s * base)).cast("long").alias("_g"), "_ry",
+                             (F.floor(F.col("_dx") / s) % base).cast("int").alias("_t"), "_n")
+                     .groupBy("_g", "_ry").pivot("_t", list(range(base))).agg(F.sum("_n"))
+                     .na.fill(0))
+        lvl = lvl.toDF("_g", "_ry", *names).withColumn(
+            "_key", F.col("_g") * F.lit(n_y) + F.col("_ry"))
+        pre = ordered_prefix(lvl, "_key", names)
+        c = [F.col(nm).cast(dec) for nm in names]
+        b = [F.col(f"cum_{nm}").cast(dec) for nm in names]
+        # rows: the same sums as the single-level path, with running counts
+        # that still include every earlier group
+        below, run = [], F.lit(0).cast(dec)
+        for i in range(base):
+            below.append(run)
+            run = run + b[i]
+        row_nc = sum((c[i] * below[i] for i in range(base)), F.lit(0).cast(dec))
+        row_same = sum((c[i] * b[i] for i in range(base)), F.lit(0).cast(dec))
+        row_ny = sum(c, F.lit(0).cast(dec))
+        rows = pre.agg(F.sum(row_nc).alias("nc"), F.sum(row_same).alias("same"),
+                       F.sum(row_ny * run).alias("nytb"))
+        # groups: off_i(g) = points of earlier groups at digit i
+        tot = lvl.groupBy("_g").agg(*[F.sum(nm).alias(nm) for nm in names])
+        gp = ordered_prefix(tot, "_g", names)
+        t = [F.col(nm).cast(dec) for nm in names]
+        off = [F.col(f"cum_{nm}").cast(dec) for nm in names]
+        obelow, orun = [], F.lit(0).cast(dec)
+        for i in range(base):
+            obelow.append(orun)
+            orun = orun + off[i]
+        g_nc = sum((t[i] * obelow[i] for i in range(base)), F.lit(0).cast(dec))
+        g_same = sum((t[i] * off[i] for i in range(base)), F.lit(0).cast(dec))
+        g_ny = sum(t, F.lit(0).cast(dec))
+        grp = gp.agg(F.sum(g_nc).alias("g_nc"), F.sum(g_same).alias("g_same"),
+                      F.sum(g_ny * orun).alias("g_nytb"))
+        nc = F.col("nc") - F.col("g_nc")
+        nd = (F.col("nytb") - F.col("g_nytb")) - (F.col("same") - F.col("g_same")) - nc
+        parts.append(rows.crossJoin(grp).select(nc.alias("nc"), nd.alias("nd")))  # one row each
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.agg(F.sum("nc").alias("nc"), F.sum("nd").alias("nd"))
+
+
 # ---- A17 skewness ---------------------------------------------------------------
 
 def skewness_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:

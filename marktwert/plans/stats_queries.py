@@ -68,10 +68,11 @@ def q_corr_spearman(spark, sf):
     return stats.corr_spearman(market_df(spark, sf), CORR_COLS)
 
 
-@register("corr_kendall", with_listings("""
-WITH d AS (SELECT monthOfRegistration AS x, price AS y FROM listings
+def _kendall_sql(x: str) -> str:
+    return f"""
+WITH d AS (SELECT {x} AS x, price AS y FROM listings
            WHERE yearOfRegistration BETWEEN 1980 AND 2023
-             AND monthOfRegistration IS NOT NULL AND price IS NOT NULL),
+             AND {x} IS NOT NULL AND price IS NOT NULL),
      c AS (SELECT x, y, count(*) AS n FROM d GROUP BY x, y),
      cum AS (SELECT x, y, sum(n) OVER (PARTITION BY x ORDER BY y) AS upto FROM c),
      lv AS (SELECT DISTINCT x AS lx FROM c),
@@ -83,14 +84,22 @@ WITH d AS (SELECT monthOfRegistration AS x, price AS y FROM listings
      tt AS (SELECT count(*) AS n FROM d),
      tx AS (SELECT sum(t * (t - 1) / 2) AS tx FROM (SELECT count(*) AS t FROM d GROUP BY x) a),
      ty AS (SELECT sum(t * (t - 1) / 2) AS ty FROM (SELECT count(*) AS t FROM d GROUP BY y) a)
-SELECT 'monthOfRegistration' AS col_a, 'price' AS col_b, CAST(nc AS BIGINT) AS concordant,
+SELECT '{x}' AS col_a, 'price' AS col_b, CAST(nc AS BIGINT) AS concordant,
        CAST(nd AS BIGINT) AS discordant,
        round((nc - nd) / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) AS tau_b
-FROM pr, tt, tx, ty"""))
+FROM pr, tt, tx, ty"""
+
+
+@register("corr_kendall", with_listings(_kendall_sql("monthOfRegistration")))
 def q_corr_kendall(spark, sf):
     return stats.corr_kendall(clean.year_range(listings(spark, sf)), "monthOfRegistration", "price")
 
 
+@register("corr_kendall_year", with_listings(_kendall_sql("yearOfRegistration")))
+def q_corr_kendall_year(spark, sf):
+    return stats.corr_kendall(clean.year_range(listings(spark, sf)), "yearOfRegistration", "price")
+
+
 SKEW_COLS = ["price", "powerPS", "kilometer", "age"]
 
 

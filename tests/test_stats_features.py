@@ -48,6 +48,31 @@ def test_kendall_equals_brute_force(spark):
     assert r.tau_b == pytest.approx(tau, abs=1e-6)
 
 
+def test_kendall_high_cardinality_equals_brute_force(spark):
+    # x with ~700 levels (three digit levels in base 16), ties on both sides,
+    # and a hot x value holding a third of the rows
+    n = 1500
+    x = RNG.integers(0, 700, n)
+    x[: n // 3] = 350
+    y = np.round(RNG.normal(0, 40, n) + x * 0.2, 0)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(x, y)], "x long, y double")
+    r = stats.corr_kendall(df, "x", "y").first()
+    nc, nd, tau = _kendall_brute(x, y)
+    assert (r.concordant, r.discordant) == (nc, nd)
+    assert r.tau_b == pytest.approx(tau, abs=1e-6)
+
+
+def test_kendall_high_cardinality_string_key(spark):
+    n = 600
+    xi = RNG.integers(0, 400, n)
+    y = RNG.integers(0, 50, n).astype(float)
+    df = spark.createDataFrame([(f"k{int(a):04d}", float(b)) for a, b in zip(xi, y)], "x string, y double")
+    r = stats.corr_kendall(df, "x", "y").first()
+    nc, nd, tau = _kendall_brute(xi, y)
+    assert (r.concordant, r.discordant) == (nc, nd)
+    assert r.tau_b == pytest.approx(tau, abs=1e-6)
+
+
 def _avg_rank(v):
     order = np.argsort(v, kind="mergesort")
     ranks = np.empty(len(v))
