@@ -138,8 +138,29 @@ def q_ols_trend(spark, sf):
     return stats.ols_trend(market_df(spark, sf), "powerPS", "price", "vehicleType")
 
 
-@register("lowess_trend")
+@register("lowess_trend", with_market("""
+WITH data AS (SELECT fuelType AS grp, CAST(kilometer AS DOUBLE) AS x, CAST(price AS DOUBLE) AS y
+              FROM market WHERE kilometer IS NOT NULL AND price IS NOT NULL AND fuelType IS NOT NULL),
+     pts AS (SELECT grp, x, count(*) AS n, sum(y) AS sy FROM data GROUP BY grp, x),
+     rng AS (SELECT grp, min(x) AS lo, max(x) AS hi, count(*) AS total FROM data GROUP BY grp),
+     g AS (SELECT grp, point, lo + point * (hi - lo) / 49 AS x0,
+                  ceil(total * (CAST(2 AS DOUBLE) / 3)) AS k
+           FROM rng CROSS JOIN range(0, 50) t(point)),
+     j AS (SELECT g.grp, g.point, g.x0, g.k, p.x, p.n, p.sy, abs(p.x - g.x0) AS d
+           FROM g JOIN pts p ON g.grp = p.grp),
+     c AS (SELECT *, sum(n) OVER (PARTITION BY grp, point ORDER BY d
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM j),
+     h AS (SELECT grp, point, min(d) AS h FROM c WHERE cum >= k GROUP BY grp, point),
+     u AS (SELECT j.*, CASE WHEN h.h > 0 THEN j.d / h.h WHEN j.d = 0 THEN 0.0 ELSE 1.0 END AS u
+           FROM j JOIN h ON j.grp = h.grp AND j.point = h.point),
+     w AS (SELECT *, CASE WHEN u < 1 THEN pow(1 - pow(u, 3), 3) ELSE 0.0 END AS wt, x - x0 AS dx FROM u),
+     s AS (SELECT grp, point, first(x0) AS x, sum(wt * n) AS s0, sum(wt * n * dx) AS s1,
+                  sum(wt * n * dx * dx) AS s2, sum(wt * sy) AS t0, sum(wt * sy * dx) AS t1
+           FROM w GROUP BY grp, point),
+     f AS (SELECT *, CASE WHEN abs(s0 * s2 - s1 * s1) > 1e-12
+                          THEN (s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1) ELSE 0.0 END AS slope FROM s)
+SELECT grp AS fuelType, point, round(x, 6) AS x, round((t0 - slope * s1) / s0, 6) AS fitted FROM f"""))
 def q_lowess_trend(spark, sf):
-    """Price vs kilometer per fuel type (rows-only check; tested
-    against a NumPy reference)."""
+    """Price vs kilometer per fuel type (also tested against a NumPy
+    reference)."""
     return stats.lowess_trend(market_df(spark, sf), "kilometer", "price", "fuelType")
