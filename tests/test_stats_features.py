@@ -240,6 +240,7 @@ def test_knn_regress_equals_brute_force(spark):
         for _ in range(n):
             test.append((blk, float(rng.uniform(0, 10)), float(rng.uniform(0, 50)), float(rng.uniform(0, 3)), 0.0))
     test.append(train[0][:4] + (0.0,))                        # a query on top of the duplicates
+    test.append(("a", 200.0, 400.0, 30.0, 0.0))              # far outside: several widenings
     schema = "brand string, x double, y double, z double, price double"
     tr = spark.createDataFrame(train, schema).withColumn("model", F.lit("m"))
     te = spark.createDataFrame(test, schema).withColumn("model", F.lit("m"))
