@@ -27,7 +27,8 @@ from ..session import ensure_checkpoint_dir
 # ---- distributed exclusive prefix sums ------------------------------------------
 
 def ordered_prefix(df: DataFrame, order_col: str, value_cols: Sequence[str],
-                   partitions: int | None = None) -> DataFrame:
+                   partitions: int | None = None,
+                   cuts: Sequence[float] | None = None) -> DataFrame:
     """Add ``cum_<v>`` = sum of ``v`` over rows with a smaller ``order_col``.
 
     ``df`` must hold one row per distinct ``order_col`` value.  Cut points
@@ -36,15 +37,19 @@ def ordered_prefix(df: DataFrame, order_col: str, value_cols: Sequence[str],
     and every branch of the plan agrees on it.  Each range's running sum is
     a window over that range only; per-range totals (one row per range)
     become offsets.  Non-numeric keys fall back to ``repartitionByRange``
-    with a reliable checkpoint fixing the sampled tag.
+    with a reliable checkpoint fixing the sampled tag.  ``cuts`` may be
+    passed in (any sorted values: they only tag ranges, correctness does not
+    depend on them), e.g. from one ``approxQuantile`` over several columns.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     numeric = df.schema[order_col].dataType.typeName() in (
         "integer", "long", "double", "float", "short", "decimal")
     if numeric:
-        probs = [i / n for i in range(1, n)]
-        cuts = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * n)))) if n > 1 else []
+        if cuts is None:
+            probs = [i / n for i in range(1, n)]
+            cuts = df.approxQuantile(order_col, probs, 1.0 / (4 * n)) if n > 1 else []
+        cuts = sorted(set(cuts))
         arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
         pid = F.size(F.filter(arr, lambda c: c < F.col(order_col).cast("double")))
         tagged = df.withColumn("_pid", pid)
@@ -65,13 +70,30 @@ def ordered_prefix(df: DataFrame, order_col: str, value_cols: Sequence[str],
                                      for v in value_cols])
 
 
-def average_rank(df: DataFrame, c: str) -> DataFrame:
+_NUMERIC = ("integer", "long", "double", "float", "short", "decimal", "byte")
+
+
+def average_rank(df: DataFrame, c: str, cuts: Sequence[float] | None = None) -> DataFrame:
     """Distinct values of ``c`` with their average (tie) rank, 1-based."""
     counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-    pre = ordered_prefix(counts, c, ["_n"])
+    pre = ordered_prefix(counts, c, ["_n"], cuts=cuts)
     return pre.select(c, (F.col("cum__n") + (F.col("_n") + 1) / 2.0).alias(f"rank_{c}"))
 
 
+def shared_cuts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
+    """Range cut points for every numeric column from one ``approxQuantile``
+    pass over the rows (one job instead of one per column)."""
+    num = [c for c in columns if df.schema[c].dataType.typeName() in _NUMERIC]
+    if not num:
+        return {}
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n <= 1:
+        return {c: [] for c in num}
+    probs = [i / n for i in range(1, n)]
+    qs = df.select(*[F.col(c).cast("double").alias(c) for c in num]).approxQuantile(num, probs, 1.0 / (4 * n))
+    return dict(zip(num, qs))
+
+
 # ---- A11 box statistics ---------------------------------------------------------
 
 def box_stats(df: DataFrame, value: str, group: str | Sequence[str], factor: float = 1.5) -> DataFrame:
@@ -153,8 +175,9 @@ def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Spearman = Pearson on average ranks (ranks from ``ordered_prefix``)."""
     cols = list(columns)
     ranked = df.select(*cols)
+    cuts = shared_cuts(ranked, cols)
     for c in cols:
-        ranked = ranked.join(average_rank(df, c), c, "left")
+        ranked = ranked.join(average_rank(df, c, cuts.get(c)), c, "left")
     ranked = ranked.select(*[F.col(f"rank_{c}").alias(c) for c in cols])
     return corr_pearson(ranked, cols)
 
