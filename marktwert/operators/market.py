@@ -241,14 +241,26 @@ def top_per_group(df: DataFrame, group: str, key: str, k: int) -> DataFrame:
 
 # ---- P20 ---------------------------------------------------------------------
 
+def _canonical(df: DataFrame, c: str) -> Column:
+    """A column as text that every engine renders the same way: strings as
+    they are, integers in decimal, fractional numbers as integer hundredths."""
+    t = df.schema[c].dataType.typeName()
+    if t in ("double", "float", "decimal"):
+        return cents(c).cast("string")
+    return F.col(c).cast("string")
+
+
 def sample_k(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """P20: ``min(k, n)`` rows chosen by a seeded row hash.
 
     The ``limit`` is the feature; ordering by a hash keeps it deterministic
-    and runs as a distributed top-k (TakeOrderedAndProject).
+    and runs as a distributed top-k (TakeOrderedAndProject).  The hash is
+    ``md5`` of the seed and the row's canonical text, so the same rows are
+    chosen whatever the engine or partitioning; ties fall to the columns.
     """
-    return (df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]))
-              .orderBy("_h").limit(k).drop("_h"))
+    text = F.concat_ws("|", F.lit(str(seed)), *[_canonical(df, c) for c in df.columns])
+    order = [F.col("_h"), *[F.col(c).asc_nulls_first() for c in df.columns]]
+    return df.withColumn("_h", F.md5(text)).orderBy(*order).limit(k).drop("_h")
 
 
 # ---- S3, T6 ------------------------------------------------------------------

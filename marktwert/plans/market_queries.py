@@ -453,7 +453,21 @@ def q_validate_users(spark, sf):
     return clean.validate_users(_candidates(spark, sf), _existing(spark, sf))
 
 
-@register("sample_k")
+_MARKET_COLS = ["brand", "model", "vehicleType", "fuelType", "gearbox", "notRepairedDamage",
+                "powerPS", "kilometer", "yearOfRegistration", "price", "age"]
+_MONEY_LIKE = {"powerPS", "kilometer", "price"}
+
+
+def _canonical_sql(c: str) -> str:
+    return (f"CAST(CAST(round({c} * 100) AS BIGINT) AS VARCHAR)" if c in _MONEY_LIKE
+            else f"CAST({c} AS VARCHAR)")
+
+
+@register("sample_k", with_market(f"""
+SELECT {", ".join(_MARKET_COLS)} FROM market
+ORDER BY md5(concat_ws('|', '0', {", ".join(_canonical_sql(c) for c in _MARKET_COLS)})),
+         {", ".join(f"{c} ASC NULLS FIRST" for c in _MARKET_COLS)}
+LIMIT 5000"""))
 def q_sample_k(spark, sf):
     """P20: 5000 rows chosen by a seeded row hash (a sampling operator: the
     limit is the feature)."""
