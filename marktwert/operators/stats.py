@@ -206,22 +206,31 @@ def corr_kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     wide = (data.groupBy(y).pivot(x, levels).agg(F.count(F.lit(1))).na.fill(0, subset=None))
     wide = wide.toDF(y, *names)
     pre = ordered_prefix(wide, y, names)
-    c = [F.col(nm).cast("double") for nm in names]
-    b = [F.col(f"cum_{nm}").cast("double") for nm in names]
-    # P_i = points below this y at levels < i; concordant = sum c_i * P_i and
-    # discordant = sum c_i * (B - P_i - b_i) with B = all points below this y
-    prefix, run = [], F.lit(0.0)
-    for i in range(k):
-        prefix.append(run)
-        run = run + b[i]
-    total_b = run
-    nc = sum((c[i] * prefix[i] for i in range(k)), F.lit(0.0))
-    row_n = sum(c, F.lit(0.0))
-    same = sum((c[i] * b[i] for i in range(k)), F.lit(0.0))
-    per_y = pre.select(nc.alias("nc"), row_n.alias("ny"), same.alias("_same"), total_b.alias("_tb")) \
-               .select("nc", (F.col("ny") * F.col("_tb") - F.col("_same") - F.col("nc")).alias("nd"), "ny")
-    pairs = per_y.agg(F.sum("nc").alias("nc"), F.sum("nd").alias("nd"))
-    return _kendall_result(data, x, y, pairs)
+    # per y row, one left-to-right fold over the levels: run = points below
+    # this y at lower levels, so concordant = sum c_i * run_i, and
+    # discordant = ny * (all below) - sum c_i * b_i - concordant
+    dec = "decimal(38,0)"
+    zero = F.lit(0).cast(dec)
+    cells = F.zip_with(F.array(*[F.col(nm).cast(dec) for nm in names]),
+                       F.array(*[F.col(f"cum_{nm}").cast(dec) for nm in names]),
+                       lambda c, b: F.struct(c.alias("c"), b.alias("b")))
+    fold = F.aggregate(
+        cells,
+        F.struct(zero.alias("run"), zero.alias("nc"), zero.alias("same"), zero.alias("ny")),
+        lambda acc, e: F.struct((acc["run"] + e["b"]).cast(dec).alias("run"),
+                                (acc["nc"] + e["c"] * acc["run"]).cast(dec).alias("nc"),
+                                (acc["same"] + e["c"] * e["b"]).cast(dec).alias("same"),
+                                (acc["ny"] + e["c"]).cast(dec).alias("ny")))
+    per_y = pre.select(fold.alias("_f"), *names).select(
+        F.col("_f.nc").alias("nc"), F.col("_f.ny").alias("ny"),
+        (F.col("_f.ny") * F.col("_f.run") - F.col("_f.same") - F.col("_f.nc")).cast(dec).alias("nd"),
+        *names)
+    # ties come from the same table: y ties per row, x ties per pivot column
+    pairs = per_y.agg(F.sum("nc").alias("nc"), F.sum("nd").alias("nd"),
+                      F.sum(F.col("ny") * (F.col("ny") - 1) / 2).alias("ty"),
+                      F.sum("ny").alias("n_tx"), *[F.sum(nm).cast(dec).alias(nm) for nm in names])
+    tx = sum((F.col(nm) * (F.col(nm) - 1) / 2 for nm in names), zero)
+    return _kendall_tau(pairs.withColumn("tx", tx), x, y)
 
 
 def _kendall_result(data: DataFrame, x: str, y: str, pairs: DataFrame) -> DataFrame:
@@ -229,13 +238,20 @@ def _kendall_result(data: DataFrame, x: str, y: str, pairs: DataFrame) -> DataFr
     def ties(c: str, name: str) -> DataFrame:
         return data.groupBy(c).agg(F.count(F.lit(1)).alias("t")).agg(
             F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(name), F.sum("t").alias(f"n_{name}"))
-    tx, ty = ties(x, "tx"), ties(y, "ty")
-    n0 = F.col("n_tx") * (F.col("n_tx") - 1) / 2
-    tau = (F.col("nc") - F.col("nd")) / F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))
-    # three one-row frames
-    return pairs.crossJoin(tx).crossJoin(ty).select(
+    tx, ty = ties(x, "tx"), ties(y, "ty").drop("n_ty")
+    return _kendall_tau(pairs.crossJoin(tx).crossJoin(ty), x, y)  # three one-row frames
+
+
+def _kendall_tau(row: DataFrame, x: str, y: str) -> DataFrame:
+    """Final projection of a one-row frame with nc, nd, tx, ty, n_tx."""
+    d = [F.col(c).cast("double") for c in ("n_tx", "tx", "ty", "nc", "nd")]
+    n0 = d[0] * (d[0] - 1) / 2
+    tau = (d[3] - d[4]) / F.sqrt((n0 - d[1]) * (n0 - d[2]))
+    # pair counts pass the bigint range beyond ~4.3e9 rows: exact decimals
+    return row.select(
         F.lit(x).alias("col_a"), F.lit(y).alias("col_b"),
-        F.col("nc").cast("bigint").alias("concordant"), F.col("nd").cast("bigint").alias("discordant"),
+        F.col("nc").cast("decimal(38,0)").alias("concordant"),
+        F.col("nd").cast("decimal(38,0)").alias("discordant"),
         F.round(tau, 6).alias("tau_b"))
 
 

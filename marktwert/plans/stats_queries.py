@@ -84,8 +84,8 @@ WITH d AS (SELECT {x} AS x, price AS y FROM listings
      tt AS (SELECT count(*) AS n FROM d),
      tx AS (SELECT sum(t * (t - 1) / 2) AS tx FROM (SELECT count(*) AS t FROM d GROUP BY x) a),
      ty AS (SELECT sum(t * (t - 1) / 2) AS ty FROM (SELECT count(*) AS t FROM d GROUP BY y) a)
-SELECT '{x}' AS col_a, 'price' AS col_b, CAST(nc AS BIGINT) AS concordant,
-       CAST(nd AS BIGINT) AS discordant,
+SELECT '{x}' AS col_a, 'price' AS col_b, CAST(nc AS DECIMAL(38,0)) AS concordant,
+       CAST(nd AS DECIMAL(38,0)) AS discordant,
        round((nc - nd) / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) AS tau_b
 FROM pr, tt, tx, ty"""
 
