@@ -112,15 +112,23 @@ def similar_listings(listings: DataFrame, requests: DataFrame,
     return ranked.select("brand", "model", "req_powerPS", "req_kilometer", "rank", *DISPLAY)
 
 
-def similar_summary(listings: DataFrame, requests: DataFrame) -> DataFrame:
-    """A20 part: number and mean price of *all* comparables per request."""
+def _match_sums(listings: DataFrame, requests: DataFrame) -> DataFrame:
+    """Count and cent sum of all comparables, per request that has any."""
     cells, _ = listing_cells(listings)
     m = matched_cells(requests, cells)
-    agg = m.groupBy(*REQ_KEY).agg(F.sum("_n").alias("n_similar"), F.sum("_cents").alias("_c"))
+    return m.groupBy(*REQ_KEY).agg(F.sum("_n").alias("_ns"), F.sum("_cents").alias("_c"))
+
+
+def _summary_cols() -> list[Column]:
+    n = F.coalesce("_ns", F.lit(0)).cast("bigint")
+    return [n.alias("n_similar"), (F.col("_c") / (F.col("_ns") * F.lit(100.0))).alias("avg_similar_price")]
+
+
+def similar_summary(listings: DataFrame, requests: DataFrame) -> DataFrame:
+    """A20 part: number and mean price of *all* comparables per request."""
+    agg = _match_sums(listings, requests)
     return (requests.join(agg, REQ_KEY, "left")
-               .select("brand", "model", "req_powerPS", "req_kilometer",
-                       F.coalesce("n_similar", F.lit(0)).cast("bigint").alias("n_similar"),
-                       (F.col("_c") / (F.col("n_similar") * F.lit(100.0))).alias("avg_similar_price")))
+               .select("brand", "model", "req_powerPS", "req_kilometer", *_summary_cols()))
 
 
 def verdict(pred: Column, avg: Column, close: float = C.VERDICT_CLOSE) -> Column:
@@ -134,9 +142,11 @@ def price_verdict(listings: DataFrame, asking: DataFrame, price_col: str = "pric
     kilometer, price...) with the mean of its comparables."""
     reqs = asking.select("brand", "model", F.col("powerPS").alias("req_powerPS"),
                          F.col("kilometer").alias("req_kilometer")).distinct()
-    summ = similar_summary(listings, reqs).withColumnRenamed("req_powerPS", "powerPS") \
-                                          .withColumnRenamed("req_kilometer", "kilometer")
-    out = asking.join(summ, ["brand", "model", "powerPS", "kilometer"], "left")
+    sums = _match_sums(listings, reqs).withColumnRenamed("req_powerPS", "powerPS") \
+                                      .withColumnRenamed("req_kilometer", "kilometer")
+    # requests without any comparable simply find no row here (count 0)
+    out = asking.join(sums, ["brand", "model", "powerPS", "kilometer"], "left") \
+                .select(*asking.columns, *_summary_cols())
     return out.select(*asking.columns, "n_similar", "avg_similar_price",
                       (F.col(price_col) - F.col("avg_similar_price")).alias("price_diff"),
                       verdict(F.col(price_col), F.col("avg_similar_price")).alias("verdict"))
