@@ -257,3 +257,17 @@ def test_knn_regress_equals_brute_force(spark):
             assert g is None
         else:
             assert g == pytest.approx(w, abs=1e-6)
+
+
+def test_knn_symmetric_tie_is_shared(spark):
+    # two listings 150 PS below and above the query are tied in exact
+    # arithmetic; with k = 2 they share the second slot equally
+    from marktwert.operators import knn
+    schema = "brand string, model string, powerPS double, kilometer double, age int, price double"
+    train = spark.createDataFrame([
+        ("b", "m", 500.0, 100000.0, 7, 1000.0), ("b", "m", 350.0, 100000.0, 7, 3000.0),
+        ("b", "m", 650.0, 100000.0, 7, 7000.0), ("b", "m", 990.0, 40000.0, 19, 9000.0),
+        ("b", "m", 120.0, 150000.0, 2, 500.0)], schema)
+    test = spark.createDataFrame([("b", "m", 500.0, 100000.0, 7, 0.0)], schema)
+    r = knn.knn_regress(train, test, ["powerPS", "kilometer", "age"], k=2).first()
+    assert r.prediction == pytest.approx((1000.0 + (3000.0 + 7000.0) / 2) / 2, abs=1e-9)
