@@ -198,39 +198,39 @@ def corr_kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     as exact.
     """
     data = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    levels = [r[0] for r in data.select(x).distinct().orderBy(x).limit(MAX_KENDALL_LEVELS + 1).collect()]
-    if len(levels) > MAX_KENDALL_LEVELS:
+    # at most 257 (level, count) rows reach the driver
+    lv = (data.groupBy(x).agg(F.count(F.lit(1)).alias("_t")).orderBy(x)
+              .limit(MAX_KENDALL_LEVELS + 1).collect())
+    if len(lv) > MAX_KENDALL_LEVELS:
         return _kendall_result(data, x, y, _kendall_pairs_by_digits(data, x, y))
+    levels = [r[0] for r in lv]
+    n = sum(int(r[1]) for r in lv)
+    tx = sum(int(r[1]) * (int(r[1]) - 1) // 2 for r in lv)
     k = len(levels)
     names = [f"_c{i}" for i in range(k)]
     wide = (data.groupBy(y).pivot(x, levels).agg(F.count(F.lit(1))).na.fill(0, subset=None))
     wide = wide.toDF(y, *names)
     pre = ordered_prefix(wide, y, names)
-    # per y row, one left-to-right fold over the levels: run = points below
-    # this y at lower levels, so concordant = sum c_i * run_i, and
-    # discordant = ny * (all below) - sum c_i * b_i - concordant
-    dec = "decimal(38,0)"
-    zero = F.lit(0).cast(dec)
-    cells = F.zip_with(F.array(*[F.col(nm).cast(dec) for nm in names]),
-                       F.array(*[F.col(f"cum_{nm}").cast(dec) for nm in names]),
-                       lambda c, b: F.struct(c.alias("c"), b.alias("b")))
-    fold = F.aggregate(
-        cells,
-        F.struct(zero.alias("run"), zero.alias("nc"), zero.alias("same"), zero.alias("ny")),
-        lambda acc, e: F.struct((acc["run"] + e["b"]).cast(dec).alias("run"),
-                                (acc["nc"] + e["c"] * acc["run"]).cast(dec).alias("nc"),
-                                (acc["same"] + e["c"] * e["b"]).cast(dec).alias("same"),
-                                (acc["ny"] + e["c"]).cast(dec).alias("ny")))
-    per_y = pre.select(fold.alias("_f"), *names).select(
-        F.col("_f.nc").alias("nc"), F.col("_f.ny").alias("ny"),
-        (F.col("_f.ny") * F.col("_f.run") - F.col("_f.same") - F.col("_f.nc")).cast(dec).alias("nd"),
-        *names)
-    # ties come from the same table: y ties per row, x ties per pivot column
+    # every per-row term and total is below n^2: bigint is exact (and stays
+    # in generated code) up to ~2e9 rows, decimals beyond
+    typ = "bigint" if n * n < 2 ** 62 else "decimal(38,0)"
+    c = [F.col(nm).cast(typ) for nm in names]
+    b = [F.col(f"cum_{nm}").cast(typ) for nm in names]
+    # P_i = points below this y at levels < i; concordant = sum c_i * P_i and
+    # discordant = sum c_i * (B - P_i - b_i) with B = all points below this y
+    zero = F.lit(0).cast(typ)
+    prefix, run = [], zero
+    for i in range(k):
+        prefix.append(run)
+        run = run + b[i]
+    nc = sum((c[i] * prefix[i] for i in range(k)), zero)
+    row_n = sum(c, zero)
+    same = sum((c[i] * b[i] for i in range(k)), zero)
+    per_y = pre.select(nc.alias("nc"), row_n.alias("ny"), same.alias("_same"), run.alias("_tb")) \
+               .select("nc", (F.col("ny") * F.col("_tb") - F.col("_same") - F.col("nc")).alias("nd"), "ny")
     pairs = per_y.agg(F.sum("nc").alias("nc"), F.sum("nd").alias("nd"),
-                      F.sum(F.col("ny") * (F.col("ny") - 1) / 2).alias("ty"),
-                      F.sum("ny").alias("n_tx"), *[F.sum(nm).cast(dec).alias(nm) for nm in names])
-    tx = sum((F.col(nm) * (F.col(nm) - 1) / 2 for nm in names), zero)
-    return _kendall_tau(pairs.withColumn("tx", tx), x, y)
+                      F.sum(F.col("ny").cast("double") * (F.col("ny").cast("double") - 1) / 2).alias("ty"))
+    return _kendall_tau(pairs.select("*", F.lit(float(tx)).alias("tx"), F.lit(n).alias("n_tx")), x, y)
 
 
 def _kendall_result(data: DataFrame, x: str, y: str, pairs: DataFrame) -> DataFrame:
