@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marktwert.llm import common as C
-from marktwert.llm import decontaminate, language_id, mixing, near_dedup, substring_dedup
+from marktwert.llm import (chat_format, decontaminate, language_id, mixing, near_dedup, spotsigs, substring_dedup,
+                           toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +31,36 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       cut.cast("long").alias("chars_removed"), F.concat_ws(",", spans).alias("removed_spans"), "text")
 
 
+@_register
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir).select("doc_id", "text")
+    labels = C.documents(spark, sf_dir, "labels").select("doc_id", "toxic")
+    field = toxicity.train(spark, docs.where(~C.held_out("doc_id")).join(labels, "doc_id"))
+    offsets = F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return toxicity.tag(spark, docs, field).select(
+        "doc_id", C.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), F.concat_ws(",", offsets).alias("toxic_spans"))
+
+
+@_register
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.neighbours(spark, C.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@_register
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and number -1, whose texts hold control strings."""
+    rows = C.documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)],
+                                "conv_id long, turn long, role string, text string")
+    out = chat_format.read_back(chat_format.format_conversations(rows.union(own)))
+    return out.select("conv_id", "n_turns", F.sha2(F.encode("said", "utf-8"), 256).alias("turns_sha256"),
+                      F.length("learned").cast("long").alias("loss_chars"),
+                      F.sha2(F.encode("learned", "utf-8"), 256).alias("loss_sha256"),
+                      F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 @_register
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(spark, C.documents(spark, sf_dir).select("doc_id", "text"),
@@ -70,6 +101,28 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _escaped(column: str) -> str:
+    """DuckDB form of ``chat_format.escape``."""
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in chat_format.CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+ORACLE["op4_chat_format"] = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+        coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS learned,
+        sum(length({_escaped('role')}) + length({_escaped('text')})
+            + {len(chat_format.START) + len(chat_format.END) + 2}) AS formatted_chars
+      FROM c GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256,
+       CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
+"""
+
 ORACLE["op5_decontamination"] = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r,
              regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
