@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marktwert.llm import common as C
-from marktwert.llm import (chat_format, decontaminate, language_id, mixing, near_dedup, spotsigs, substring_dedup,
-                           toxicity)
+from marktwert.llm import (chat_format, decontaminate, html_extract, language_id, mixing, near_dedup, spotsigs,
+                           substring_dedup, toxicity, warc)
+from marktwert.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,6 +74,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("_n_hit") > 0).alias("contaminated"))
 
 
+@_register
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write ``pages`` as archives, read them back: responses with payload,
+    revisits by their headers alone."""
+    path = shared_path(spark, "llm", f"warc-{uuid.uuid4().hex}")
+    warc.write(C.documents(spark, sf_dir, "pages"), path)
+    response = warc.read(spark, path).where("record_type = 'response'").withColumns(
+        {"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
+    revisit = warc.read(spark, path, payload=False).where("record_type = 'revisit'").withColumn(
+        "digest", F.regexp_replace("payload_digest", "^sha256:", ""))
+    return response.unionByName(revisit).select(
+        warc.page_number("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+        "record_type", warc.page_number("refers_to").alias("refers_to"))
+
+
 @_register
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.near_duplicates(spark, C.documents(spark, sf_dir), shingle=2)
@@ -79,6 +96,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@_register
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.main_text(spark, C.documents(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @_register
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir).select("doc_id", "source", "text")
@@ -145,6 +168,14 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n.n_hit, 0)
 FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)
 """
 
+ORACLE["op6_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT page_id, n, digest, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM f
+"""
+
 ORACLE["op7_near_dedup"] = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r,
              regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
