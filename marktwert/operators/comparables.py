@@ -78,9 +78,9 @@ def matched_cells(requests: DataFrame, cells: DataFrame,
                      F.col("_kb").alias("_ckb"))
     cond = [F.col("brand") == F.col("_cb"), F.col("model") == F.col("_cm"),
             F.col("_pb") == F.col("_cpb"), F.col("_kb") == F.col("_ckb")]
-    # the probe side is several times the request count after the explodes,
-    # which a static size estimate does not see: shuffle both sides on the key
-    joined = probes.hint("shuffle_hash").join(c, cond)
+    # both sides grow with the data, and a static size estimate does not see
+    # the explodes: a sort-merge join, which can spill on either side
+    joined = probes.join(c.hint("merge"), cond)
     band = (F.col("powerPS").between(p * F.lit(lo_f), p * F.lit(hi_f))
             & F.col("kilometer").between(km * F.lit(lo_f), km * F.lit(hi_f)))
     return joined.where(band).select("brand", "model", "req_powerPS", "req_kilometer",

@@ -1,9 +1,12 @@
 """Splits, the group-mean baseline regressor, residuals, metrics, price
 bands and the largest errors (F11, F12, M13, A19, SC3, T1).
 
-The split is a per-row arithmetic hash of the row's values: deterministic,
-independent of partitioning (so a lost executor recomputes the same side)
-and expressible in plain SQL.
+The split key is ``md5`` over a salt, the seed and the canonical text of all
+training columns: deterministic, independent of partitioning (so a lost
+executor recomputes the same side), expressible in plain SQL, and spread over
+every value combination.  Different salts give independent splits.  Rows with
+nulls take part (a null has its own text); rows equal in every column share a
+side, so no copy of a training row is held out.
 """
 
 from __future__ import annotations
@@ -15,34 +18,51 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import encode as E
-from .market import cents
+from .market import canonical, cents
 
-# ---- fixed values: multipliers of the row hash ----------------------------------
-HASH_TERMS = [("price", 7919), ("powerPS", 104729), ("kilometer", 13), ("age", 1009)]
-SEED_MULTIPLIER = 7
+#: Columns of the split key, as far as the frame has them.
+SPLIT_COLUMNS = ["brand", "model", "vehicleType", "fuelType", "gearbox", "notRepairedDamage",
+                 "powerPS", "kilometer", "age", C.TARGET]
 
 
-def split_bucket(seed: int = C.SPLIT_SEED, terms: Sequence[tuple[str, int]] = tuple(HASH_TERMS)) -> Column:
-    """Bucket 0..99 of a row (money in cents, other terms as integers)."""
-    expr = F.lit(seed * SEED_MULTIPLIER).cast("bigint")
-    for name, mult in terms:
-        v = cents(name) if name == C.TARGET else F.col(name).cast("bigint")
-        expr = expr + v * F.lit(mult).cast("bigint")
-    return F.pmod(expr, F.lit(100)).cast("int")
+def split_key(df: DataFrame, seed: int = C.SPLIT_SEED, salt: str = "split",
+              columns: Sequence[str] | None = None) -> Column:
+    """First eight hex digits of the row's keyed ``md5``."""
+    names = [c for c in (columns or SPLIT_COLUMNS) if c in df.columns]
+    if not names:
+        raise ValueError(f"none of the split columns {list(columns or SPLIT_COLUMNS)} is in the frame")
+    parts = [F.coalesce(canonical(df, c), F.lit("\\N")) for c in names]
+    return F.substring(F.md5(F.concat_ws("|", F.lit(salt), F.lit(str(seed)), *parts)), 1, 8)
+
+
+def share_text(share: float) -> str:
+    """Hex bound below which a ``share`` of all split keys lies."""
+    return f"{int(share * 2 ** 32):08x}"
 
 
 def train_test_split(df: DataFrame, test_size: float = C.TEST_SIZE,
                      seed: int = C.SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
-    """test = buckets below ``test_size * 100``."""
-    cut = int(round(test_size * 100))
-    b = split_bucket(seed)
-    return df.where(b >= cut), df.where(b < cut)
+    """test = the ``test_size`` share of the keys."""
+    held = split_key(df, seed) < share_text(test_size)
+    return df.where(~held), df.where(held)
 
 
-def split3(df: DataFrame, seed: int = C.SPLIT_SEED) -> DataFrame:
+def split3(df: DataFrame, seed: int = C.SPLIT_SEED, test: float = 0.15, validation: float = 0.15) -> DataFrame:
     """70/15/15 as a ``part`` column (train / validation / test)."""
-    b = split_bucket(seed)
-    return df.withColumn("part", F.when(b < 15, "test").when(b < 30, "validation").otherwise("train"))
+    key = split_key(df, seed)
+    return df.withColumn("part", F.when(key < share_text(test), "test")
+                         .when(key < share_text(test + validation), "validation").otherwise("train"))
+
+
+def with_validation_flag(df: DataFrame, share: float = 0.2, seed: int = C.SPLIT_SEED) -> DataFrame:
+    """``is_validation`` for early stopping, independent of the test split."""
+    return df.withColumn("is_validation", split_key(df, seed, "validation") < share_text(share))
+
+
+def with_folds(df: DataFrame, k: int, seed: int = C.SPLIT_SEED) -> DataFrame:
+    """Fold column 0..k-1, independent of the test split."""
+    number = F.conv(split_key(df, seed, "fold"), 16, 10).cast("bigint")
+    return df.withColumn("fold", F.pmod(number, F.lit(k)).cast("int"))
 
 
 # ---- baseline regressor: mean price of the (brand, model) group ---------------

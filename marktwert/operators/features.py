@@ -11,13 +11,13 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
+                                VectorSlicer)
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import encode as E
+from .stats import exact_quantiles
 
 
 class _StateParams(HasInputCols):
@@ -58,13 +59,9 @@ class OutlierClipper(Estimator, _StateParams, DefaultParamsReadable, DefaultPara
         cols = [c for c in self.getInputCols() if c in df.columns]
         f = self.getOrDefault(self.factor)
         bounds = {}
-        if cols:
-            row = df.agg(*[F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(c)
-                           for c in cols]).first()
-            for c in cols:
-                q1, q3 = row[c] if row[c] is not None else (None, None)
-                if q1 is not None:
-                    bounds[c] = [q1 - f * (q3 - q1), q3 + f * (q3 - q1)]
+        for c, q in exact_quantiles(df, {c: (0.25, 0.75) for c in cols}).items():
+            if q is not None:
+                bounds[c] = [q[0] - f * (q[1] - q[0]), q[1] + f * (q[1] - q[0])]
         m = OutlierClipperModel()
         m._set(inputCols=self.getInputCols(), state=json.dumps(bounds))
         return self._copyValues(m)
@@ -99,9 +96,10 @@ def iqr_filter(df: DataFrame, features: Sequence[str], factor: float = C.OUTLIER
     report = []
     cur = df
     for c in features:
-        row = cur.agg(F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
-                      F.count(F.lit(1)).alias("n")).first()
-        q1, q3 = row["q"]
+        found = exact_quantiles(cur, {c: (0.25, 0.75)})[c]
+        if found is None:  # no values left: nothing to bound
+            continue
+        q1, q3 = found
         lo, hi = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
         keep = (F.col(c) >= lo) & (F.col(c) <= hi)
         # the pandas mask keeps nulls (comparisons with NaN are False)
@@ -213,12 +211,27 @@ class BoxCoxModel(Model, _StateParams, DefaultParamsReadable, DefaultParamsWrita
 BOUNDS_THRESHOLD = 1e-7
 
 
+# ---- fixed values: rational approximation of the standard normal quantile -----
+_CENTRE_NUM = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+               1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
+_CENTRE_DEN = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+               6.680131188771972e+01, -1.328068155288572e+01, 1.0]
+_TAIL_NUM = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+             -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
+_TAIL_DEN = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+             3.754408661907416e+00, 1.0]
+
+
 def _inv_normal(p: np.ndarray) -> np.ndarray:
-    """Standard normal quantile, evaluated once per distinct probability."""
-    uniq, inv = np.unique(p, return_inverse=True)
-    nd = NormalDist()
-    vals = np.array([nd.inv_cdf(float(v)) for v in uniq])
-    return vals[inv]
+    """Standard normal quantile for 0 < p < 1, vectorised (relative error
+    about 1e-9)."""
+    tail = np.minimum(p, 1 - p)
+    q = tail - 0.5
+    centre = q * np.polyval(_CENTRE_NUM, q * q) / np.polyval(_CENTRE_DEN, q * q)
+    t = np.sqrt(-2 * np.log(tail))
+    low = np.polyval(_TAIL_NUM, t) / np.polyval(_TAIL_DEN, t)
+    lower = np.where(tail < 0.02425, low, centre)  # the quantile of the smaller tail
+    return np.where(p <= 0.5, lower, -lower)
 
 
 def quantile_to_normal(x: np.ndarray, quantiles: np.ndarray, refs: np.ndarray) -> np.ndarray:
@@ -244,8 +257,8 @@ def _normal_udf(q: np.ndarray, r: np.ndarray):
 
 
 class QuantileNormalizer(Estimator, _StateParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Exact quantiles at ``nQuantiles`` evenly spaced levels (one
-    ``percentile`` aggregation); transform maps values to a standard normal."""
+    """Exact quantiles at ``nQuantiles`` evenly spaced levels (value counts
+    and prefix sums); transform maps values to a standard normal."""
 
     nQuantiles = Param(Params._dummy(), "nQuantiles", "number of knots", typeConverter=TypeConverters.toInt)
 
@@ -258,9 +271,8 @@ class QuantileNormalizer(Estimator, _StateParams, DefaultParamsReadable, Default
     def _fit(self, df: DataFrame) -> "QuantileNormalizerModel":
         nq = self.getOrDefault(self.nQuantiles)
         levels = [i / (nq - 1) for i in range(nq)]
-        arr = F.array(*[F.lit(v) for v in levels])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(c) for c in self.getInputCols()]).first()
-        state = {c: {"quantiles": list(row[c]), "refs": levels} for c in self.getInputCols()}
+        found = exact_quantiles(df, {c: levels for c in self.getInputCols()})
+        state = {c: {"quantiles": found[c], "refs": levels} for c in self.getInputCols()}
         m = QuantileNormalizerModel()
         m._set(inputCols=self.getInputCols(), state=json.dumps(state))
         return self._copyValues(m)
@@ -393,14 +405,21 @@ def one_hot_slots(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # ---- F7 dummies ------------------------------------------------------------------
 
-def dummies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def dummies(df: DataFrame, cols: Sequence[str], max_categories: int = 1000) -> DataFrame:
     """``get_dummies(drop_first=True)``: one 0/1 column per sorted category
-    after the first.  Category lists are collected per column (bounded by
-    cardinality, never by rows)."""
+    after the first.  The result has a column per category, so a column with
+    more than ``max_categories`` raises (categories are then better one-hot
+    encoded into a vector)."""
     out_cols = [c for c in df.columns if c not in cols]
     extra = []
+    found = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("x")).select("x.*")
+    # one pass for all columns; at most one row beyond the bound per column
+    seen = found.where("v is not null").distinct().limit(len(cols) * (max_categories + 1)).collect()
     for c in cols:
-        cats = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).collect()]
+        cats = sorted(r["v"] for r in seen if r["c"] == c)
+        if len(cats) > max_categories:
+            raise ValueError(f"{c} has more than {max_categories} categories")
         for v in cats[1:]:
             extra.append((F.col(c) == F.lit(v)).cast("int").alias(f"{c}_{v}"))
     return df.select(*out_cols, *extra)
@@ -440,44 +459,60 @@ def feature_pipeline(numeric: Sequence[str] = tuple(C.NUMERICAL_FEATURES),
                      categorical: Sequence[str] = tuple(C.CATEGORICAL_FEATURES),
                      passthrough: Sequence[str] = tuple(C.BINARY_FEATURES),
                      outliers: Sequence[str] = tuple(C.OUTLIER_FEATURES),
-                     n_quantiles: int = 1000, output: str = "features") -> Pipeline:
+                     n_quantiles: int = 1000, output: str = "features",
+                     pca_share: float = C.PCA_VARIANCE) -> Pipeline:
     """Clip -> quantile(km) || boxcox(power, age) || zscore(power, km, age)
-    || one-hot(4) || passthrough -> one vector, in the reference's order
-    (numeric columns appear more than once on purpose)."""
+    || one-hot(4) || passthrough -> one vector ``assembled`` in the
+    reference's order (numeric columns appear more than once on purpose) ->
+    the principal components that hold ``pca_share`` of its variance."""
     q = QuantileNormalizer(inputCols=list(quantile), nQuantiles=n_quantiles)
     b = BoxCoxStandardizer(inputCols=list(boxcox))
     z = PopulationScaler(inputCols=list(numeric))
     parts = ([f"{c}_quantile" for c in quantile] + [f"{c}_boxcox" for c in boxcox]
              + [f"{c}_scaled" for c in numeric] + [f"{c}_ohe" for c in categorical] + list(passthrough))
     stages = [OutlierClipper(inputCols=list(outliers)), q, b, z, *one_hot_stages(categorical),
-              VectorAssembler(inputCols=parts, outputCol=output, handleInvalid="keep")]
+              VectorAssembler(inputCols=parts, outputCol="assembled", handleInvalid="keep"),
+              SharePCA(inputCol="assembled", outputCol=output, share=pca_share)]
     return Pipeline(stages=stages)
 
 
 # ---- F9 PCA keeping a share of variance -----------------------------------------
 
-def pca_select(df: DataFrame, input_col: str = "features", share: float = C.PCA_VARIANCE):
-    """Centre, fit PCA with all components, keep the first k whose
-    cumulative explained variance reaches ``share``.  Returns (k, fitted
-    PipelineModel producing ``pca`` with k components, variance frame)."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    d = len(df.select(input_col).first()[0])
-    centre = StandardScaler(inputCol=input_col, outputCol="_centred", withMean=True, withStd=False)
-    full = Pipeline(stages=[centre, PCA(k=d, inputCol="_centred", outputCol="_pca_all")]).fit(df)
-    ev = list(full.stages[-1].explainedVariance.toArray())
-    spark = df.sparkSession
-    var = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(ev)], "component int, ratio double")
-    from pyspark.sql import Window
-    cum = var.withColumn("cumulative", F.sum("ratio").over(
-        Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)))
-    total = 0.0
-    k = d
-    for i, v in enumerate(ev):
-        total += v
-        if total >= share:
-            k = i + 1
-            break
-    model = Pipeline(stages=[StandardScaler(inputCol=input_col, outputCol="_centred", withMean=True,
-                                            withStd=False),
-                             PCA(k=k, inputCol="_centred", outputCol="pca")]).fit(df)
-    return k, model, cum
+class SharePCA(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Centre, fit all components once, keep the first k whose cumulative
+    explained variance reaches ``share`` (a slice of the one fit).  The fitted
+    model is a persistable ``PipelineModel``."""
+
+    inputCol = Param(Params._dummy(), "inputCol", "vector column", typeConverter=TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "kept components", typeConverter=TypeConverters.toString)
+    share = Param(Params._dummy(), "share", "variance share to keep", typeConverter=TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, inputCol: str = "assembled", outputCol: str = "features", share: float = C.PCA_VARIANCE):
+        super().__init__()
+        self._setDefault(inputCol="assembled", outputCol="features", share=C.PCA_VARIANCE)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        src, dst = self.getOrDefault(self.inputCol), self.getOrDefault(self.outputCol)
+        d = len(df.select(src).first()[0])
+        centre = StandardScaler(inputCol=src, outputCol=f"{dst}_centred", withMean=True, withStd=False).fit(df)
+        full = PCA(k=d, inputCol=f"{dst}_centred", outputCol=f"{dst}_all").fit(centre.transform(df))
+        cumulative = np.cumsum(full.explainedVariance.toArray())
+        k = min(int(np.searchsorted(cumulative, self.getOrDefault(self.share) - 1e-12)) + 1, d)
+        kept = VectorSlicer(inputCol=f"{dst}_all", outputCol=dst, indices=list(range(k)))
+        return PipelineModel(stages=[centre, full, kept])
+
+
+def pca_select(df: DataFrame, input_col: str = "assembled", share: float = C.PCA_VARIANCE):
+    """(k, fitted PipelineModel producing ``pca`` with k components, variance
+    frame) of one fit over all components."""
+    model = SharePCA(inputCol=input_col, outputCol="pca", share=share).fit(df)
+    return len(model.stages[2].getIndices()), model, variance_frame(df.sparkSession, model)
+
+
+def variance_frame(spark, model: PipelineModel) -> DataFrame:
+    """Explained and cumulative variance share per component."""
+    ratios = model.stages[1].explainedVariance.toArray()
+    return spark.createDataFrame([(i + 1, float(v), float(c)) for i, (v, c) in enumerate(zip(ratios, np.cumsum(ratios)))],
+                                 "component int, ratio double, cumulative double")

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import encode as E
+from .stats import exact_quantiles
 
 
 def cents(c: str | Column = "price") -> Column:
-    """Money as exact integer cents (sums are then order-independent)."""
+    """Money as exact integer cents (sums are then order-independent).
+    Prices are whole cents by contract; finer fractions round half up."""
     return F.round(E.col_(c) * 100).cast("bigint")
 
 
@@ -28,8 +30,8 @@ def mean_money(c: str | Column = "price") -> Column:
 
 
 def mean_exact(c: str | Column) -> Column:
-    """Mean of an integer-valued column, one division of exact sums."""
-    return F.sum(E.col_(c).cast("bigint")) / F.count(E.col_(c)).cast("double")
+    """Mean from an exact decimal sum (six decimals kept), divided once."""
+    return F.sum(E.col_(c).cast("decimal(18,6)")).cast("double") / F.count(E.col_(c)).cast("double")
 
 
 # ---- A1 ---------------------------------------------------------------------
@@ -151,25 +153,28 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def nunique(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Distinct non-null values per column, one aggregation."""
+    """Distinct non-null values per column.  One column at a time (each
+    reads only its own column and combines map-side), instead of one
+    aggregation that copies every row once per column."""
     columns = list(columns or df.columns)
-    wide = df.agg(*[F.count_distinct(F.col(c)).alias(f"n_{c}") for c in columns])
-    return _long(wide, columns, ["n"], ["n_unique"])
+    out = None
+    for c in columns:
+        one = df.where(F.col(c).isNotNull()).select(c).distinct().agg(F.count(F.lit(1)).alias("n_unique")).select(
+            F.lit(c).alias("column_name"), "n_unique")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ---- A10, P21 ----------------------------------------------------------------
 
 def describe(df: DataFrame, c: str) -> DataFrame:
     """A10: mean / median / min / max / p5 / p95 (exact, linear interpolation)."""
-    q = F.percentile(F.col(c), F.array(*[F.lit(x) for x in (0.05, 0.5, 0.95)]))
-    return (df.agg(F.avg(c).alias("_mean"), q.alias("_q"), F.min(c).alias("min"),
-                   F.max(c).alias("max"), F.count(c).alias("count"))
-              .select("count", F.round("_mean", 6).alias("mean"),
-                      F.round(F.col("_q")[1], 6).alias("median"),
-                      F.col("min").cast("double").alias("min"),
-                      F.col("max").cast("double").alias("max"),
-                      F.round(F.col("_q")[0], 6).alias("p05"),
-                      F.round(F.col("_q")[2], 6).alias("p95")))
+    p05, median, p95 = exact_quantiles(df, {c: (0.05, 0.5, 0.95)})[c] or (None, None, None)
+    number = lambda x: F.round(F.lit(x).cast("double"), 6)
+    return (df.agg(F.avg(c).alias("_mean"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("count"))
+              .select("count", F.round("_mean", 6).alias("mean"), number(median).alias("median"),
+                      F.col("min").cast("double").alias("min"), F.col("max").cast("double").alias("max"),
+                      number(p05).alias("p05"), number(p95).alias("p95")))
 
 
 def price_bands(df: DataFrame, thresholds: Sequence[int] = (20_000, 30_000, 40_000),
@@ -241,7 +246,7 @@ def top_per_group(df: DataFrame, group: str, key: str, k: int) -> DataFrame:
 
 # ---- P20 ---------------------------------------------------------------------
 
-def _canonical(df: DataFrame, c: str) -> Column:
+def canonical(df: DataFrame, c: str) -> Column:
     """A column as text that every engine renders the same way: strings as
     they are, integers in decimal, fractional numbers as integer hundredths."""
     t = df.schema[c].dataType.typeName()
@@ -258,7 +263,7 @@ def sample_k(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     ``md5`` of the seed and the row's canonical text, so the same rows are
     chosen whatever the engine or partitioning; ties fall to the columns.
     """
-    text = F.concat_ws("|", F.lit(str(seed)), *[_canonical(df, c) for c in df.columns])
+    text = F.concat_ws("|", F.lit(str(seed)), *[canonical(df, c) for c in df.columns])
     order = [F.col("_h"), *[F.col(c).asc_nulls_first() for c in df.columns]]
     return df.withColumn("_h", F.md5(text)).orderBy(*order).limit(k).drop("_h")
 

@@ -29,7 +29,9 @@ def gbt(max_iter: int = C.GBT_PARAMS["n_estimators"], max_depth: int = C.GBT_PAR
         features: str = "features", **kw) -> GBTRegressor:
     """M1: boosted trees with the shipped model's settings by default
     (column sampling is per node in Spark, there is no L2 term)."""
-    return GBTRegressor(featuresCol=features, labelCol=LABEL, maxIter=max_iter, maxDepth=min(max_depth, 30),
+    if max_depth > 30:
+        raise ValueError(f"trees are at most 30 deep, not {max_depth}")
+    return GBTRegressor(featuresCol=features, labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=str(colsample),
                         seed=seed, **kw)
 
@@ -76,11 +78,6 @@ def voting(models: dict[str, object], df: DataFrame, features: str = "features")
     return out.withColumn("prediction", sum(F.col(c) for c in names) / len(names))
 
 
-def with_folds(df: DataFrame, k: int, seed: int = C.SPLIT_SEED) -> DataFrame:
-    """Fold column 0..k-1 from the row hash (stable under repartitioning)."""
-    return df.withColumn("fold", F.pmod(EV.split_bucket(seed), F.lit(k)).cast("int"))
-
-
 def stacking(members: dict[str, Callable[[], object]], train: DataFrame, k: int = 5,
              meta: Callable[[], object] | None = None, features: str = "features"):
     """M7: out-of-fold member predictions -> linear meta model.
@@ -88,7 +85,7 @@ def stacking(members: dict[str, Callable[[], object]], train: DataFrame, k: int
     For each fold, members are fit on the other folds and predict the held
     fold; the held-out predictions are unioned into the meta training set.
     Returns (members refit on all rows, meta model, meta feature names)."""
-    folded = with_folds(train, k)
+    folded = EV.with_folds(train, k)
     oof = None
     names = [f"pred_{n}" for n in members]
     for f in range(k):
@@ -121,7 +118,7 @@ def stacking_predict(full: dict, meta_model, names: Sequence[str], df: DataFrame
 def cv_report(make: Callable[[], object], train: DataFrame, k: int = 10, name: str = "model"):
     """M8: per fold train and test R2/MAE/MSE and fit/score seconds; returns
     a list of dict rows (k rows, bounded)."""
-    folded = with_folds(train, k).cache()
+    folded = EV.with_folds(train, k).cache()
     rows = []
     try:
         for f in range(k):
@@ -152,7 +149,7 @@ def grid_search(est, grid: dict, train: DataFrame, k: int = 5, parallelism: int
     cv = CrossValidator(estimator=est, estimatorParamMaps=builder.build(),
                         evaluator=RegressionEvaluator(labelCol=LABEL, metricName="r2"),
                         foldCol="fold", parallelism=parallelism)
-    return cv.fit(with_folds(train, k))
+    return cv.fit(EV.with_folds(train, k))
 
 
 def random_search(est, space: dict, train: DataFrame, n_candidates: int = 5, k: int = 5,
@@ -166,7 +163,7 @@ def random_search(est, space: dict, train: DataFrame, n_candidates: int = 5, k:
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps,
                         evaluator=RegressionEvaluator(labelCol=LABEL, metricName="r2"),
                         foldCol="fold", parallelism=parallelism)
-    return cv.fit(with_folds(train, k)), maps
+    return cv.fit(EV.with_folds(train, k)), maps
 
 
 def budgeted_search(make: Callable[[dict], object], space: dict, train: DataFrame, max_trials: int = 30,
@@ -175,7 +172,7 @@ def budgeted_search(make: Callable[[dict], object], space: dict, train: DataFram
     deadline checked between trials; objective = mean k-fold R2.  Returns
     (best params, trial rows)."""
     rng = random.Random(seed)
-    folded = with_folds(train, k).cache()
+    folded = EV.with_folds(train, k).cache()
     deadline = time.time() + budget_seconds
     trials = []
     try:

@@ -8,8 +8,8 @@ Scale rules used throughout:
 * global orderings (ranks, running counts) use ``ordered_prefix``: the
   distinct values are split into value ranges, each range is scanned in
   order and range totals become offsets -- no single-partition window;
-* per-group quantiles use Spark's exact ``percentile`` whose buffer holds one
-  entry per distinct value of the group.
+* exact quantiles come from value counts and the same prefix sums
+  (``exact_quantiles``, ``group_quantiles``): no buffer of all distinct values.
 """
 
 from __future__ import annotations
@@ -28,10 +28,11 @@ from ..session import ensure_checkpoint_dir
 
 def ordered_prefix(df: DataFrame, order_col: str, value_cols: Sequence[str],
                    partitions: int | None = None,
-                   cuts: Sequence[float] | None = None) -> DataFrame:
-    """Add ``cum_<v>`` = sum of ``v`` over rows with a smaller ``order_col``.
+                   cuts: Sequence[float] | None = None, groups: Sequence[str] = ()) -> DataFrame:
+    """Add ``cum_<v>`` = sum of ``v`` over rows with a smaller ``order_col``
+    (of the same ``groups``, if any).
 
-    ``df`` must hold one row per distinct ``order_col`` value.  Cut points
+    ``df`` must hold one row per distinct ``order_col`` value (and group).  Cut points
     for ``n`` ranges are taken once with ``approxQuantile`` (``n - 1``
     values on the driver), so the range tag of a row is a pure expression
     and every branch of the plan agrees on it.  Each range's running sum is
@@ -57,15 +58,16 @@ def ordered_prefix(df: DataFrame, order_col: str, value_cols: Sequence[str],
         ensure_checkpoint_dir(spark)
         tagged = (df.repartitionByRange(n, order_col)
                     .withColumn("_pid", F.spark_partition_id())).checkpoint(eager=True)
-    totals = tagged.groupBy("_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
-    w_tot = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{v}").over(w_tot), F.lit(0))
+    groups = list(groups)
+    totals = tagged.groupBy(*groups, "_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    w_tot = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*groups, "_pid", *[F.coalesce(F.sum(f"_t_{v}").over(w_tot), F.lit(0))
                                      .alias(f"_o_{v}") for v in value_cols])
-    w = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*groups, "_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     local = tagged.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_l_{v}")
                                  for v in value_cols])
-    # offsets hold one row per range: a bounded broadcast
-    out = local.join(F.broadcast(offsets), "_pid")
+    # without groups, offsets hold one row per range: a bounded broadcast
+    out = local.join(offsets if groups else F.broadcast(offsets), [*groups, "_pid"])
     return out.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_l_{v}")).alias(f"cum_{v}")
                                      for v in value_cols])
 
@@ -94,27 +96,72 @@ def shared_cuts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]
     return dict(zip(num, qs))
 
 
+# ---- exact quantiles -------------------------------------------------------------
+
+def exact_quantiles(df: DataFrame, probs: dict[str, Sequence[float]]) -> dict[str, list[float] | None]:
+    """Exact quantiles (linear interpolation) of several numeric columns;
+    None for a column without values.
+
+    Per column: value counts, running counts by ``ordered_prefix``, and only
+    the values at the wanted positions (two per level) reach the driver.
+    """
+    out: dict[str, list[float] | None] = {}
+    cuts = shared_cuts(df, list(probs))
+    for c, levels in probs.items():
+        counts = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("_v"))
+                    .agg(F.count(F.lit(1)).alias("_n")))
+        total = counts.agg(F.sum("_n")).first()[0]
+        if not total:
+            out[c] = None
+            continue
+        at = [(total - 1) * p for p in levels]
+        wanted = sorted({i for h in at for i in (math.floor(h), math.ceil(h))})
+        places = F.array(*[F.lit(i).cast("long") for i in wanted])
+        pos = ordered_prefix(counts, "_v", ["_n"], cuts=cuts.get(c))
+        inside = F.filter(places, lambda i: (i >= F.col("cum__n")) & (i < F.col("cum__n") + F.col("_n")))
+        value = {r["i"]: r["_v"] for r in pos.select("_v", F.explode(inside).alias("i")).collect()}
+        out[c] = [value[math.floor(h)] * (1 - (h - math.floor(h))) + value[math.ceil(h)] * (h - math.floor(h))
+                  for h in at]
+    return out
+
+
+def group_quantiles(counts: DataFrame, value: str, groups: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles per group from value counts (``groups``, ``value``,
+    ``_n``): one column per entry of ``probs``, and ``count``."""
+    groups = list(groups)
+    pos = ordered_prefix(counts, value, ["_n"], groups=groups)
+    rows = pos.join(counts.groupBy(*groups).agg(F.sum("_n").alias("_total")), groups)
+    v, first = F.col(value).cast("double"), F.col("cum__n")
+    aggs = [F.first("_total").alias("count")]
+    for name, p in probs.items():
+        h = (F.col("_total") - 1) * F.lit(float(p))
+        for part, place in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            here = (first <= place) & (place < first + F.col("_n"))
+            aggs.append(F.min(F.when(here, v)).alias(f"_{part}_{name}"))
+    out = rows.groupBy(*groups).agg(*aggs)
+    share = {n: (F.col("count") - 1) * F.lit(float(p)) - F.floor((F.col("count") - 1) * F.lit(float(p)))
+             for n, p in probs.items()}
+    return out.select(*groups, "count", *[
+        (F.col(f"_lo_{n}") * (1 - share[n]) + F.col(f"_hi_{n}") * share[n]).alias(n) for n in probs])
+
+
 # ---- A11 box statistics ---------------------------------------------------------
 
 def box_stats(df: DataFrame, value: str, group: str | Sequence[str], factor: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (most extreme values inside q +- factor*IQR) and
-    outlier count per group."""
+    outlier count per group, all from the (group, value) counts."""
     groups = [group] if isinstance(group, str) else list(group)
-    data = df.where(F.col(value).isNotNull())
-    q = (data.groupBy(*groups)
-             .agg(F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-                  F.count(F.lit(1)).alias("count"))
-             .select(*groups, "count", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                     F.col("_q")[2].alias("q3")))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    q = group_quantiles(counts, value, groups, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     q = q.withColumn("_lo", F.col("q1") - factor * (F.col("q3") - F.col("q1"))) \
          .withColumn("_hi", F.col("q3") + factor * (F.col("q3") - F.col("q1")))
     v = F.col(value).cast("double")
     inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
-    ext = (data.join(q.select(*groups, "_lo", "_hi"), groups)
+    ext = (counts.join(q.select(*groups, "_lo", "_hi"), groups)
                .groupBy(*groups)
                .agg(F.min(F.when(inside, v)).alias("whisker_low"),
                     F.max(F.when(inside, v)).alias("whisker_high"),
-                    F.count_if(~inside).alias("outliers")))
+                    F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("outliers")))
     return q.join(ext, groups).select(
         *groups, "count", F.round("q1", 6).alias("q1"), F.round("median", 6).alias("median"),
         F.round("q3", 6).alias("q3"), F.round("whisker_low", 6).alias("whisker_low"),
@@ -172,72 +219,78 @@ def corr_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Spearman = Pearson on average ranks (ranks from ``ordered_prefix``)."""
+    """Spearman = Pearson on average ranks (ranks from ``ordered_prefix``).
+
+    Rows are first aggregated to distinct value tuples, so ranks are joined to
+    tuples, not rows.  Columns without nulls share one ranking; a pair with a
+    null in either column is ranked on the rows complete for that pair.
+    """
     cols = list(columns)
-    ranked = df.select(*cols)
-    cuts = shared_cuts(ranked, cols)
-    for c in cols:
-        ranked = ranked.join(average_rank(df, c, cuts.get(c)), c, "left")
-    ranked = ranked.select(*[F.col(f"rank_{c}").alias(c) for c in cols])
-    return corr_pearson(ranked, cols)
+    tuples = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w"))
+    nulls = tuples.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    full = [c for c in cols if not nulls[c]]
+    cuts = shared_cuts(df, cols)
+
+    def ranks(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+        out = rows
+        for c in names:
+            counts = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.sum("_w").alias("_n"))
+            pre = ordered_prefix(counts, c, ["_n"], cuts=cuts.get(c))
+            rank = pre.select(F.col(c).alias("_v"), (F.col("cum__n") + (F.col("_n") + 1) / 2.0).alias(f"rank_{c}"))
+            out = out.join(rank, F.col(c) == F.col("_v")).drop("_v")
+        return out
+
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[:i]]
+    shared = [p for p in pairs if p[0] in full and p[1] in full]
+    one = [_weighted_corr(ranks(tuples, full), shared)] if shared else []
+    one += [_weighted_corr(ranks(tuples.where(F.col(a).isNotNull() & F.col(b).isNotNull()), (a, b)), [(a, b)])
+            for a, b in pairs if (a, b) not in shared]
+    wide = one[0]
+    for more in one[1:]:
+        wide = wide.crossJoin(more)  # one-row frames
+    return _matrix(wide, cols)
+
+
+def _weighted_corr(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row with ``c_<a>__<b>``: Pearson of the rank columns, weight ``_w``."""
+    names = sorted({c for p in pairs for c in p})
+    w = F.col("_w").cast("double")
+    means = rows.agg(*[(F.sum(w * F.col(f"rank_{c}")) / F.sum(w)).alias(f"_m_{c}") for c in names])
+    j = rows.crossJoin(F.broadcast(means))  # one-row frame
+    d = {c: F.col(f"rank_{c}") - F.col(f"_m_{c}") for c in names}
+    return j.agg(*[(F.sum(w * d[a] * d[b]) / F.sqrt(F.sum(w * d[a] * d[a]) * F.sum(w * d[b] * d[b]))
+                    ).alias(f"c_{a}__{b}") for a, b in pairs])
+
+
+def _matrix(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Long symmetric matrix from one row with ``c_<a>__<b>`` (a after b)."""
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            hi, lo = (a, b) if i > j else (b, a)
+            val = "CAST(1.0 AS DOUBLE)" if i == j else f"`c_{hi}__{lo}`"
+            rows.append(f"'{a}', '{b}', {val}, {str(i > j).lower()}")
+    expr = f"stack({len(rows)}, {', '.join(rows)}) as (col_a, col_b, corr, lower_triangle)"
+    return wide.selectExpr(expr).select("col_a", "col_b", F.round("corr", 6).alias("corr"), "lower_triangle")
 
 
-MAX_KENDALL_LEVELS = 256
 KENDALL_BASE = 16
 
 
 def corr_kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall tau-b between any two orderable columns.
-
-    Contingency cells (x, y, n) are pivoted to one row per distinct y with a
-    count per x level; ``ordered_prefix`` gives, per y, the counts of points
-    with a smaller y at each level.  Concordant pairs of a cell are those
-    below it in y at lower x levels, discordant at higher levels.  No pair of
-    rows or cells is ever materialised.  An ``x`` with more than 256 levels
-    takes the digit-level path (``_kendall_pairs_by_digits``), which is just
-    as exact.
-    """
+    """Kendall tau-b between any two orderable columns, exact for any
+    cardinality and row count (``_kendall_pairs_by_digits``); no pair of rows
+    or cells is ever materialised."""
     data = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    # at most 257 (level, count) rows reach the driver
-    lv = (data.groupBy(x).agg(F.count(F.lit(1)).alias("_t")).orderBy(x)
-              .limit(MAX_KENDALL_LEVELS + 1).collect())
-    if len(lv) > MAX_KENDALL_LEVELS:
-        return _kendall_result(data, x, y, _kendall_pairs_by_digits(data, x, y))
-    levels = [r[0] for r in lv]
-    n = sum(int(r[1]) for r in lv)
-    tx = sum(int(r[1]) * (int(r[1]) - 1) // 2 for r in lv)
-    k = len(levels)
-    names = [f"_c{i}" for i in range(k)]
-    wide = (data.groupBy(y).pivot(x, levels).agg(F.count(F.lit(1))).na.fill(0, subset=None))
-    wide = wide.toDF(y, *names)
-    pre = ordered_prefix(wide, y, names)
-    # every per-row term and total is below n^2: bigint is exact (and stays
-    # in generated code) up to ~2e9 rows, decimals beyond
-    typ = "bigint" if n * n < 2 ** 62 else "decimal(38,0)"
-    c = [F.col(nm).cast(typ) for nm in names]
-    b = [F.col(f"cum_{nm}").cast(typ) for nm in names]
-    # P_i = points below this y at levels < i; concordant = sum c_i * P_i and
-    # discordant = sum c_i * (B - P_i - b_i) with B = all points below this y
-    zero = F.lit(0).cast(typ)
-    prefix, run = [], zero
-    for i in range(k):
-        prefix.append(run)
-        run = run + b[i]
-    nc = sum((c[i] * prefix[i] for i in range(k)), zero)
-    row_n = sum(c, zero)
-    same = sum((c[i] * b[i] for i in range(k)), zero)
-    per_y = pre.select(nc.alias("nc"), row_n.alias("ny"), same.alias("_same"), run.alias("_tb")) \
-               .select("nc", (F.col("ny") * F.col("_tb") - F.col("_same") - F.col("nc")).alias("nd"), "ny")
-    pairs = per_y.agg(F.sum("nc").alias("nc"), F.sum("nd").alias("nd"),
-                      F.sum(F.col("ny").cast("double") * (F.col("ny").cast("double") - 1) / 2).alias("ty"))
-    return _kendall_tau(pairs.select("*", F.lit(float(tx)).alias("tx"), F.lit(n).alias("n_tx")), x, y)
+    return _kendall_result(data, x, y, _kendall_pairs_by_digits(data, x, y))
 
 
 def _kendall_result(data: DataFrame, x: str, y: str, pairs: DataFrame) -> DataFrame:
     """tau-b from the one-row (nc, nd) frame plus the tie counts of x and y."""
     def ties(c: str, name: str) -> DataFrame:
         return data.groupBy(c).agg(F.count(F.lit(1)).alias("t")).agg(
-            F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(name), F.sum("t").alias(f"n_{name}"))
+            F.sum(F.col("t").cast("decimal(38,0)") * (F.col("t") - 1).cast("decimal(18,0)")).alias(f"{name}2"),
+            F.sum("t").alias(f"n_{name}")).select((F.col(f"{name}2").cast("double") / 2).alias(name), f"n_{name}")
     tx, ty = ties(x, "tx"), ties(y, "ty").drop("n_ty")
     return _kendall_tau(pairs.crossJoin(tx).crossJoin(ty), x, y)  # three one-row frames
 
@@ -344,14 +397,12 @@ def skewness_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # ---- A23 outlier counts ---------------------------------------------------------
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str], factor: float = C.OUTLIER_FACTOR) -> DataFrame:
-    """One-row frame with ``lo_<c>``/``hi_<c>`` for each column (one pass)."""
-    aggs = [F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in columns]
-    q = df.agg(*aggs)
-    cols = []
-    for c in columns:
-        q1, q3 = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
-        cols += [(q1 - factor * (q3 - q1)).alias(f"lo_{c}"), (q3 + factor * (q3 - q1)).alias(f"hi_{c}")]
-    return q.select(*cols)
+    """One-row frame with ``lo_<c>``/``hi_<c>`` for each column."""
+    row = []
+    for c, q in exact_quantiles(df, {c: (0.25, 0.75) for c in columns}).items():
+        lo, hi = (None, None) if q is None else (q[0] - factor * (q[1] - q[0]), q[1] + factor * (q[1] - q[0]))
+        row += [F.lit(lo).cast("double").alias(f"lo_{c}"), F.lit(hi).cast("double").alias(f"hi_{c}")]
+    return df.sparkSession.range(1).select(*row)
 
 
 def outlier_counts(df: DataFrame, columns: Sequence[str], factor: float = C.OUTLIER_FACTOR) -> DataFrame:

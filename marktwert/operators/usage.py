@@ -5,9 +5,9 @@ handful of rows (broadcast), users a dimension that grows with sign-ups
 (left to AQE).  Aggregations are partial before the shuffle, so a user
 holding a third of all requests does not create a hot reducer:
 
-* ``quota_admission`` keeps, per (user, day), only the first ``max_limit``
-  requests through a ``row_number() <= const`` filter that Catalyst plans as
-  a map-side ``WindowGroupLimit``;
+* ``quota_admission`` ranks inside (user, day, minute) and adds the counts of
+  the earlier minutes (at most 1440 rows per user and day), so a user-day of
+  any size is ranked in pieces and any day limit is exact;
 * ``minute_usage`` partitions by (user, minute bucket) instead of user, and
   counts the part of the trailing minute that lies in the previous bucket
   with probe rows, so each window partition holds at most two minutes of one
@@ -112,24 +112,24 @@ def quota_response(status: DataFrame) -> DataFrame:
         F.struct(F.col("remaining_minute").alias("minute"), F.col("remaining_day").alias("day")).alias("remaining"))
 
 
-def quota_admission(usage: DataFrame, limits: DataFrame, max_limit: int) -> DataFrame:
+def quota_admission(usage: DataFrame, limits: DataFrame) -> DataFrame:
     """Replay the day limit over the log.
 
     A request is admitted when fewer than ``limit_per_day`` requests of the
     same user and day precede it (ordered by time, then id).  Rejected calls
-    are logged too, so every row counts.  ``max_limit`` is the largest day
-    limit of any plan: only the first ``max_limit`` rows per (user, day) can
-    be admitted, so the ranking is a top-k with a constant bound and runs with
-    a map-side partial limit; all other rows are rejected by an anti lookup.
+    are logged too, so every row counts.  The rank of a request in its day is
+    its rank in its minute plus the counts of the day's earlier minutes.
     """
-    rows = predict_rows(usage).withColumn("_day", F.to_date("request_timestamp"))
-    w = Window.partitionBy("user_id", "_day").orderBy("request_timestamp", "id")
-    first = (rows.select("id", "user_id", "_day", "request_timestamp")
-                 .withColumn("_rank", F.row_number().over(w))
-                 .where(F.col("_rank") <= max_limit)
-                 .select("id", (F.col("_rank") - 1).alias("_prior")))
-    lim = limits.select("user_id", "limit_per_day")
-    out = (rows.join(first, "id", "left").join(lim, "user_id", "left"))
+    minute = F.floor(F.unix_micros("request_timestamp") / MINUTE_US)
+    rows = predict_rows(usage).withColumns({"_day": F.to_date("request_timestamp"), "_minute": minute})
+    counts = rows.groupBy("user_id", "_day", "_minute").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("user_id", "_day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("user_id", "_day", "_minute",
+                            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("user_id", "_day", "_minute").orderBy("request_timestamp", "id")
+    ranked = (rows.join(offsets, ["user_id", "_day", "_minute"])
+                  .withColumn("_prior", F.col("_before") + F.row_number().over(within) - 1))
+    out = ranked.join(limits.select("user_id", "limit_per_day"), "user_id", "left")
     admitted = F.coalesce(F.col("_prior") < F.col("limit_per_day"), F.lit(False))
     return out.select("id", "user_id", "request_timestamp", "limit_per_day",
                       admitted.alias("admitted"),

@@ -46,9 +46,8 @@ FROM market"""
 
 
 def _stored(spark, sf):
-    """A fresh stored table per call: the import writes because it is empty."""
-    import uuid
-    path = _out(spark, sf, f"cars_{uuid.uuid4().hex[:12]}")
+    """The stored table: imported once per session, then found non-empty."""
+    path = _out(spark, sf, "cars")
     files.import_listings(spark, market_df(spark, sf), path)
     return spark.read.parquet(path)
 
@@ -89,17 +88,20 @@ def q_split(spark, sf):
 
 
 @register("split3", with_training(f"""
-SELECT * EXCLUDE (_bucket),
-       CASE WHEN _bucket < 15 THEN 'test' WHEN _bucket < 30 THEN 'validation' ELSE 'train' END AS part
-FROM bucketed"""))
+SELECT * EXCLUDE (_key),
+       CASE WHEN _key < '26666666' THEN 'test' WHEN _key < '4ccccccc' THEN 'validation' ELSE 'train' END AS part
+FROM keyed"""))
 def q_split3(spark, sf):
     return EV.split3(training(spark, sf))
 
 
 def _written_split(spark, sf):
-    train, test = EV.train_test_split(training(spark, sf))
+    """Both sides, written once per session (a lazy reader of an earlier
+    result never sees its files replaced)."""
     base = _out(spark, sf, "split")
-    files.save_split(train, test, base)
+    if files.table_is_empty(spark, f"{base}/test"):
+        train, test = EV.train_test_split(training(spark, sf))
+        files.save_split(train, test, base)
     return base
 
 
@@ -110,12 +112,22 @@ def q_save_split(spark, sf):
     return spark.read.parquet(f"{base}/train")
 
 
-@register("load_split", with_training("SELECT * EXCLUDE (price) FROM test"))
+@register("load_split", with_training("""
+SELECT 'X_train' AS frame, * EXCLUDE (price), CAST(NULL AS DOUBLE) AS price FROM train
+UNION ALL SELECT 'X_test', * EXCLUDE (price), NULL FROM test
+UNION ALL SELECT 'y_train', * EXCLUDE (price) REPLACE (NULL AS brand, NULL AS model, NULL AS vehicleType,
+  NULL AS fuelType, NULL AS gearbox, NULL AS notRepairedDamage, NULL AS powerPS, NULL AS kilometer, NULL AS age), price FROM train
+UNION ALL SELECT 'y_test', * EXCLUDE (price) REPLACE (NULL AS brand, NULL AS model, NULL AS vehicleType,
+  NULL AS fuelType, NULL AS gearbox, NULL AS notRepairedDamage, NULL AS powerPS, NULL AS kilometer, NULL AS age), price FROM test"""))
 def q_load_split(spark, sf):
-    """X_test of the written split."""
+    """The four frames of the written split, marked by name."""
     base = _written_split(spark, sf)
-    _, _, x_test, _ = files.load_split(spark, base)
-    return x_test
+    x_train, y_train, x_test, y_test = files.load_split(spark, base)
+    out = None
+    for name, df in (("X_train", x_train), ("X_test", x_test), ("y_train", y_train), ("y_test", y_test)):
+        part = df.withColumn("frame", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 _BASELINE = """
@@ -164,8 +176,8 @@ def q_price_band(spark, sf):
     from the metrics table (first row)."""
     pred = _baseline_predictions(spark, sf)
     metrics_path = _out(spark, sf, "metrics")
-    m = pred.agg(F.avg(F.abs(F.col("price") - F.col("prediction"))).alias("mae"))
-    m.coalesce(1).write.mode("overwrite").parquet(metrics_path)
+    m = pred.agg(F.avg(F.abs(F.col("price") - F.col("prediction"))).alias("mae")).first()
+    files.save_metrics(spark, m.asDict(), metrics_path)
     metrics = spark.read.parquet(metrics_path)
     joined = EV.with_margin(pred, metrics)
     out = EV.price_band(joined, EV.margin_from_metrics(metrics), "prediction")

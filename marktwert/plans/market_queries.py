@@ -18,7 +18,7 @@ MEAN_MONEY = "CAST(SUM(CAST(round(price * 100) AS BIGINT)) AS DOUBLE) / (COUNT(p
 
 
 def _mean_exact(c: str) -> str:
-    return f"CAST(SUM(CAST({c} AS BIGINT)) AS DOUBLE) / COUNT({c})"
+    return f"CAST(SUM(CAST({c} AS DECIMAL(18,6))) AS DOUBLE) / COUNT({c})"
 
 
 # ---- cleaning (P1-P12) ---------------------------------------------------------

@@ -13,6 +13,7 @@ import zlib
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -148,9 +149,11 @@ def q_quantile_normal(spark, sf):
 
 @register("pca_select")
 def q_pca_select(spark, sf):
-    train, _, _ = prepared(spark, sf)
-    k, _, cum = FE.pca_select(train)
-    return cum.withColumn("selected", F.col("component") <= k)
+    """The variance curve of the prepared pipeline's own PCA stage."""
+    _, _, pipe = prepared(spark, sf)
+    pca = pipe.stages[-1]
+    return FE.variance_frame(spark, pca).withColumn(
+        "selected", F.col("component") <= len(pca.stages[2].getIndices()))
 
 
 # ---- models ------------------------------------------------------------------------
@@ -169,7 +172,7 @@ def q_gbt_price(spark, sf):
 @register("gbt_early_stop")
 def q_gbt_early_stop(spark, sf):
     train, test, _ = prepared(spark, sf)
-    flagged = train.withColumn("is_validation", EV.split_bucket(seed=99) < 20)
+    flagged = EV.with_validation_flag(train)
     m = M.gbt_early_stop(flagged, max_iter=15, max_depth=4, step=0.3)
     return EV.regression_metrics(m.transform(test)).withColumn("trees", F.lit(m.getNumTrees))
 
@@ -252,7 +255,7 @@ def q_model_ranking(spark, sf):
         rows.append({"model": name, **M.metrics_row(est.fit(train).transform(test))})
     df = _metrics_frame(spark, rows)
     return df.withColumn("is_best", F.col("r2") == F.max("r2").over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy()))
+        Window.partitionBy()))
 
 
 # ---- scoring and persistence ---------------------------------------------------------

@@ -95,13 +95,20 @@ WHERE brand IS NOT NULL AND model IS NOT NULL AND vehicleType IS NOT NULL
   AND fuelType <> 'Other' AND notRepairedDamage <> 'NaN'
 """
 
-# the per-row split bucket (same arithmetic as operators.evaluation.split_bucket)
-SPLIT_BUCKET_SQL = """((((CAST(round(price * 100) AS BIGINT) * 7919 + CAST(powerPS AS BIGINT) * 104729
-   + CAST(kilometer AS BIGINT) * 13 + CAST(age AS BIGINT) * 1009 + 105) % 100) + 100) % 100)"""
+def _text_sql(c: str) -> str:
+    if c in ("powerPS", "kilometer", "price"):
+        c = f"CAST(round({c} * 100) AS BIGINT)"
+    return f"coalesce(CAST({c} AS VARCHAR), '\\N')"
+
+
+# the split key: md5 over salt, seed and every training column
+SPLIT_KEY_SQL = "substr(md5(concat_ws('|', 'split', '15', " + ", ".join(_text_sql(c) for c in (
+    "brand", "model", "vehicleType", "fuelType", "gearbox", "notRepairedDamage", "powerPS", "kilometer", "age",
+    "price")) + ")), 1, 8)"
 
 
 def with_training(body: str) -> str:
     return _ctes(f"listings AS ({LISTINGS_SQL}),\ntraining AS ({TRAINING_SQL}),\n"
-                 f"bucketed AS (SELECT *, CAST({SPLIT_BUCKET_SQL} AS INT) AS _bucket FROM training),\n"
-                 f"train AS (SELECT * EXCLUDE (_bucket) FROM bucketed WHERE _bucket >= 20),\n"
-                 f"test AS (SELECT * EXCLUDE (_bucket) FROM bucketed WHERE _bucket < 20)", body)
+                 f"keyed AS (SELECT *, {SPLIT_KEY_SQL} AS _key FROM training),\n"
+                 f"train AS (SELECT * EXCLUDE (_key) FROM keyed WHERE _key >= '33333333'),\n"
+                 f"test AS (SELECT * EXCLUDE (_key) FROM keyed WHERE _key < '33333333')", body)

@@ -17,7 +17,6 @@ from .registry import register
 # ---- fixed test values: stored plans and the static fallback table ----------
 DB_PLANS = [(1, "Free", 1, 2, 0.0), (2, "Basic", 1, 3, 9.99)]
 STATIC_PLANS = [(1, "Free", 1, 2, 0.0), (2, "Basic", 1, 3, 9.99), (3, "Premium", 1, 5, 19.99)]
-MAX_DAY_LIMIT = max(p[3] for p in DB_PLANS + STATIC_PLANS)
 
 
 def _values(plans) -> str:
@@ -66,6 +65,26 @@ def q_quota_status(spark, sf):
     return U.quota_status(usage(spark, sf), _limits(spark, sf), AS_OF)
 
 
+@register("quota_response", with_usage(f"""WITH {LIMITS_CTE},
+c AS (SELECT user_id, count(*) AS usage_day,
+             count(*) FILTER (WHERE request_timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 1 MINUTE) AS usage_minute
+      FROM pred WHERE request_timestamp >= date_trunc('day', TIMESTAMP '{AS_OF}')
+                  AND request_timestamp <= TIMESTAMP '{AS_OF}' GROUP BY user_id),
+j AS (SELECT lim.*, CAST(coalesce(c.usage_day, 0) AS BIGINT) AS d, CAST(coalesce(c.usage_minute, 0) AS BIGINT) AS m
+      FROM lim LEFT JOIN c ON lim.user_id = c.user_id),
+k AS (SELECT *, CASE WHEN d >= limit_per_day THEN 0 ELSE limit_per_minute END AS ml FROM j)
+SELECT user_id, subscription_plan_id,
+       '{{"limits":{{"per_minute":' || ml || ',"per_day":' || limit_per_day || '}},"current_usage":{{"minute":' || m
+       || ',"day":' || d || '}},"remaining":{{"minute":' || greatest(0, ml - m) || ',"day":'
+       || greatest(0, limit_per_day - d) || '}}}}' AS response
+FROM k"""))
+def q_quota_response(spark, sf):
+    """U1 response shape: the nested record as JSON text."""
+    nested = U.quota_response(U.quota_status(usage(spark, sf), _limits(spark, sf), AS_OF))
+    return nested.select("user_id", "subscription_plan_id",
+                         F.to_json(F.struct("limits", "current_usage", "remaining")).alias("response"))
+
+
 @register("quota_admission", with_usage(f"""WITH {LIMITS_CTE},
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(request_timestamp AS DATE)
                                    ORDER BY request_timestamp, id) AS rn FROM pred)
@@ -74,7 +93,7 @@ SELECT r.id, r.user_id, r.request_timestamp, lim.limit_per_day,
        CASE WHEN coalesce(r.rn - 1 < lim.limit_per_day, false) THEN r.status_code ELSE 429 END AS status_code
 FROM r LEFT JOIN lim ON r.user_id = lim.user_id"""))
 def q_quota_admission(spark, sf):
-    return U.quota_admission(usage(spark, sf), _limits(spark, sf), MAX_DAY_LIMIT)
+    return U.quota_admission(usage(spark, sf), _limits(spark, sf))
 
 
 @register("minute_windows", with_usage("""

@@ -1,7 +1,7 @@
 """Spark session construction and cluster-shared locations.
 
-On a cluster the session is created by the platform; ``get_session`` only
-fills in settings that are unset, so cluster configuration always wins.
+On a cluster the session is created by the platform; ``get_session`` then
+returns it as it is, so cluster configuration always wins.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings applied only when the running session has no value for them.
+# Settings of the local sessions that ``get_session`` builds.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -52,20 +52,29 @@ def get_session(master: str | None = None, app_name: str = "marktwert",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder; only when nothing is configured (local
-    tests) a fresh scratch folder is created.
+    The cluster names a shared folder.  Only a local master, whose executors
+    share the driver's disk, gets a fresh scratch folder when nothing is
+    configured; any other master raises.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     active_dir = sc.getCheckpointDir()
     if not configured:
+        if not active_dir and not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = active_dir or tempfile.mkdtemp(prefix="marktwert-ckpt-", dir="/tmp")
     if not active_dir:
         sc.setCheckpointDir(configured)
     return configured
 
 
+def is_local(master: str) -> bool:
+    """Whether executors run in the driver's process."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the shared checkpoint folder (for written intermediates)."""
+    """A path for written intermediates under the shared checkpoint folder, in
+    a folder of this application (two sessions never share a path)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return "/".join([base, *parts])
+    return "/".join([base, spark.sparkContext.applicationId, *parts])

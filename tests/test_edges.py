@@ -103,7 +103,7 @@ def test_day_admission_and_microsecond_before_midnight(spark):
         "status_code int, response_time_ms double")
     plans = usage.plans_frame(spark, [(1, "Free", 1, 2, 0.0)])
     lim = usage.plan_limits(usage.users_from_log(log), plans, plans)
-    adm = {r.id: r.admitted for r in usage.quota_admission(log, lim, 2).collect()}
+    adm = {r.id: r.admitted for r in usage.quota_admission(log, lim).collect()}
     assert adm == {1: True, 2: True, 3: True, 4: False}
     st = usage.quota_status(log, lim, "2024-01-15 01:00:30").first()
     # the request 1 us before midnight belongs to the previous day
@@ -153,8 +153,8 @@ def test_price_band_text(spark):
     assert got == [(0.0, 800.0, "0 - 800.0"), (734.5, 1734.5, "734.5 - 1734.5")]
 
 
-def test_parallel_cache_replay_equals_fold(spark):
-    """The hot-key path (buckets + pointer doubling) equals the per-key fold."""
+def test_cache_replay_equals_fold(spark):
+    """Every key (hot, cold, before 1970) equals a plain fold in time order."""
     import random
     rnd = random.Random(3)
     t0 = dt.datetime(2024, 1, 1)
@@ -165,12 +165,67 @@ def test_parallel_cache_replay_equals_fold(spark):
             rows.append((i, key, t0 + dt.timedelta(seconds=rnd.randrange(0, 3 * 86400)), rnd.random() > 0.1))
             i += 1
     # exact TTL boundaries and equal timestamps
+    edge = i
     rows += [(i, "edge", t0, True), (i + 1, "edge", t0 + dt.timedelta(seconds=3600), True),
              (i + 2, "edge", t0 + dt.timedelta(seconds=3600), True), (i + 3, "edge", t0 + dt.timedelta(seconds=7199), False),
              (i + 4, "edge", t0 + dt.timedelta(seconds=7200), True)]
-    df = spark.createDataFrame(rows, "id long, key string, ts timestamp, ok boolean")
-    fold = {r.id: (r.cache_hit, r.computed) for r in scoring.cache_replay(df, "key", "ts", "id", "ok").collect()}
-    par = {r.id: (r.cache_hit, r.computed)
-           for r in scoring.cache_replay(df, "key", "ts", "id", "ok", hot_share=0.0).collect()}
-    assert par == fold
-    assert fold[i + 1] == (False, True) and fold[i + 2] == (True, False) and fold[i + 4] == (False, True)
+    old = dt.datetime(1969, 12, 31, 23, 10)
+    rows += [(1000 + k, "old", old + dt.timedelta(minutes=20 * k), True) for k in range(12)]
+    df = spark.createDataFrame([(*r, "kept") for r in rows], "id long, key string, ts timestamp, ok boolean, extra string")
+    got = {r.id: (r.cache_hit, r.computed) for r in scoring.cache_replay(df, "key", "ts", "id", "ok").collect()}
+    fold, expiry = {}, {}
+    for k, key, ts, ok in sorted(rows, key=lambda r: (r[2], r[0])):
+        hit = key in expiry and ts < expiry[key]
+        fold[k] = (hit, ok and not hit)
+        if ok and not hit:
+            expiry[key] = ts + dt.timedelta(seconds=3600)
+    assert got == fold
+    assert got[edge + 1] == (False, True) and got[edge + 2] == (True, False) and got[edge + 4] == (False, True)
+    assert [k - 1000 for k in range(1000, 1012) if got[k][1]] == [0, 3, 6, 9]
+
+
+def test_admission_with_the_real_limits(spark):
+    """Premium allows 5,000 a day; the next request of that day is rejected."""
+    day = dt.datetime(2024, 1, 1)
+    log = spark.range(5_200).selectExpr("id", "1L as user_id", "3 as subscription_plan_id",
+                                        f"timestamp '{day}' + make_dt_interval(0, 0, 0, id * 7) as request_timestamp",
+                                        "'POST /predict' as endpoint", "200 as status_code", "1.0D as response_time_ms")
+    limits = usage.plan_limits(usage.users_from_log(log), usage.plans_frame(spark), usage.plans_frame(spark))
+    got = usage.quota_admission(log, limits)
+    assert got.where("admitted").count() == 5000
+    assert got.where("not admitted").agg(F.min("id"), F.max("status_code")).first()[:] == (5000, 429)
+
+
+def test_request_hash_tells_null_from_empty(spark):
+    df = spark.createDataFrame([("a", None), ("a", ""), (None, "a"), ("a", None)], "x string, y string")
+    got = [r[0] for r in df.select(scoring.request_hash(["x", "y"])).collect()]
+    assert len(set(got)) == 3 and got[0] == got[3]
+
+
+def test_split_separates_rows_of_equal_power_and_age(spark):
+    """Whole-euro prices and 5,000-km steps: (power, age) does not decide the
+    side, shares agree, and salts are independent."""
+    from marktwert.operators import evaluation as EV
+    df = spark.range(40_000).selectExpr(
+        "concat('b', id % 7) as brand", "concat('m', id % 41) as model", "'x' as vehicleType", "'y' as fuelType",
+        "cast(id % 2 as int) as gearbox", "cast(null as int) as notRepairedDamage",
+        "cast(60 + 15 * (id % 20) as double) as powerPS", "cast(5000 * (id % 31) as double) as kilometer",
+        "cast(id % 19 as int) as age", "cast(500 + id % 9973 as double) as price")
+    train, test = EV.train_test_split(df)
+    assert train.count() + test.count() == 40_000
+    assert abs(test.count() / 40_000 - 0.2) < 0.01
+    both = test.select("powerPS", "age").distinct().join(train.select("powerPS", "age").distinct(), ["powerPS", "age"])
+    assert both.count() > 0.95 * df.select("powerPS", "age").distinct().count()
+    by_brand = [r[0] for r in df.withColumn("t", EV.split_key(df) < EV.share_text(0.2)).groupBy("brand").agg(
+        F.avg(F.col("t").cast("double"))).select("avg(CAST(t AS DOUBLE))").collect()]
+    assert max(abs(x - 0.2) for x in by_brand) < 0.03
+    flagged = EV.with_validation_flag(train)
+    assert abs(flagged.where("is_validation").count() / train.count() - 0.2) < 0.01
+    folds = [r["count"] for r in EV.with_folds(train, 5).groupBy("fold").count().collect()]
+    assert len(folds) == 5 and max(folds) < 1.1 * min(folds)
+
+
+def test_mean_keeps_fractions(spark):
+    from marktwert.operators import market
+    df = spark.createDataFrame([(1.9,), (2.9,), (None,)], "powerPS double")
+    assert df.agg(market.mean_exact("powerPS")).first()[0] == 2.4
