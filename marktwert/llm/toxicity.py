@@ -187,20 +187,25 @@ def word_labels(blocks: list[tuple[np.ndarray, Chains]], toxic: np.ndarray, leas
 
 def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 6, rate: float = 0.3, decay: float = 1e-6) -> Field:
     """Fit the field by Adagrad over blocks of texts, then the curve."""
-    weights, trans, bias = np.zeros(BINS), np.zeros((2, 2)), -3.0
-    sum_w, sum_t, sum_b = np.full(BINS, 1e-6), np.full((2, 2), 1e-6), 1e-6
+    weights, trans, bias = np.zeros(BINS + 1), np.zeros((2, 2)), -3.0
+    sum_w, sum_t, sum_b = np.full(BINS + 1, 1e-6), np.full((2, 2), 1e-6), 1e-6
     order = np.random.default_rng(5).permutation(len(texts))
     parts = [(p, Chains([texts[i] for i in p])) for p in np.array_split(order, max(1, len(texts) // 60))]
     labels = word_labels(parts, toxic)
     blocks = [(part, chains, label.astype(np.float64)) for (part, chains), label in zip(parts, labels)]
     for _, chains in parts:
         del chains.keys
+    rng = np.random.default_rng(6)
     for _ in range(epochs):
         for part, chains, y in blocks:
             n = len(y)
             if not n:
                 continue
-            score = weights[chains.features].sum(1) + bias
+            features = chains.features.copy()
+            # half of the words without their identity: unseen forms must be told by their parts
+            features[rng.random(n) < 0.5, 0] = BINS
+            weights[BINS] = 0.0
+            score = weights[features].sum(1) + bias
             p, pairs = forward_backward(score, trans, chains.at, chains.size)
             follows = np.ones(n, bool)
             follows[chains.at] = False
@@ -208,7 +213,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 6, rate: float = 0.
             seen = np.bincount((2 * y[j - 1] + y[j]).astype(np.int64), minlength=4).reshape(2, 2)
             rest = y - p
             hot = np.flatnonzero(np.abs(rest) > 1e-4)
-            g = np.bincount(chains.features[hot].ravel(), np.repeat(rest[hot], chains.features.shape[1]), BINS)
+            g = np.bincount(features[hot].ravel(), np.repeat(rest[hot], features.shape[1]), BINS + 1)
             g -= decay * n * weights
             sum_w += g * g
             weights += rate * g / np.sqrt(sum_w)
@@ -218,7 +223,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 6, rate: float = 0.
             g_b = float(rest.sum())
             sum_b += g_b * g_b
             bias += rate * g_b / np.sqrt(sum_b)
-    field = Field(weights.astype(np.float32), bias, trans, np.zeros(3))
+    field = Field(weights[:BINS].astype(np.float32), bias, trans, np.zeros(3))
     x, z = [], []
     for part, chains, _ in blocks:
         x.append(document_features(field.marginals(chains), chains.words.first))
