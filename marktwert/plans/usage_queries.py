@@ -154,30 +154,37 @@ def q_usage_append(spark, sf):
 # ---- prediction cache (SC5, SC6) ------------------------------------------------
 
 def cache_requests(spark, sf):
-    """Prediction requests (POST rows of the log) keyed by their payload."""
+    """Prediction requests (POST rows of the log) keyed by the hash of their payload."""
+    from ..operators.scoring import payload_hash
     from ..sources.tables import read_table
     ev = read_table(spark, sf, "events")
     return ev.where(F.col("event_type") != "view").select(
-        F.col("event_id").alias("id"), F.col("props").alias("request_key"),
+        F.col("event_id").alias("id"), payload_hash("props").alias("request_key"),
         F.col("ts").cast("timestamp").alias("request_timestamp"),
         (F.col("event_type") != "error").alias("succeeded"))
 
 
 _REPLAY_SQL = """WITH RECURSIVE
-ev AS (SELECT event_id AS id, props AS request_key, CAST(ts AS TIMESTAMP) AS request_timestamp,
-              event_type <> 'error' AS succeeded,
-              row_number() OVER (PARTITION BY props ORDER BY CAST(ts AS TIMESTAMP), event_id) AS rn
-       FROM events WHERE event_type <> 'view'),
+p AS (SELECT event_id AS id, sha256('{"k":' || coalesce(json_extract_string(props, '$.k'), 'null') || '}') AS request_key,
+             CAST(ts AS TIMESTAMP) AS request_timestamp, event_type <> 'error' AS succeeded,
+             round(value * 100, 2) AS price
+      FROM events WHERE event_type <> 'view'),
+ev AS (SELECT *, row_number() OVER (PARTITION BY request_key ORDER BY request_timestamp, id) AS rn FROM p),
 r AS (SELECT request_key, rn, id, request_timestamp, succeeded,
              CASE WHEN succeeded THEN request_timestamp + INTERVAL 3600 SECOND END AS expiry,
-             false AS cache_hit, succeeded AS computed
+             false AS cache_hit, succeeded AS computed, CASE WHEN succeeded THEN price END AS held,
+             CASE WHEN succeeded THEN price END AS cached
       FROM ev WHERE rn = 1
       UNION ALL
       SELECT e.request_key, e.rn, e.id, e.request_timestamp, e.succeeded,
              CASE WHEN r.expiry IS NOT NULL AND e.request_timestamp < r.expiry THEN r.expiry
                   WHEN e.succeeded THEN e.request_timestamp + INTERVAL 3600 SECOND ELSE r.expiry END,
              coalesce(r.expiry IS NOT NULL AND e.request_timestamp < r.expiry, false),
-             NOT coalesce(r.expiry IS NOT NULL AND e.request_timestamp < r.expiry, false) AND e.succeeded
+             NOT coalesce(r.expiry IS NOT NULL AND e.request_timestamp < r.expiry, false) AND e.succeeded,
+             CASE WHEN r.expiry IS NOT NULL AND e.request_timestamp < r.expiry THEN r.held
+                  WHEN e.succeeded THEN e.price ELSE r.held END,
+             CASE WHEN r.expiry IS NOT NULL AND e.request_timestamp < r.expiry THEN r.held
+                  WHEN e.succeeded THEN e.price END
       FROM r JOIN ev e ON e.request_key = r.request_key AND e.rn = r.rn + 1)"""
 
 

@@ -20,11 +20,11 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
-def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """The ``events`` table as a file stream (new files are new requests)."""
-    reader = spark.readStream.schema(EVENTS_SCHEMA)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 16) -> DataFrame:
+    """The ``events`` table as a file stream (new files are new requests); a
+    micro-batch takes at most ``max_files`` files, which bounds what one key can
+    bring into memory after a backlog."""
+    reader = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files)
     return reader.parquet(f"{sf_dir.rstrip('/')}/events.parq*")
 
 
@@ -70,11 +70,12 @@ def run_append(df: DataFrame, path: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def run_upserts(df: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:
-    """Update-mode sink: every micro-batch appends its changed rows tagged
-    with the batch id; ``latest_rows`` reads the newest version per key."""
+def run_upserts(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Update-mode sink: every micro-batch writes its changed rows to a folder
+    of its own batch id, so a batch that is replayed after a failure replaces
+    its rows; ``latest_rows`` reads the newest version per key."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
 
     q = (df.writeStream.outputMode("update").foreachBatch(write)
            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

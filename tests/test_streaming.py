@@ -43,3 +43,33 @@ def test_score_requests_stream_equals_batch(spark):
     s = sorted(tuple(r[c] for c in cols) for r in q["score_requests_stream"](spark, SMALL_SF).collect())
     b = sorted(tuple(r[c] for c in cols) for r in q["score_requests"](spark, SMALL_SF).collect())
     assert s and s == b
+
+
+def test_cache_over_two_micro_batches_and_expired_state(spark, tmp_path):
+    """State carries over to the next micro-batch; the cached price is
+    returned; an expired entry is computed again."""
+    import datetime as dt
+    from marktwert.streaming import score_stream as SS
+    from marktwert.streaming import usage_stream as US
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "id long, request_key string, request_timestamp timestamp, succeeded boolean, predicted_price double"
+    batches = [[(1, "a", t0, True, 10.0), (2, "b", t0, False, 7.0)],
+               [(3, "a", t0 + dt.timedelta(minutes=59), True, 11.0), (4, "b", t0 + dt.timedelta(minutes=1), True, 8.0)],
+               [(5, "a", t0 + dt.timedelta(minutes=60), True, 12.0), (6, "a", t0 + dt.timedelta(days=9), True, 13.0)]]
+    src = str(tmp_path / "in")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        US.run_append(SS.cache_stream(stream), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    got = {r.id: (r.cache_hit, r.computed, r.predicted_price)
+           for r in spark.read.schema(SS.OUTPUT_SCHEMA).parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (False, True, 10.0), 2: (False, False, None), 3: (True, False, 10.0), 4: (False, True, 8.0),
+                   5: (False, True, 12.0), 6: (False, True, 13.0)}
+
+
+def test_replayed_batch_replaces_its_rows(spark, tmp_path):
+    from marktwert.streaming import usage_stream as US
+    path = str(tmp_path / "log")
+    for batch, rows in ((0, [(1, 5)]), (1, [(1, 6), (2, 1)]), (1, [(1, 6), (2, 1)])):
+        spark.createDataFrame(rows, "user_id long, requests long").write.mode("overwrite").parquet(f"{path}/_batch={batch}")
+    assert sorted((r.user_id, r.requests) for r in US.latest_rows(spark, path, ["user_id"]).collect()) == [(1, 6), (2, 1)]
