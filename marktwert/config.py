@@ -41,7 +41,6 @@ EXCLUDED_DAMAGE = "NaN"
 # ---- fixed values: strict binary codes of the training data --------------
 DAMAGE_CODES = {"ja": 1, "nein": 0}
 GEARBOX_CODES = {"automatik": 1, "manuell": 0}
-ABTEST_CODES = {"test": 1, "control": 0}
 # ---- fixed values: decoded labels of the cleaned data --------------------
 DAMAGE_LABELS = {1: "Yes", 0: "No"}
 GEARBOX_LABELS = {1: "Automatic", 0: "Manual"}

@@ -84,11 +84,13 @@ def price_by_age(df: DataFrame) -> DataFrame:
     return df.groupBy("age").agg(mean_money("price").alias("avg_price"))
 
 
-def top_keys(df: DataFrame, key: str, k: int, ascending: bool = False) -> DataFrame:
-    """K most (or least) frequent non-null keys, ties by key."""
-    counts = value_counts(df, key)
+def top_keys(df: DataFrame, key: str | Sequence[str], k: int, ascending: bool = False) -> DataFrame:
+    """K most (or least) frequent keys or key tuples without nulls,
+    ties by key."""
+    keys = [key] if isinstance(key, str) else list(key)
+    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
     order = F.col("count").asc() if ascending else F.col("count").desc()
-    return counts.orderBy(order, F.col(key).asc()).limit(k)
+    return counts.orderBy(order, *[F.col(c).asc() for c in keys]).limit(k)
 
 
 def brand_compare(df: DataFrame, top_n: int = 15, default_n: int = 5,
@@ -211,14 +213,16 @@ def histogram(df: DataFrame, c: str, bins: int) -> DataFrame:
 
 # ---- A18, A22 ----------------------------------------------------------------
 
-def facets(df: DataFrame) -> DataFrame:
-    """A18 + A22 per model: vehicle and fuel types (sorted distinct), gearbox
-    mode (smallest on ties), power min/capped max.
+def facets(df: DataFrame, as_of_year: int) -> DataFrame:
+    """A18 + A22: the bounds and choices of the request form per model --
+    vehicle and fuel types (sorted distinct), gearbox mode (smallest on ties),
+    power range with its cap; kilometre and year ranges are those of all
+    listings, capped and up to ``as_of_year``.
 
     ``collect_set`` is bounded by the number of *distinct* category values
-    (tens), never by rows.
+    (tens), never by rows; the whole-table bounds are one row.
     """
-    return df.groupBy("brand", "model").agg(
+    per_model = df.groupBy("model").agg(
         F.array_sort(F.collect_set("vehicleType")).alias("vehicle_types"),
         F.array_sort(F.collect_set("fuelType")).alias("fuel_types"),
         F.mode("gearbox", deterministic=True).alias("gearbox_mode"),
@@ -226,6 +230,10 @@ def facets(df: DataFrame) -> DataFrame:
         F.least(F.max("powerPS"), F.lit(float(C.FACET_POWER_CAP))).cast("int").alias("max_power"),
         F.count(F.lit(1)).alias("listings"),
     )
+    whole = df.agg(F.min("kilometer").cast("int").alias("min_km"),
+                   F.least(F.max("kilometer"), F.lit(float(C.FACET_KM_CAP))).cast("int").alias("max_km"),
+                   F.min("yearOfRegistration").alias("min_year"), F.lit(as_of_year).alias("max_year"))
+    return per_model.crossJoin(F.broadcast(whole))  # one row
 
 
 def brand_models(df: DataFrame) -> DataFrame:

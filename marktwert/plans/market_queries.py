@@ -161,12 +161,13 @@ AGE_GROUP_SQL = """CASE WHEN age > 0 AND age <= 3 THEN '0-3' WHEN age > 3 AND ag
 
 
 @register("age_groups", with_market(f"""
-SELECT age_group, count(*) AS count, {MEAN_MONEY} AS avg_price
+SELECT age_group, CAST(list_position({[*C.AGE_LABELS]}, age_group) AS INT) AS position,
+       count(*) AS count, {MEAN_MONEY} AS avg_price
 FROM (SELECT *, {AGE_GROUP_SQL} AS age_group FROM market) t
 WHERE age_group IS NOT NULL GROUP BY age_group"""))
 def q_age_groups(spark, sf):
-    df = market_df(spark, sf).withColumn("age_group", E.age_group("age"))
-    return (df.where(F.col("age_group").isNotNull()).groupBy("age_group")
+    df = market_df(spark, sf).withColumns({"age_group": E.age_group("age"), "position": E.age_group_order("age")})
+    return (df.where(F.col("age_group").isNotNull()).groupBy("age_group", "position")
               .agg(F.count(F.lit(1)).alias("count"), market.mean_money("price").alias("avg_price")))
 
 
@@ -256,14 +257,32 @@ def q_top_brands(spark, sf):
     return market.top_keys(market_df(spark, sf), "brand", 10)
 
 
-@register("bottom_brands", with_market("""
-SELECT model, count(*) AS count FROM market WHERE model IS NOT NULL GROUP BY model
-ORDER BY count ASC, model ASC LIMIT 10"""))
+def _ranked_sql(keys: str, order: str) -> str:
+    not_null = " AND ".join(f"{k} IS NOT NULL" for k in keys.split(", "))
+    return with_market(f"SELECT {keys}, count(*) AS count FROM market WHERE {not_null} GROUP BY {keys} "
+                       f"ORDER BY count {order}, {keys} LIMIT 10")
+
+
+@register("bottom_brands", _ranked_sql("brand", "ASC"))
 def q_bottom_brands(spark, sf):
-    # bottom-10 by frequency (models: brand counts are near-uniform in the fixture)
+    return market.top_keys(market_df(spark, sf), "brand", 10, ascending=True)
+
+
+@register("bottom_models", _ranked_sql("model", "ASC"))
+def q_bottom_models(spark, sf):
     return market.top_keys(market_df(spark, sf), "model", 10, ascending=True)
 
 
+@register("top_brand_models", _ranked_sql("brand, model", "DESC"))
+def q_top_brand_models(spark, sf):
+    return market.top_keys(market_df(spark, sf), ["brand", "model"], 10)
+
+
+@register("bottom_brand_models", _ranked_sql("brand, model", "ASC"))
+def q_bottom_brand_models(spark, sf):
+    return market.top_keys(market_df(spark, sf), ["brand", "model"], 10, ascending=True)
+
+
 PROFILE_COLS = tables.LISTING_COLUMNS
 
 
@@ -304,32 +323,52 @@ def q_describe_price(spark, sf):
     return market.describe(market_df(spark, sf), "price")
 
 
-@register("histogram", with_market("""
-WITH b AS (SELECT CAST(min(price) AS DOUBLE) AS lo, CAST(max(price) AS DOUBLE) AS hi FROM market),
-     c AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((price - lo) / ((hi - lo) / 50)), 49) END AS INT) AS bin,
+def _histogram_sql(bins: int, column: str = "price") -> str:
+    return f"""
+(WITH b AS (SELECT CAST(min({column}) AS DOUBLE) AS lo, CAST(max({column}) AS DOUBLE) AS hi FROM market),
+     c AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor(({column} - lo) / ((hi - lo) / {bins})), {bins - 1}) END AS INT) AS bin,
                   count(*) AS count
-           FROM market, b WHERE price IS NOT NULL GROUP BY 1)
-SELECT g.bin, round(b.lo + g.bin * ((b.hi - b.lo) / 50), 6) AS bin_start,
-       round(b.lo + (g.bin + 1) * ((b.hi - b.lo) / 50), 6) AS bin_end, coalesce(c.count, 0) AS count
-FROM (SELECT CAST(range AS INT) AS bin FROM range(50)) g CROSS JOIN b LEFT JOIN c ON g.bin = c.bin"""))
+           FROM market, b WHERE {column} IS NOT NULL GROUP BY 1)
+SELECT g.bin, round(b.lo + g.bin * ((b.hi - b.lo) / {bins}), 6) AS bin_start,
+       round(b.lo + (g.bin + 1) * ((b.hi - b.lo) / {bins}), 6) AS bin_end, coalesce(c.count, 0) AS count
+FROM (SELECT CAST(range AS INT) AS bin FROM range({bins})) g CROSS JOIN b LEFT JOIN c ON g.bin = c.bin)"""
+
+
+@register("histogram", with_market(f"SELECT * FROM {_histogram_sql(50)} h"))
 def q_histogram(spark, sf):
     return market.histogram(market_df(spark, sf), "price", 50)
 
 
+_COARSE_BINS = [("powerPS", 30), ("kilometer", 10), ("price", 5)]
+
+
+@register("histograms_coarse", with_market("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, * FROM {_histogram_sql(n, c)} h" for c, n in _COARSE_BINS)))
+def q_histograms_coarse(spark, sf):
+    """A12 at the 5, 10 and 30 bins of the exploration."""
+    out = None
+    for c, n in _COARSE_BINS:
+        part = market.histogram(market_df(spark, sf), c, n).withColumn("feature", F.lit(c))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("facets", with_market(f"""
-WITH g AS (SELECT brand, model, gearbox, count(*) AS c FROM market GROUP BY brand, model, gearbox),
-     m AS (SELECT brand, model, first(gearbox ORDER BY c DESC, gearbox ASC) AS gearbox_mode
-           FROM g GROUP BY brand, model)
-SELECT a.brand, a.model, list_sort(list_distinct(list(a.vehicleType))) AS vehicle_types,
+WITH g AS (SELECT model, gearbox, count(*) AS c FROM market GROUP BY model, gearbox),
+     m AS (SELECT model, first(gearbox ORDER BY c DESC, gearbox ASC) AS gearbox_mode FROM g GROUP BY model),
+     w AS (SELECT CAST(min(kilometer) AS INT) AS min_km,
+                  CAST(least(max(kilometer), {float(C.FACET_KM_CAP)}) AS INT) AS max_km,
+                  min(yearOfRegistration) AS min_year, CAST({AS_OF_YEAR} AS INT) AS max_year FROM market),
+     f AS (SELECT a.model, list_sort(list_distinct(list(a.vehicleType))) AS vehicle_types,
        list_sort(list_distinct(list(a.fuelType))) AS fuel_types,
        any_value(m.gearbox_mode) AS gearbox_mode,
        CAST(min(a.powerPS) AS INT) AS min_power,
        CAST(least(max(a.powerPS), {float(C.FACET_POWER_CAP)}) AS INT) AS max_power,
        count(*) AS listings
-FROM market a JOIN m ON a.brand = m.brand AND a.model = m.model
-GROUP BY a.brand, a.model"""))
+FROM market a JOIN m ON a.model = m.model GROUP BY a.model)
+SELECT f.*, w.* FROM f CROSS JOIN w"""))
 def q_facets(spark, sf):
-    return market.facets(market_df(spark, sf))
+    return market.facets(market_df(spark, sf), AS_OF_YEAR)
 
 
 @register("brand_models", with_market("""

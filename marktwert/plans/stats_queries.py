@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .. import config as C
+from ..functions import encode as E
 from ..operators import clean, stats
 from .common import listings, market as market_df
 from .oracle import with_listings, with_market
@@ -20,22 +22,52 @@ def _pearson_long_sql(source: str, cols: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-@register("box_stats", with_market("""
-WITH q AS (SELECT vehicleType, count(*) AS count, quantile_cont(price, 0.25) AS q1,
+def _box_sql(group: str, source: str = "market") -> str:
+    same = " AND ".join(f"m.{g} = b.{g}" for g in group.split(", "))
+    keys = ", ".join(f"b.{g}" for g in group.split(", "))
+    return with_market(f"""
+WITH src AS (SELECT * FROM {source}),
+     q AS (SELECT {group}, count(*) AS count, quantile_cont(price, 0.25) AS q1,
                   quantile_cont(price, 0.5) AS median, quantile_cont(price, 0.75) AS q3
-           FROM market WHERE price IS NOT NULL GROUP BY vehicleType),
+           FROM src WHERE price IS NOT NULL GROUP BY {group}),
      b AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
-SELECT b.vehicleType, any_value(b.count) AS count, round(any_value(b.q1), 6) AS q1,
+SELECT {keys}, any_value(b.count) AS count, round(any_value(b.q1), 6) AS q1,
        round(any_value(b.median), 6) AS median, round(any_value(b.q3), 6) AS q3,
        round(min(CASE WHEN m.price >= b.lo AND m.price <= b.hi THEN m.price END), 6) AS whisker_low,
        round(max(CASE WHEN m.price >= b.lo AND m.price <= b.hi THEN m.price END), 6) AS whisker_high,
        count(*) FILTER (WHERE NOT (m.price >= b.lo AND m.price <= b.hi)) AS outliers
-FROM market m JOIN b ON m.vehicleType = b.vehicleType WHERE m.price IS NOT NULL
-GROUP BY b.vehicleType"""))
+FROM src m JOIN b ON {same} WHERE m.price IS NOT NULL
+GROUP BY {keys}""")
+
+
+_AGE_GROUP_SQL = "CASE " + " ".join(
+    f"WHEN age > {lo} AND age <= {hi} THEN '{label}'"
+    for lo, hi, label in zip(C.AGE_BINS[:-1], C.AGE_BINS[1:], C.AGE_LABELS)) + " END"
+
+
+@register("box_stats", _box_sql("vehicleType"))
 def q_box_stats(spark, sf):
     return stats.box_stats(market_df(spark, sf), "price", "vehicleType")
 
 
+@register("box_stats_brand", _box_sql("brand"))
+def q_box_stats_brand(spark, sf):
+    return stats.box_stats(market_df(spark, sf), "price", "brand")
+
+
+@register("box_stats_age_group", _box_sql(
+    "age_group", f"(SELECT *, {_AGE_GROUP_SQL} AS age_group FROM market) x WHERE age_group IS NOT NULL"))
+def q_box_stats_age_group(spark, sf):
+    grouped = market_df(spark, sf).withColumn("age_group", E.age_group("age")).where("age_group is not null")
+    return stats.box_stats(grouped, "price", "age_group")
+
+
+@register("box_stats_type_gearbox", _box_sql("vehicleType, gearbox"))
+def q_box_stats_type_gearbox(spark, sf):
+    """Vehicle types with the gearbox as the second key (the chart's colour)."""
+    return stats.box_stats(market_df(spark, sf), "price", ["vehicleType", "gearbox"])
+
+
 @register("kde", with_market("""
 WITH v AS (SELECT CAST(price AS DOUBLE) AS x FROM market WHERE price IS NOT NULL),
      s AS (SELECT count(*) AS n, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi FROM v),
