@@ -187,32 +187,54 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Components of an undirected graph by alternating large-star and
-    small-star steps; every step is a grouped minimum joined back, so a hub
-    is never gathered in one place.
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of one partition as stars: every node to the least node of its
+    component within the partition."""
+    held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if not held:
+        return
+    u, v = (np.concatenate(x) for x in zip(*held))
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[:len(u)], ends[len(u):]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        if (root[a] == low).all() and (root[b] == low).all():
+            break
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root != root[root]).any():
+            root = root[root]
+    leaf = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[root[leaf]])], ["u", "v"])
+
 
-    ``edges``: columns ``u``, ``v``.  Returns ``node``, ``root`` for every node
-    that has a link; the root is the least node of its component.
+def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """Components of an undirected graph (columns ``u``, ``v`` of type long).
+
+    Each round contracts the links inside every partition to stars (a map over
+    file splits, so a small graph is done at once) and, unless one star forest
+    is left, joins the stars by a large-star and a small-star step: grouped
+    minima joined back, so a hub is never gathered in one place.  Returns
+    ``node``, ``root`` for every node that has a link; the root is the least
+    node of its component.
     """
     current = store(spark, edges.where("u <> v").select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    seen = None
+        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
     for _ in range(max_rounds):
+        current = store(spark, current.mapInArrow(_contract, "u long, v long"), "stars")
+        ends = current.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x"))
+        inner = current.select(F.col("v").alias("u")).join(current.select("u"), "u", "left_semi")
+        if ends.where("m <> x").isEmpty() and inner.isEmpty():
+            break
         both = current.select("u", "v").union(current.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.where("u <> v").distinct()
+        down = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (down.join(low, "u").where("v <> m")
-                 .select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-                 .union(low.select("u", "m")).distinct())
-        current = store(spark, small, "links")
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+        current = store(spark, down.join(low, "u").where("v <> m")
+                        .select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+                        .union(low.select("u", "m")).distinct(), "links")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return (current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            .union(current.select("v", "v").distinct()))
+    roots = current.select(F.col("v").alias("node"), F.col("v").alias("root"))
+    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots).distinct()

@@ -3,20 +3,26 @@
 Every text becomes its set of distinct word shingles.  Equal sets are one
 *class*; only classes are joined.  A class is embedded as ``TOKENS`` minwise
 tokens.  Each of ``TREES`` independent trees branches a node into two children
-per step, one per selected token coordinate (fixed at the root, chosen from the
-node's own key below), so a class needs nothing but its tokens to find its
-node.  A node of at most ``NODE`` classes is compared exhaustively on 4-bit
-token sketches and on set sizes; larger ones branch again.  A pair of
-similarity 0.8 is missed by all trees with a probability below 1e-7.  Every
-candidate is confirmed on the full shingle sets.
-
-Skew.  A group of thousands of near copies would never split, so it is
-collapsed first: in a few root nodes, cut into chunks that share a pivot, each
-class proposes only its first similar neighbour; confirmed links give labels.
-The full join then skips pairs of one label: nodes with a single label end, and
-in a node where one label outweighs the rest, the rest is compared with
-chunks of that label.  Nothing is dropped: nodes still too large at the depth
-limit are compared in blocks, cell by cell.
+by the values of two selected token coordinates (fixed at the root, below it
+drawn from the node's own key), so a class needs nothing but its tokens to find
+its nodes.  A node of at most ``NODE`` classes is compared exhaustively on 2-bit
+token sketches and set sizes; larger ones branch again.  A pair of similarity
+0.8 is missed by all trees, or by the sketch, with a probability below 1e-6.
+Every candidate is confirmed on the full shingle sets of both texts.
+
+Skew.  A large group of near copies never splits, so groups are collapsed
+first: in ``PROPOSAL_ROUNDS`` rounds every class proposes two neighbours of
+another label (the most similar one, and the least of the clearly similar ones,
+which makes a hub), confirmed links give labels, and the full join then looks
+for pairs of different labels only.  A node with one label ends.  In a large
+node where one label outweighs the rest, only the rest meets the chunks of that
+label.  A large node that did not split at depth ``SPLIT_DEPTH`` is compared in
+blocks, cell by cell.  So the work on a group of copies follows its size, and
+no pair is dropped.  Counts are combined before they are shuffled; a hub's
+candidates are dealt to salted parts.
+
+Texts move only for candidates: a bitmap of fixed size over the hashed ids
+keeps most other rows out of the shuffle (saturated, it just passes more).
 
 Defined results: null text, empty text and text without words have an empty
 set, no links and form their own component; fewer words than a shingle give one
@@ -34,20 +40,29 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marktwert.llm import common as C
 
-TOKENS = 64
+#: Minwise tokens of a sketch; the first ``BRANCHES`` of them choose branches.
+TOKENS = 256
+BRANCHES = 32
 TREES = 6
-NODE = 800
-MAX_DEPTH = 10
+NODE = 300
+#: Trees and depth of the rounds that propose neighbours.
+PROPOSAL_ROUNDS = ((0, 1), (2, 3))
+SPLIT_DEPTH = 2
+#: A large node beyond this many chunks branches on, whatever its depth.
+MAX_CELLS = 40
+MAX_DEPTH = 24
 PAIRS_AT_ONCE = 400_000
-#: Least number of equal 4-bit tokens of 64: more than five standard
-#: deviations below what a similarity of 0.8 gives.
-LEAST_EQUAL = 36
+#: Equal 2-bit tokens of 256: five standard deviations below the mean of a
+#: similarity of 0.8, and that mean.
+LEAST_EQUAL = 189
+CLEARLY_EQUAL = 218
+HUB_PART = 128
+FILTER_BITS = 1 << 24
 
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(1, 2**64, TOKENS, dtype=np.uint64) | np.uint64(1)
@@ -58,236 +73,313 @@ _SALT = np.arange(2 * TOKENS + 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C1
 
 # ---- classes ---------------------------------------------------------------
 def _tokens(sets: list[np.ndarray]) -> np.ndarray:
-    """Minwise tokens (32 bit) of non-empty sets."""
-    out = np.empty((len(sets), TOKENS), np.uint32)
+    """Minwise tokens (16 bit) of non-empty sets."""
+    out = np.empty((len(sets), TOKENS), np.uint16)
     if not sets:
         return out
     flat = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
     for j in range(TOKENS):
         least = np.minimum.reduceat(flat * _MUL[j] + _ADD[j], at)
-        out[:, j] = (C.mix(least) >> np.uint64(32)).astype(np.uint32)
+        out[:, j] = (C.mix(least) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
+def _sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    words = C.Words(texts, C.SPACE_WORDS)
+    return C.shingle_sets(words.hashes(), words.first, k)
+
+
 def _describe(batches, k: int, id_col: str, text_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, ids = C.as_bytes(batch.column(text_col)), batch.column(id_col)
         for lo, hi in C.slices(texts):
-            words = C.Words(texts[lo:hi], C.SPACE_WORDS)
-            sets = C.shingle_sets(words.hashes(), words.first, k)
-            full = [i for i, s in enumerate(sets) if len(s)]
-            sig = C.fixed_binary(_tokens([sets[i] for i in full]))
+            sets = _sets(texts[lo:hi], k)
+            # sets under four shingles are similar to equal sets only
+            large = [i for i, s in enumerate(sets) if len(s) >= 4]
+            tokens = _tokens([sets[i] for i in large])
             where = np.full(len(sets), -1)
-            where[full] = np.arange(len(full))
-            rid = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                   for s in sets]
+            where[large] = np.arange(len(large))
+            where = pa.array(where, pa.int64(), mask=where < 0)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(rid, pa.binary()),
-                 sig.take(pa.array(where, pa.int64(), mask=where < 0))],
-                ["id", "n", "rid", "sig"])
-
-
-def _sets(batches, k: int, text_col: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, rids = C.as_bytes(batch.column(text_col)), batch.column("rid")
-        for lo, hi in C.slices(texts):
-            words = C.Words(texts[lo:hi], C.SPACE_WORDS)
-            sets = C.shingle_sets(words.hashes(), words.first, k)
-            keep = [i for i, s in enumerate(sets)
-                    if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == rids[lo + i].as_py()]
-            yield pa.RecordBatch.from_arrays(
-                [rids.slice(lo, hi - lo).take(pa.array(keep, pa.int64())),
-                 pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))],
-                ["rid", "grams"])
+                 pa.array([_digest(s) for s in sets], pa.binary()),
+                 C.fixed_binary(tokens[:, :BRANCHES]).take(where), C.fixed_binary(_sketch(tokens)).take(where)],
+                ["id", "n", "rid", "sig", "sketch"])
 
 
 # ---- nodes -----------------------------------------------------------------
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """4 bits of each token, two to a byte."""
-    low = (tokens & np.uint32(15)).astype(np.uint8)
-    return low[:, 0::2] | (low[:, 1::2] << 4)
+#: What a row of a node carries: to be counted, compared, or branched again.
+_COUNT = "node long, lab long"
+_LEAF = "node long, n long, cid long, lab long, sketch binary"
+_TRACE = "node long, n long, cid long, lab long, sig binary, sketch binary"
 
 
-def _roots(batches, trees: int) -> Iterator[pa.RecordBatch]:
-    """Children of the roots: tree ``r`` branches on coordinates 2r and 2r+1."""
-    for batch in batches:
-        tokens = C.matrix(batch.column("sig"), "<u4")
-        if not len(tokens):
-            continue
-        sketch, rest = C.fixed_binary(_sketch(tokens)), [batch.column(c) for c in ("n", "rid", "lab")]
-        for c in range(2 * trees):
-            node = C.mix(tokens[:, c].astype(np.uint64) + _SALT[c + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *rest, sketch],
-                                             ["node", "n", "rid", "lab", "sketch"])
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """2 bits of each token, four to a byte."""
+    low = (tokens & np.uint16(3)).astype(np.uint8)
+    return low[:, 0::4] | (low[:, 1::4] << 2) | (low[:, 2::4] << 4) | (low[:, 3::4] << 6)
 
 
-def _children(batches) -> Iterator[pa.RecordBatch]:
-    """Two children of each node, on coordinates chosen by the node's key."""
+def _branch(batches, trees: tuple[int, ...] | None, schema: str) -> Iterator[pa.RecordBatch]:
+    """Rows of the children: of the roots (tree ``r`` on coordinates 2r and
+    2r + 1), or, without ``trees``, of each row's node."""
+    names = [f.split()[0] for f in schema.split(", ")]
     for batch in batches:
-        tokens = C.matrix(batch.column("sig"), "<u4")
-        if not len(tokens):
-            continue
-        node = batch.column("node").to_numpy().view(np.uint64)
-        sketch, rest = C.fixed_binary(_sketch(tokens)), [batch.column(c) for c in ("n", "rid", "lab")]
-        row = np.arange(len(node))
-        for branch in (1, 2):
-            drawn = C.mix(node + _SALT[branch])
-            coordinate = (drawn % np.uint64(TOKENS)).astype(np.int64)
-            child = C.mix(drawn ^ C.mix(tokens[row, coordinate].astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *rest, sketch],
-                                             ["node", "n", "rid", "lab", "sketch"])
-
-
-def _leaf_pairs(batches, keys: list[str], first_only: bool) -> Iterator[pa.RecordBatch]:
-    """Similar pairs inside each run of ``keys`` (rows sorted by keys, n, rid).
-
-    ``first_only``: each class proposes its first similar predecessor; else
-    every similar pair of two labels.  ``side`` (if present) marks rows that
-    were copied to several chunks: two rows of side 1 meet in chunk 0 only.
-    """
-    for table in C.whole_runs(batches, keys):
-        batch = table.combine_chunks().to_batches()[0]
-        count = batch.num_rows
-        n = batch.column("n").to_numpy()
-        key = [batch.column(k).to_numpy() for k in keys]
-        new = np.ones(count, bool)
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
-        run = np.cumsum(new) - 1
-        ends = np.append(np.flatnonzero(new)[1:], count)[run]
-        # sizes of a similar pair: 80 % of the larger is at most the smaller
-        big = int(n.max()) + 1
-        order = run * (2 * big) + n
-        reach = np.searchsorted(order, run * (2 * big) + np.minimum(n + n // 4, big), side="right")
-        reach = np.minimum(reach, ends)
-        sketch = C.matrix(batch.column("sketch"), "<u8")
-        label = pc.dictionary_encode(batch.column("lab")).indices.to_numpy()
-        rid = batch.column("rid")
-        side = batch.column("side").to_numpy() if "side" in batch.schema.names else None
-        partners = np.maximum(reach - np.arange(count) - 1, 0)
-        total = np.concatenate([[0], np.cumsum(partners)])
-        at, met = 0, np.zeros(count, bool)
-        while at < count:
-            to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS_AT_ONCE, side="right")) - 1)
-            size = partners[at:to]
-            i = np.repeat(np.arange(at, to), size)
-            j = i + 1 + np.arange(len(i)) - np.repeat(total[at:to] - total[at], size)
-            ok = label[i] != label[j]
-            if side is not None:
-                ok &= ~((side[i] == 1) & (side[j] == 1) & (key[1][i] != 0))
-            i, j = i[ok], j[ok]
-            same = np.zeros(len(i), np.int64)
-            for w in range(sketch.shape[1]):
-                x = sketch[i, w] ^ sketch[j, w]
-                x |= x >> np.uint64(1)
-                x |= x >> np.uint64(2)
-                same += 16 - np.bitwise_count(x & np.uint64(0x1111111111111111)).astype(np.int64)
-            ok = same >= LEAST_EQUAL
-            i, j = i[ok], j[ok]
-            if first_only and len(j):
-                fresh = ~met[j]
-                i, j = i[fresh], j[fresh]
-                _, pos = np.unique(j, return_index=True)
-                i, j = i[pos], j[pos]
-                met[j] = True
-            if len(i):
-                yield pa.RecordBatch.from_arrays([rid.take(pa.array(i)), rid.take(pa.array(j))],
-                                                 ["a", "b"])
-            at = to
-
-
-_ROW = "node long, n long, rid binary, lab binary, sketch binary"
-_PAIR = "a binary, b binary"
-
-
-def _compare(rows: DataFrame, keys: list[str], first_only: bool) -> DataFrame:
-    return (rows.repartition(*keys).sortWithinPartitions(*keys, "n", "rid")
-            .mapInArrow(partial(_leaf_pairs, keys=keys, first_only=first_only), _PAIR))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
-
-
-def _collapse_candidates(recs: DataFrame, node_limit: int) -> DataFrame:
-    """At most one proposed neighbour per class, from the four root nodes of
-    two trees; large nodes are cut into chunks that share the least class."""
-    rows = recs.withColumn("lab", F.col("rid")).select("n", "rid", "lab", "sig").mapInArrow(
-        partial(_roots, trees=2), _ROW)
-    nodes = (rows.groupBy("node").agg(F.count("*").alias("c"), F.min(F.struct("rid", "n", "lab", "sketch")).alias("p"))
-             .where("c > 1")
-             .withColumn("parts", F.ceil(F.col("c") / node_limit).cast("long")))
-    dealt = rows.join(nodes.select("node", "parts"), "node").withColumn(
-        "part", F.pmod(F.xxhash64("rid"), F.col("parts"))).drop("parts")
-    pivots = nodes.where("parts > 1").select(
-        "node", "p.n", "p.rid", "p.lab", "p.sketch",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    return _compare(dealt.unionByName(pivots), ["node", "part"], True)
-
-
-def _full_candidates(spark: SparkSession, recs: DataFrame, trees: int, node_limit: int) -> DataFrame:
-    """All candidate pairs of different labels (``recs`` has ``lab``)."""
-    found: list[DataFrame] = []
-    rows = recs.select("n", "rid", "lab", "sig").mapInArrow(partial(_roots, trees=trees), _ROW)
-    for depth in range(1, MAX_DEPTH + 1):
-        stats = C.store(spark, rows.groupBy("node").agg(
-            F.count("*").alias("c"), F.min("lab").alias("lo"), F.max("lab").alias("hi"))
-            .where("lo <> hi").select("node", "c"), "nodes")
-        found.append(_compare(rows.join(stats.where(F.col("c") <= node_limit).drop("c"), "node"),
-                              ["node"], False))
-        large = stats.where(F.col("c") > node_limit)
-        if large.isEmpty():
+        for lo in range(0, batch.num_rows, 4096):
+            part = batch.slice(lo, 4096)
+            tokens = C.matrix(part.column("sig"), "<u2")
+            if trees is not None:
+                nodes = [C.mix(tokens[:, c].astype(np.uint64) + _SALT[c + 1]) for r in trees for c in (2 * r, 2 * r + 1)]
+            else:
+                node = part.column("node").to_numpy().view(np.uint64)
+                nodes = []
+                for branch in (1, 2):
+                    drawn = C.mix(node + _SALT[branch])
+                    value = tokens[np.arange(len(node)), (drawn % np.uint64(BRANCHES)).astype(np.int64)]
+                    nodes.append(C.mix(drawn ^ C.mix(value.astype(np.uint64))))
+            rest = [part.column(c) for c in names[1:]]
+            for node in nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *rest], names)
+
+
+def _similar(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers i < j of similar sketches inside each run of ``keys`` (rows
+    sorted by keys and n) with different labels, and their equal tokens.
+    ``side`` (if present): rows of side 1 were copied to every chunk, two of
+    them meet in chunk 0 only; 2 and 3 are the two row blocks of a cell, of
+    which only rows of different blocks meet."""
+    count = batch.num_rows
+    n = batch.column("n").to_numpy()
+    key = [batch.column(k).to_numpy() for k in keys]
+    new = np.ones(count, bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
+    run = np.cumsum(new) - 1
+    ends = np.append(np.flatnonzero(new)[1:], count)[run]
+    # sizes of a similar pair: 80 % of the larger is at most the smaller
+    big = int(n.max()) + 1
+    reach = np.searchsorted(run * (2 * big) + n, run * (2 * big) + np.minimum(n + n // 4, big), side="right")
+    partners = np.maximum(np.minimum(reach, ends) - np.arange(count) - 1, 0)
+    total = np.concatenate([[0], np.cumsum(partners)])
+    sketch, label = C.matrix(batch.column("sketch"), "<u8"), batch.column("lab").to_numpy()
+    side = batch.column("side").to_numpy() if "side" in batch.schema.names else None
+    at = 0
+    while at < count:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS_AT_ONCE, side="right")) - 1)
+        size = partners[at:to]
+        i = np.repeat(np.arange(at, to), size)
+        j = i + 1 + np.arange(len(i)) - np.repeat(total[at:to] - total[at], size)
+        ok = label[i] != label[j]
+        if side is not None:
+            ok &= (side[i] != side[j]) | (side[i] == 0) | (side[i] == 1) & (key[1][i] == 0)
+        i, j = i[ok], j[ok]
+        same = np.full(len(i), TOKENS)
+        for w in range(sketch.shape[1]):
+            x = sketch[i, w] ^ sketch[j, w]
+            same -= np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        ok = same >= LEAST_EQUAL
+        if ok.any():
+            yield i[ok], j[ok], same[ok]
+        at = to
+
+
+def _batches(tables) -> Iterator[pa.RecordBatch]:
+    for table in tables:
+        yield table.combine_chunks().to_batches()[0]
+
+
+def _all_pairs(batches, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in _batches(C.whole_runs(batches, keys)):
+        cid = batch.column("cid").to_numpy()
+        for i, j, _ in _similar(batch, keys):
+            a, b = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _proposals(batches, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Per class of a run: its most similar partner of another label with the
+    number of equal tokens, and the least clearly similar partner."""
+    for batch in _batches(C.whole_runs(batches, keys)):
+        cid, count = batch.column("cid").to_numpy(), batch.num_rows
+        best, score = np.full(count, -1), np.full(count, -1)
+        hub = np.full(count, np.iinfo(np.int64).max)
+        for i, j, same in _similar(batch, keys):
+            for x, y in ((i, j), (j, i)):
+                order = np.argsort(same, kind="stable")
+                x_, y_, s_ = x[order], y[order], same[order]
+                top = np.full(count, -1)
+                top[x_] = np.arange(len(x_))  # the last write is the most similar
+                rows = np.flatnonzero(top >= 0)
+                pick = top[rows]
+                better = s_[pick] > score[rows]
+                best[rows[better]], score[rows[better]] = y_[pick[better]], s_[pick[better]]
+                clear = same >= CLEARLY_EQUAL
+                np.minimum.at(hub, x[clear], cid[y[clear]])
+        rows = np.flatnonzero(best >= 0)
+        hubs = hub[rows]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cid[rows]), pa.array(cid[best[rows]]), pa.array(score[rows]),
+             pa.array(hubs, pa.int64(), mask=hubs == np.iinfo(np.int64).max)], ["cid", "best", "score", "hub"])
+
+
+def _deal(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "n", "cid")
+
+
+def _columns(*more: str) -> list[str]:
+    return ["node", *more, "n", "cid", "lab", "sketch"]
+
+
+def _own_part(parts: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64("cid"), parts)
+
+
+def _walk(spark: SparkSession, recs: DataFrame, trees: tuple[int, ...], node_limit: int, deepest: int):
+    """Nodes level by level: (rows of small nodes, rows of the large ones, the
+    list of these with ``c`` and ``parts``, whether this level is the last).  Nodes with one label
+    are left out.  The rows of a level are recomputed from the classes (each
+    level is a filter on the list of large nodes and a branch), so what is
+    stored is a few numbers a node."""
+    parents, roots = recs.select("n", "cid", "lab", "sig", "sketch"), trees
+    for depth in range(1, deepest + 1):
+        def rows(schema: str, parents=parents, roots=roots) -> DataFrame:
+            return parents.mapInArrow(partial(_branch, trees=roots, schema=schema), schema)
+
+        counts = rows(_COUNT).groupBy("node").agg(F.count("*").alias("c"), F.min("lab").alias("lo"), F.max("lab").alias("hi"))
+        mixed = C.store(spark, counts.where("lo <> hi").select("node", "c"), "nodes")
+        small = rows(_LEAF).join(mixed.where(F.col("c") <= node_limit).select("node"), "node", "left_semi")
+        big = C.store(spark, mixed.where(F.col("c") > node_limit).withColumn(
+            "parts", F.ceil(F.col("c") / node_limit).cast("long")), "big")
+        if big.isEmpty():
+            yield small, None, None, True
+            return
+        onward = yield small, rows(_LEAF).join(big.select("node"), "node", "left_semi"), big, depth == deepest
+        if depth == deepest:
+            return
+        parents = rows(_TRACE).join((big if onward is None else onward).select("node"), "node", "left_semi")
+        roots = None
+
+
+def _proposed(spark: SparkSession, recs: DataFrame, trees: tuple[int, ...], node_limit: int) -> DataFrame:
+    """Pairs of classes with their proposed neighbours: at most two a class.
+    Nodes that are still large at ``SPLIT_DEPTH`` are cut into chunks."""
+    dealt = []
+    for small, large, big, last in _walk(spark, recs, trees, node_limit, SPLIT_DEPTH):
+        dealt.append(small.withColumn("part", F.lit(0).cast("long")).select(_columns("part")))
+        if last and large is not None:
+            dealt.append(large.join(big, "node").withColumn("part", _own_part(F.col("parts"))).select(_columns("part")))
+    rows = dealt[0]
+    for more in dealt[1:]:
+        rows = rows.union(more)
+    keys = ["node", "part"]
+    found = _deal(rows, keys).mapInArrow(partial(_proposals, keys=keys), "cid long, best long, score long, hub long")
+    best = found.groupBy("cid").agg(F.max(F.struct("score", "best")).alias("best"), F.min("hub").alias("hub"))
+    pairs = best.select("cid", F.explode(F.array("best.best", "hub")).alias("other")).where("other is not null")
+    return pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+
+
+def _remaining(spark: SparkSession, recs: DataFrame, trees: int, node_limit: int) -> DataFrame:
+    """All candidate pairs of different labels."""
+    dealt = []
+    columns = [*_columns("part"), "side"]
+    zero = F.lit(0).cast("long")
+    walk = _walk(spark, recs, tuple(range(trees)), node_limit, MAX_DEPTH)
+    step, depth = next(walk), 1
+    while True:
+        small, large, big, last = step
+        dealt.append(small.withColumns({"part": zero, "side": zero}).select(columns))
+        if large is None:
             break
-        large_rows = C.store(spark, rows.join(large.drop("c"), "node"), "large")
-        top = (large_rows.groupBy("node", "lab").count().groupBy("node")
-               .agg(F.sum("count").alias("c"), F.max(F.struct("count", "lab")).alias("top"))
-               .select("node", "c", F.col("top.lab").alias("top"), (F.col("c") - F.col("top.count")).alias("rest"),
-                       F.ceil(F.col("c") / node_limit).cast("long").alias("parts")))
-        top = C.store(spark, top, "top")
+        # the heaviest label of each large node
+        heaviest = (large.groupBy("node", "lab").agg(F.count("*").alias("k")).groupBy("node")
+                    .agg(F.max(F.struct("k", "lab")).alias("t")))
+        top = C.store(spark, big.join(heaviest, "node").select(
+            "node", F.col("t.lab").alias("top"), (F.col("c") - F.col("t.k")).alias("rest"), "parts"), "top")
+        every = F.sequence(zero, F.col("parts") - 1)
+        uneven = F.col("rest") <= node_limit
+        cells = ~uneven & ((F.col("parts") <= MAX_CELLS) & F.lit(depth >= SPLIT_DEPTH) | F.lit(last))
+        rows = large.join(top.where(uneven | cells), "node").withColumn("own", _own_part(F.col("parts")))
         # one label outweighs the rest: the rest meets every chunk of that label
-        uneven = large_rows.join(top.where(F.col("rest") <= node_limit), "node")
-        every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-        own = F.pmod(F.xxhash64("rid"), F.col("parts"))
-        dealt = (uneven.withColumn("side", F.when(F.col("lab") == F.col("top"), 0).otherwise(1))
-                 .withColumn("part", F.explode(F.when(F.col("side") == 0, F.array(own)).otherwise(every)))
-                 .select("node", "part", "n", "rid", "lab", "sketch", "side"))
-        found.append(_compare(dealt, ["node", "part"], False))
-        broad = large_rows.join(top.where(F.col("rest") > node_limit).select("node", "parts"), "node")
-        if depth == MAX_DEPTH:
-            # exhaustive in blocks: row block x meets block y in cell (x, y)
-            mine = F.pmod(F.xxhash64("rid"), F.col("parts"))
-            cells = (broad.withColumn("x", mine).withColumn("y", F.explode(every))
-                     .withColumn("part", F.least("x", "y") * F.col("parts") + F.greatest("x", "y"))
-                     .select("node", "part", "n", "rid", "lab", "sketch"))
-            found.append(_compare(cells, ["node", "part"], False))
+        chunks = (rows.where(uneven).withColumn("side", F.when(F.col("lab") == F.col("top"), 0).otherwise(1).cast("long"))
+                  .withColumn("part", F.explode(F.when(F.col("side") == 0, F.array("own")).otherwise(every))))
+        # exhaustive in blocks: the rows of block x meet those of block y in cell (x, y)
+        blocks = (rows.where(cells).withColumn("y", F.explode(every))
+                  .withColumn("part", F.least("own", "y") * F.col("parts") + F.greatest("own", "y"))
+                  .withColumn("side", F.when(F.col("own") == F.col("y"), 0).when(F.col("own") < F.col("y"), 2)
+                              .otherwise(3).cast("long")))
+        dealt += [chunks.select(columns), blocks.select(columns)]
+        onward = C.store(spark, top.where(~uneven & ~cells).select("node"), "onward")
+        if last or onward.isEmpty():
             break
-        rows = broad.select("node", "rid").join(recs.select("n", "rid", "lab", "sig"), "rid").select(
-            "node", "n", "rid", "lab", "sig").mapInArrow(_children, _ROW)
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+        step, depth = walk.send(onward), depth + 1
+    rows = dealt[0]
+    for more in dealt[1:]:
+        rows = rows.union(more)
+    keys = ["node", "part"]
+    return _deal(rows, keys).mapInArrow(partial(_all_pairs, keys=keys), "a long, b long").distinct()
+
+
+# ---- confirmation ----------------------------------------------------------
+def _needed_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``text`` of the documents whose id is in ``ids``, and of a few others:
+    a filter by a bitmap of at most ``FILTER_BITS / 64`` words, which is the
+    most that is ever broadcast."""
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
+    words = (ids.select(place.alias("_place")).groupBy((F.expr("_place div 64")).alias("_word"))
+             .agg(F.bit_or(bit).alias("_bits")))
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("_place", place)
+    return (text.join(F.broadcast(words), F.expr("_place div 64") == F.col("_word"))
+            .where(F.col("_bits").bitwiseAND(bit) != 0).select("text"))
+
+
+def _with_rid(batches, k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = C.as_bytes(batch.column("text"))
+        rid = [_digest(s) for lo, hi in C.slices(texts) for s in _sets(texts[lo:hi], k)]
+        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.binary()), batch.column("text")], ["rid", "text"])
 
 
-# ---- the operator ----------------------------------------------------------
-def _confirm(spark, docs, classes, pairs, k, percent, id_col, text_col) -> DataFrame:
-    """Pairs whose full shingle sets reach the similarity."""
-    need = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "rid")
-    one = C.store(spark, classes.join(need, "rid", "left_semi").groupBy("rid")
-                  .agg(F.min("id").alias("id")), "needed")
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = C.store(spark, text.join(one.withColumnRenamed("id", "_want"), F.col("id").eqNullSafe(F.col("_want")))
-                   .select("rid", "text").mapInArrow(partial(_sets, k=k, text_col="text"),
-                                                     "rid binary, grams array<long>")
-                   .dropDuplicates(["rid"]), "sets")
-    both = (pairs.join(sets.select(F.col("rid").alias("a"), F.col("grams").alias("ga")), "a")
-            .join(sets.select(F.col("rid").alias("b"), F.col("grams").alias("gb")), "b"))
-    shared = F.size(F.array_intersect("ga", "gb")).cast("long")
-    return (both.select("a", "b", shared.alias("s"), (F.size("ga") + F.size("gb")).cast("long").alias("t"))
-            .where(F.col("s") * 100 >= percent * (F.col("t") - F.col("s"))).select("a", "b"))
+def _confirmed(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of each hub (role 0) with its candidates (role 1)."""
+    for batch in _batches(C.whole_runs(batches, ["a", "salt"])):
+        texts = C.as_bytes(batch.column("text"))
+        a, salt, role, cid = (batch.column(c).to_numpy() for c in ("a", "salt", "role", "cid"))
+        links, hub, of = [], None, None
+        for lo, hi in C.slices(texts):
+            for i, own in enumerate(_sets(texts[lo:hi], k), lo):
+                if role[i] == 0:
+                    hub, of = own, (a[i], salt[i])
+                elif of == (a[i], salt[i]):
+                    both = len(np.intersect1d(hub, own, assume_unique=True))
+                    if 100 * both >= percent * (len(hub) + len(own) - both):
+                        links.append((a[i], cid[i]))
+        found = np.array(links, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+
+
+def _confirm(spark, docs, recs, pairs, k, percent, id_col, text_col) -> DataFrame:
+    """Links among the candidate ``pairs`` (a < b), by the full shingle sets.
+    Candidates go to their hub ``a``, a hub with many to several parts."""
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PART).cast("long").alias("salts"))
+    hub_rows = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+                           F.lit(0).alias("role"), F.col("a").alias("cid"))
+    rows = (pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"),
+                                         F.lit(1).alias("role"), F.col("b").alias("cid")).unionByName(hub_rows))
+    keys = recs.select("cid", "rid", "least")
+    roles = C.store(spark, rows.join(keys, "cid"), "roles")
+    texts = _needed_texts(docs, roles.select(F.col("least").alias("id")), id_col, text_col)
+    moved = (texts.mapInArrow(partial(_with_rid, k=k), "rid binary, text string")
+             .join(roles.drop("least"), "rid").select("a", "salt", "role", "cid", "text"))
+    return (moved.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "cid")
+            .mapInArrow(partial(_confirmed, k=k, percent=percent), "u long, v long").distinct())
 
 
+# ---- the operator ----------------------------------------------------------
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 2, percent: int = 80, trees: int = TREES,
                     node_limit: int = NODE) -> DataFrame:
@@ -298,30 +390,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     id_type = docs.schema[id_col].dataType.simpleString()
     sigs = C.store(spark, docs.select(id_col, text_col).mapInArrow(
         partial(_describe, k=shingle, id_col=id_col, text_col=text_col),
-        f"id {id_type}, n long, rid binary, sig binary"), "signatures")
-    classes = sigs.where("rid is not null").select("rid", "id")
-    # sets under four shingles are similar to equal sets only
-    recs = C.store(spark, sigs.where("n >= 4").groupBy("rid").agg(
-        F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    close = C.store(spark, _ordered(_collapse_candidates(recs, node_limit)).groupBy("b")
-                    .agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    links = C.store(spark, _confirm(spark, docs, classes, close, shingle, percent, id_col, text_col)
-                    .select(F.col("a").alias("u"), F.col("b").alias("v")), "confirmed")
-    labels = connected = C.connected_components(spark, links)
-    labelled = C.store(spark, recs.join(labels.withColumnRenamed("node", "rid"), "rid", "left")
-                       .select("rid", "n", "sig", F.coalesce("root", "rid").alias("lab")), "labelled")
-    rest = C.store(spark, _ordered(_full_candidates(spark, labelled, trees, node_limit))
-                   .distinct(), "pairs")
-    more = C.store(spark, _confirm(spark, docs, classes, rest, shingle, percent, id_col, text_col)
-                   .select(F.col("a").alias("u"), F.col("b").alias("v")), "confirmed")
-    if not more.isEmpty():
-        connected = C.connected_components(spark, links.union(more))
-    # least id of each class, then of each component
-    own = classes.groupBy("rid").agg(F.min("id").alias("least"))
-    rooted = own.join(connected.withColumnRenamed("node", "rid"), "rid", "left").withColumn(
-        "root", F.coalesce("root", "rid"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = C.store(spark, rooted.select("rid", "root").join(least, "root").select("rid", "component_id"), "components")
+        f"id {id_type}, n long, rid binary, sig binary, sketch binary"), "signatures")
+    recs = C.store(spark, sigs.where("rid is not null").groupBy("rid").agg(
+        F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.min("id").alias("least"))
+        .withColumn("cid", F.monotonically_increasing_id()), "classes")
+    joined = recs.where("n >= 4").select("cid", "n", "sig", "sketch")
+    # label of each class with links, where it is not the class itself
+    labels = C.store(spark, joined.select("cid", F.col("cid").alias("lab")).limit(0), "labels")
+    rounds = [partial(_proposed, trees=t, node_limit=node_limit) for t in PROPOSAL_ROUNDS if max(t) < trees]
+    for candidates in [*rounds, partial(_remaining, trees=trees, node_limit=node_limit)]:
+        labelled = C.store(spark, joined.join(labels, "cid", "left").withColumn("lab", F.coalesce("lab", "cid")), "labelled")
+        pairs = C.store(spark, candidates(spark, labelled), "pairs")
+        if pairs.isEmpty():
+            continue
+        found = _confirm(spark, docs, recs, pairs, shingle, percent, id_col, text_col)
+        for end in ("u", "v"):  # links between labels
+            found = (found.join(labels, F.col(end) == F.col("cid"), "left")
+                     .withColumn(end, F.coalesce("lab", end)).select("u", "v"))
+        merged = C.connected_components(spark, found)
+        labels = C.store(spark, labels.join(merged, F.col("lab") == F.col("node"), "left")
+                         .select("cid", F.coalesce("root", "lab").alias("lab"))
+                         .union(merged.where("node <> root").select("node", "root")), "labels")
+    named = recs.select("rid", "cid", "least").join(labels, "cid", "left").select(
+        "rid", "least", F.coalesce("lab", "cid").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = C.store(spark, named.join(least, "root").select("rid", "component_id"), "components")
     return (sigs.select("id", "n", "rid").join(named, "rid", "left")
             .select("id", F.col("n").alias("n_shingles"), F.col("rid").alias("class"),
                     F.when(F.col("rid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")))
