@@ -236,6 +236,7 @@ def test_knn_regress_equals_brute_force(spark):
             train.append((blk, float(rng.uniform(0, 10)), float(rng.uniform(0, 50)), float(rng.uniform(0, 3)),
                           float(round(rng.uniform(1000, 9000), 2))))
     train += [train[0]] * 4                                   # duplicated listing
+    train.append(("a", 1e6, 25.0, 1.5, 5000.0))              # a mistyped value on the training side
     for blk, n in (("a", 60), ("b", 10), ("c", 2), ("d", 2)):
         for _ in range(n):
             test.append((blk, float(rng.uniform(0, 10)), float(rng.uniform(0, 50)), float(rng.uniform(0, 3)), 0.0))
