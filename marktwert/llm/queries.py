@@ -37,7 +37,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir).select("doc_id", "text")
     labels = C.documents(spark, sf_dir, "labels").select("doc_id", "toxic")
-    field = toxicity.train(spark, docs.where(~C.held_out("doc_id")).join(labels, "doc_id"))
+    field = toxicity.train(spark, docs.where(~C.held_out("doc_id")), labels)
     offsets = F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
     return toxicity.tag(spark, docs, field).select(
         "doc_id", C.held_out("doc_id").alias("held_out"), "score",

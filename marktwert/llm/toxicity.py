@@ -242,18 +242,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30
     return w
 
 
-def train(spark: SparkSession, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Field | None:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id",
+          text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC,
+          max_clean: int = MAX_CLEAN) -> Field | None:
     """Fit on at most ``max_toxic`` and ``max_clean`` documents, those with the
-    least hash of the id.  None if a class is missing."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("y"),
-                           F.xxhash64(F.lit("toxicity"), F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
-    picked = [r for y, most in ((1, max_toxic), (0, max_clean))
-              for r in rows.where((F.col("y") == y) & F.col("text").isNotNull()).orderBy("h", "id", "text").limit(most).collect()]
-    toxic = np.array([r["y"] == 1 for r in picked], bool)
-    if not toxic.any() or toxic.all():
+    least hash of the id.  ``labels`` holds id and label (default: ``docs``
+    does).  The sample is chosen by ids alone; only its texts are fetched.
+    None if a class is missing."""
+    known = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    rated = known if labels is None else known.select(id_col).join(labels.select(id_col, label_col), id_col)
+    ids = rated.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"),
+                       F.xxhash64(F.lit("toxicity"), F.col(id_col)).alias("h")).where("y in (0, 1)").distinct()
+    picked = {r["id"]: r["y"] == 1 for y, most in ((0, max_clean), (1, max_toxic))
+              for r in ids.where(F.col("y") == y).orderBy("h", "id").limit(most).collect()}
+    if len(set(picked.values())) < 2:
         return None
-    return fit([r["text"].encode("utf-8", "surrogatepass") for r in picked], toxic)
+    chosen = spark.createDataFrame([(i,) for i in picked], ids.select("id").schema)  # bounded by the two limits
+    texts = (known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+             .groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect())
+    return fit([r["text"].encode("utf-8", "surrogatepass") for r in texts],
+               np.array([picked[r["id"]] for r in texts], bool))
 
 
 def _score(batches, field, text_col: str) -> Iterator[pa.RecordBatch]:
