@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from marktwert.llm import common as C
+
 LEAST_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,8 +61,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", tex
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumns({"n": F.octet_length("body").cast("long"),
                              "digest": F.sha2(F.encode("body", "utf-8"), 256)})
-    first = (rows.where(F.col("n") >= least_bytes).groupBy("digest")
-             .agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("digest", "first"))
+    # stored, so that its size is known: texts are shuffled only if the groups are too many to broadcast
+    first = C.store(pages.sparkSession, rows.where(F.col("n") >= least_bytes).groupBy("digest")
+                    .agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+                    .select("digest", "first"), "copies")
     rows = rows.join(first, "digest", "left")
     again = (F.col("n") >= least_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
