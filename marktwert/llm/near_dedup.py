@@ -22,7 +22,9 @@ no pair is dropped.  Counts are combined before they are shuffled; a hub's
 candidates are dealt to salted parts.
 
 Texts move only for candidates: a bitmap of fixed size over the hashed ids
-keeps most other rows out of the shuffle (saturated, it just passes more).
+keeps most other rows out of the shuffle (saturated, it just passes more).  In
+the large nodes, where one class may have many candidates, texts go to the
+chunks once a row, not once a pair, and pairs are confirmed on the spot.
 
 Defined results: null text, empty text and text without words have an empty
 set, no links and form their own component; fewer words than a shingle give one
@@ -272,26 +274,24 @@ def _proposed(spark: SparkSession, recs: DataFrame, trees: tuple[int, ...], node
         dealt.append(small.withColumn("part", F.lit(0).cast("long")).select(_columns("part")))
         if last and large is not None:
             dealt.append(large.join(big, "node").withColumn("part", _own_part(F.col("parts"))).select(_columns("part")))
-    rows = dealt[0]
-    for more in dealt[1:]:
-        rows = rows.union(more)
     keys = ["node", "part"]
-    found = _deal(rows, keys).mapInArrow(partial(_proposals, keys=keys), "cid long, best long, score long, hub long")
+    found = _deal(_union(dealt), keys).mapInArrow(partial(_proposals, keys=keys), "cid long, best long, score long, hub long")
     best = found.groupBy("cid").agg(F.max(F.struct("score", "best")).alias("best"), F.min("hub").alias("hub"))
     pairs = best.select("cid", F.explode(F.array("best.best", "hub")).alias("other")).where("other is not null")
     return pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
 
 
-def _remaining(spark: SparkSession, recs: DataFrame, trees: int, node_limit: int) -> DataFrame:
-    """All candidate pairs of different labels."""
-    dealt = []
+def _remaining(spark: SparkSession, recs: DataFrame, trees: int, node_limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """For all pairs of different labels that meet in a node: the candidate
+    pairs of small nodes, and the rows of large nodes dealt to (node, part)."""
+    compared, dealt = [], []
     columns = [*_columns("part"), "side"]
     zero = F.lit(0).cast("long")
     walk = _walk(spark, recs, tuple(range(trees)), node_limit, MAX_DEPTH)
     step, depth = next(walk), 1
     while True:
         small, large, big, last = step
-        dealt.append(small.withColumns({"part": zero, "side": zero}).select(columns))
+        compared.append(small.select(_columns()))
         if large is None:
             break
         # the heaviest label of each large node
@@ -316,11 +316,15 @@ def _remaining(spark: SparkSession, recs: DataFrame, trees: int, node_limit: int
         if last or onward.isEmpty():
             break
         step, depth = walk.send(onward), depth + 1
-    rows = dealt[0]
-    for more in dealt[1:]:
-        rows = rows.union(more)
-    keys = ["node", "part"]
-    return _deal(rows, keys).mapInArrow(partial(_all_pairs, keys=keys), "a long, b long").distinct()
+    pairs = _deal(_union(compared), ["node"]).mapInArrow(partial(_all_pairs, keys=["node"]), "a long, b long").distinct()
+    return pairs, _union(dealt) if dealt else None
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.union(more)
+    return out
 
 
 # ---- confirmation ----------------------------------------------------------
@@ -379,6 +383,48 @@ def _confirm(spark, docs, recs, pairs, k, percent, id_col, text_col) -> DataFram
             .mapInArrow(partial(_confirmed, k=k, percent=percent), "u long, v long").distinct())
 
 
+def _dense_links(batches, keys: list[str], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Confirmed links of similar rows in each run; two labels that are linked
+    in a run need no further pair there."""
+    for batch in _batches(C.whole_runs(batches, keys)):
+        cid, lab = batch.column("cid").to_numpy(), batch.column("lab").to_numpy()
+        texts, sets, links = batch.column("text"), {}, []
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for i, j, _ in _similar(batch, keys):
+            need = [r for r in np.unique(np.concatenate([i, j])).tolist() if r not in sets]
+            raw = C.as_bytes(texts.take(pa.array(need, pa.int64())))
+            for lo, hi in C.slices(raw):
+                sets.update(zip(need[lo:hi], _sets(raw[lo:hi], k)))
+            for x, y in zip(i.tolist(), j.tolist()):
+                p, q = find(int(lab[x])), find(int(lab[y]))
+                if p == q:
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    links.append((cid[x], cid[y]))
+                    root[max(p, q)] = min(p, q)
+        found = np.array(links, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+
+
+def _confirm_dense(spark, docs, recs, dealt, k, percent, id_col, text_col) -> DataFrame:
+    """Links among the rows of large nodes: each row takes its text along."""
+    dealt = C.store(spark, dealt, "dealt")
+    need = C.store(spark, recs.select("cid", "rid", "least").join(dealt.select("cid").distinct(), "cid", "left_semi"), "need")
+    texts = (_needed_texts(docs, need.select(F.col("least").alias("id")), id_col, text_col)
+             .mapInArrow(partial(_with_rid, k=k), "rid binary, text string")
+             .join(need.select("rid", "cid"), "rid").groupBy("cid").agg(F.min("text").alias("text")))
+    keys = ["node", "part"]
+    return (_deal(dealt.join(texts, "cid"), keys)
+            .mapInArrow(partial(_dense_links, keys=keys, k=k, percent=percent), "u long, v long").distinct())
+
+
 # ---- the operator ----------------------------------------------------------
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 2, percent: int = 80, trees: int = TREES,
@@ -397,13 +443,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     joined = recs.where("n >= 4").select("cid", "n", "sig", "sketch")
     # label of each class with links, where it is not the class itself
     labels = C.store(spark, joined.select("cid", F.col("cid").alias("lab")).limit(0), "labels")
+    check = (shingle, percent, id_col, text_col)
     rounds = [partial(_proposed, trees=t, node_limit=node_limit) for t in PROPOSAL_ROUNDS if max(t) < trees]
     for candidates in [*rounds, partial(_remaining, trees=trees, node_limit=node_limit)]:
         labelled = C.store(spark, joined.join(labels, "cid", "left").withColumn("lab", F.coalesce("lab", "cid")), "labelled")
-        pairs = C.store(spark, candidates(spark, labelled), "pairs")
-        if pairs.isEmpty():
+        pairs, dealt = candidates(spark, labelled.select("cid", "n", "sig", "sketch", "lab")), None
+        if isinstance(pairs, tuple):
+            pairs, dealt = pairs
+        pairs = C.store(spark, pairs, "pairs")
+        links = [] if pairs.isEmpty() else [_confirm(spark, docs, recs, pairs, *check)]
+        if dealt is not None:
+            links.append(_confirm_dense(spark, docs, recs, dealt, *check))
+        if not links:
             continue
-        found = _confirm(spark, docs, recs, pairs, shingle, percent, id_col, text_col)
+        found = _union(links)
         for end in ("u", "v"):  # links between labels
             found = (found.join(labels, F.col(end) == F.col("cid"), "left")
                      .withColumn(end, F.coalesce("lab", end)).select("u", "v"))
