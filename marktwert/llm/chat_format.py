@@ -153,7 +153,7 @@ def format_conversations(rows: DataFrame, render: Template = chatml) -> DataFram
 
 
 def _read_back(batches, trained: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in C.pieces(batches):
         counts, said, learned = [], [], []
         for out, spans in zip(batch.column("formatted").to_pylist(), batch.column("turns").to_pylist()):
             turns = parse(out)

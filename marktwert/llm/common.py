@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from marktwert.session import shared_path
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
+PIECE_ROWS = 1000
 SPACE = 0x20
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -64,6 +65,14 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in small batches, so that what Python copies of
+    a batch stays small (a batch may hold 10,000 texts)."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges whose texts sum to about ``limit`` bytes."""
     lo, size = 0, 0

@@ -34,7 +34,7 @@ from marktwert.llm import common as C
 
 WINDOW = 10
 BLOCK_BYTES = 16_000_000
-STRETCH = 2048
+STRETCH = 512
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _NEWLINE = 10
 
@@ -158,7 +158,7 @@ def _scan(batches, patterns, text_col: str) -> Iterator[pa.RecordBatch]:
     """Add word ranges and items of one block to ``_ranges`` and ``_items``."""
     windows, words, items = patterns.value
     searcher = Searcher(windows) if windows else None
-    for batch in batches:
+    for batch in C.pieces(batches):
         texts = C.as_bytes(batch.column(text_col))
         ranges = [list(x) for x in batch.column("_ranges").to_pylist()]
         found = [set(x) for x in batch.column("_items").to_pylist()]

@@ -171,7 +171,7 @@ def _signed(x: int) -> int:
 
 def _vectors(batches) -> Iterator[pa.RecordBatch]:
     """Partial sums of the occurrence vectors of a batch."""
-    for batch in batches:
+    for batch in C.pieces(batches):
         sums: dict[tuple[str, int], list[int]] = {}
         for host, page_id, page in zip(*(batch.column(c).to_pylist() for c in ("host", "id", "html"))):
             mark = xxhash.xxh64_intdigest(page or "")
@@ -207,7 +207,7 @@ def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
 
 def _extract(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in C.pieces(batches):
         known: dict[tuple, frozenset] = {}
         out = []
         for page, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist()):

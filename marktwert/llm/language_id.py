@@ -77,7 +77,7 @@ def _pieces(texts: list[str]):
 
 def _count(batches, max_languages: int) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in C.pieces(batches):
         texts, langs = _texts(batch.column("text")), batch.column("lang").to_pylist()
         for lo, hi in _pieces(texts):
             bins, at = trigram_bins(texts[lo:hi])
@@ -160,7 +160,7 @@ def infer(model: Model, bins: np.ndarray, penalty: float = PENALTY, rounds: int
 
 def _predict(batches, model, text_col: str) -> Iterator[pa.RecordBatch]:
     model = model.value
-    for batch in batches:
+    for batch in C.pieces(batches):
         texts = _texts(batch.column(text_col))
         out: list[list[tuple[str, float]]] = []
         for lo, hi in _pieces(texts):

@@ -97,7 +97,7 @@ def _sets(texts: list[bytes], k: int) -> list[np.ndarray]:
 
 
 def _describe(batches, k: int, id_col: str, text_col: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in C.pieces(batches):
         texts, ids = C.as_bytes(batch.column(text_col)), batch.column(id_col)
         for lo, hi in C.slices(texts):
             sets = _sets(texts[lo:hi], k)
@@ -342,7 +342,7 @@ def _needed_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -
 
 
 def _with_rid(batches, k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in C.pieces(batches):
         texts = C.as_bytes(batch.column("text"))
         rid = [_digest(s) for lo, hi in C.slices(texts) for s in _sets(texts[lo:hi], k)]
         yield pa.RecordBatch.from_arrays([pa.array(rid, pa.binary()), batch.column("text")], ["rid", "text"])

@@ -40,7 +40,7 @@ _JOIN = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _word_counts(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in C.pieces(batches):
         texts = C.as_bytes(batch.column(0))
         seen = [C.Words(texts[lo:hi], C.ALNUM_WORDS).hashes() for lo, hi in C.slices(texts)]
         word, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
@@ -203,7 +203,7 @@ def neighbours(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
 
 # ---- join ------------------------------------------------------------------
 def _fingerprints(batches, anchors, chain: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in C.pieces(batches):
         texts = C.as_bytes(batch.column("text"))
         prints = []
         for lo, hi in C.slices(texts):

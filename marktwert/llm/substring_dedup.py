@@ -71,7 +71,7 @@ def normal(text: str) -> str:
 
 
 def _units(batches, min_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in C.pieces(batches):
         ids, keys, texts = batch.column("id"), batch.column("h"), batch.column("text").to_pylist()
         at, start, end, digest = [], [], [], []
 
@@ -121,7 +121,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, i
 
 
 def _rebuild(batches, text_col: str, names: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in C.pieces(batches):
         texts, spans, n_units = [], [], []
         for text, found in zip(batch.column(text_col).to_pylist(), batch.column("_spans").to_pylist()):
             if text is None or not found:
@@ -146,8 +146,9 @@ def repeated_units(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     found = rows.mapInArrow(partial(_units, min_words=min_words),
                             f"id {id_type}, h long, start int, end int, digest binary")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "h", "start", "end")
-    first = (found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-             .select("digest", "first"))
+    # stored, so that the join below reads two shuffles, of which a hot digest's partition can be split
+    first = C.store(spark, found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+                    .where("n > 1").select("digest", "first"), "firsts")
     # a longer unit may start at the same offset: it is another digest
     again = found.join(first, "digest").where(place != F.col("first"))
     return (again.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans")))

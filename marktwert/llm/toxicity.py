@@ -266,7 +266,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None,
 
 def _score(batches, field, text_col: str) -> Iterator[pa.RecordBatch]:
     field = field.value
-    for batch in batches:
+    for batch in C.pieces(batches):
         texts = C.as_bytes(batch.column(text_col))
         score, spans = [], []
         for lo, hi in C.slices(texts):
