@@ -1,10 +1,10 @@
 """Substring dedup by hashing lines and paragraphs inside lines.
 
-Units are normalised pieces of text: each line of at least ``min_words`` words,
-and inside a line each *paragraph* that starts with a sentence and runs to the
-first sentence end after ``min_words`` words (paragraphs overlap, so a passage
-set into the middle of another line is found from its first whole sentence
-on).  A unit is lower-cased, white space becomes one blank.  Digests are grouped
+Units are normalised pieces of text: each line, however short, and inside a line
+each *paragraph* that starts with a sentence and runs to the first sentence end
+after ``min_words`` words (paragraphs overlap, so a passage set into the middle
+of another line is found from its first whole sentence on).  Scripts without
+blanks count a word a code point.  A unit is lower-cased, white space becomes one blank.  Digests are grouped
 over all documents; the earliest occurrence by (id, offset) stays and every
 other one is removed.  Offsets of the removed spans in the original text (code
 points) are kept with the result.
@@ -14,8 +14,8 @@ partial minimum, and the join back is on the digest with the skew split of
 adaptive execution; no occurrence list is ever gathered.  Removal lists are per
 document.
 
-Defined results: null text stays null with no units; empty text, and text whose
-units are all short, stay as they are; a document without anything left keeps
+Defined results: null text stays null with no units; empty text and lines of
+blanks and sentence ends alone stay as they are; a document without anything left keeps
 its row with an empty text; rows that repeat both id and text are one document
 and share its result; null ids rank last; equal ids with different texts rank
 by a hash of the text; other columns pass through; an empty table gives an
@@ -39,6 +39,10 @@ from marktwert.llm import common as C
 MIN_WORDS = 10
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"[^\x20\x09-\x0D][^.!?]*(?:[.!?]+(?![\x20\x09-\x0D])[^.!?]*)*[.!?]*")
+_ENDS = " .!?"
+#: Thai to Khmer, kana, CJK: written without blanks between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+                       "\U00020000-\U0003ffff]")
 _WHITE = " \t\x0b\x0c\r\n"
 _BLANK = " \t\x0b\x0c\r"
 
@@ -50,10 +54,11 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str
                  for m in _SENTENCE.finditer(line.group())]
         if not parts:
             continue
-        counts = [p[2].count(" ") + 1 for p in parts]
+        counts = [n_words(p[2]) for p in parts]
         last = (parts[0][0], parts[-1][1])
-        if sum(counts) >= min_words:
-            yield (*last, " ".join(p[2] for p in parts))
+        whole = " ".join(p[2] for p in parts)
+        if whole.strip(_ENDS):
+            yield (*last, whole)
         j, words = 0, 0
         for i in range(len(parts)):
             while j < len(parts) and words < min_words:
@@ -66,6 +71,12 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str
             words -= counts[i]
 
 
+def n_words(text: str) -> int:
+    """Words of a normalised text."""
+    n = text.count(" ") + 1
+    return n if text.isascii() else max(n, len(_UNSPACED.findall(text)))
+
+
 def normal(text: str) -> str:
     return " ".join(re.split(r"[\x20\x09-\x0D]+", text.strip(_WHITE).lower()))
 

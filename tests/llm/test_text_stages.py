@@ -77,6 +77,15 @@ def test_units_cover_lines_and_sentence_runs():
     assert list(substring_dedup.units("")) == [] == list(substring_dedup.units(" \n\t.. \n"))
 
 
+def test_short_lines_and_lines_without_blanks_are_units(spark, make_docs):
+    chinese = "\u6211\u4eec\u6bcf\u5929\u90fd\u5728\u8fd9\u91cc\u5de5\u4f5c"
+    rows = [(1, f"Share this\nown words of one\n{chinese}"), (2, f"share  THIS\nwords of two\n{chinese}\n..."),
+            (3, "words of three\n...\nShare this"), (4, "Share this")]
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(spark, make_docs(rows)).collect()}
+    assert out == {1: rows[0][1], 2: "words of two\n...", 3: "words of three\n...", 4: ""}
+    assert substring_dedup.n_words(chinese) == len(chinese) == 10 and substring_dedup.n_words("a b c") == 3
+
+
 # ---- decontamination -------------------------------------------------------
 def brute_contamination(docs, items, width=10):
     windows = defaultdict(set)
