@@ -1,18 +1,27 @@
-"""Substring dedup by hashing lines and paragraphs inside lines.
+"""Substring dedup by hashing lines, paragraphs, sentence chains and chunks.
 
-Units are normalised pieces of text: each line, however short, and inside a line
-each *paragraph* that starts with a sentence and runs to the first sentence end
-after ``min_words`` words (paragraphs overlap, so a passage set into the middle
-of another line is found from its first whole sentence on).  Scripts without
-blanks count a word a code point.  A unit is lower-cased, white space becomes one blank.  Digests are grouped
-over all documents; the earliest occurrence by (id, offset) stays and every
-other one is removed.  Offsets of the removed spans in the original text (code
-points) are kept with the result.
+Units are normalised pieces of text (lower-cased, white space as one blank):
+
+* each line, however short, and each paragraph between blank lines;
+* inside a paragraph, from each line or sentence start, the *chain* of sentences
+  to the first end after ``min_words`` words, also across line ends (then at
+  most ``MAX_CHAIN`` words);
+* over the whole text the *chunks* from a content-defined cut to the first cut
+  after ``min_words`` words.  A hash of two words makes the cut, so a passage
+  that is wrapped otherwise or has no whole sentence is found as well, but for
+  some words at its edges.  Runs of one word are cut at equal steps.
+
+Units overlap; a passage set into the middle of another text is found.  Scripts
+without blanks count a word a code point.  Digests are grouped over all
+documents; the earliest occurrence by (id, offset) stays and every other one is
+removed.  Offsets of the removed spans in the original text (code points) are
+kept with the result.
 
 One digest may stand for a third of all units: the earliest occurrence is a
 partial minimum, and the join back is on the digest with the skew split of
-adaptive execution; no occurrence list is ever gathered.  Removal lists are per
-document.
+adaptive execution; no occurrence list is ever gathered.  A bitmap of fixed size
+over the repeated digests keeps most other units out of that join (saturated, it
+just passes more).  Removal lists are per document.
 
 Defined results: null text stays null with no units; empty text and lines of
 blanks and sentence ends alone stay as they are; a document without anything left keeps
@@ -29,6 +38,7 @@ import re
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,28 +47,41 @@ from pyspark.sql import types as T
 from marktwert.llm import common as C
 
 MIN_WORDS = 10
+#: A sentence chain across line ends is at most this long; a cut is chosen at one of ``CUT_EVERY`` words.
+MAX_CHAIN = 60
+CUT_EVERY = 8
+#: Bits of the filter of repeated digests.
+FILTER_BITS = 1 << 26
+_PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]*[^\x20\x09-\x0D\n][^\n]*)*")
 _LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"[^\x20\x09-\x0D][^.!?]*(?:[.!?]+(?![\x20\x09-\x0D])[^.!?]*)*[.!?]*")
-_ENDS = " .!?"
+#: Marks that end a sentence without a blank after them (CJK, Indic, Arabic, ellipsis).
+_WIDE = "\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u061f\u06d4\u2026"
+_SENTENCE = re.compile(r"[^\x20\x09-\x0D][^.!?%s]*(?:[.!?]+(?![\x20\x09-\x0D])[^.!?%s]*)*[.!?%s]*" % (_WIDE, _WIDE, _WIDE))
+_ENDS = " .!?" + _WIDE
 #: Thai to Khmer, kana, CJK: written without blanks between words.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
                        "\U00020000-\U0003ffff]")
 _WHITE = " \t\x0b\x0c\r\n"
+_RADIX = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = " \t\x0b\x0c\r"
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised text) of every unit."""
-    for line in _LINE.finditer(text):
-        parts = [(m.start() + line.start(), m.end() + line.start(), normal(m.group()))
-                 for m in _SENTENCE.finditer(line.group())]
+    """(start, end, normalised text) of every unit, by place."""
+    found: dict[tuple[int, int], str] = {}
+    for paragraph in _PARAGRAPH.finditer(text):
+        parts, counts, last_of_line = [], [], []
+        for line in _LINE.finditer(text, *paragraph.span()):
+            first = len(parts)
+            parts += [(m.start(), m.end(), normal(m.group())) for m in _SENTENCE.finditer(text, *line.span())]
+            if len(parts) == first:
+                continue
+            counts += [n_words(p[2]) for p in parts[first:]]
+            last_of_line += [len(parts) - 1] * (len(parts) - first)
+            _add(found, parts, first, len(parts) - 1)
         if not parts:
             continue
-        counts = [n_words(p[2]) for p in parts]
-        last = (parts[0][0], parts[-1][1])
-        whole = " ".join(p[2] for p in parts)
-        if whole.strip(_ENDS):
-            yield (*last, whole)
+        _add(found, parts, 0, len(parts) - 1)
         j, words = 0, 0
         for i in range(len(parts)):
             while j < len(parts) and words < min_words:
@@ -66,9 +89,79 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str
                 j += 1
             if words < min_words:
                 break
-            if (parts[i][0], parts[j - 1][1]) != last:
-                yield parts[i][0], parts[j - 1][1], " ".join(p[2] for p in parts[i:j])
+            end = j - 1
+            if end <= last_of_line[i]:
+                _add(found, parts, i, end)
+            longer = words
+            while end + 1 < len(parts) and parts[end][2][-1] not in _ENDS and longer <= MAX_CHAIN:
+                end += 1
+                longer += counts[end]
+            if longer <= MAX_CHAIN:
+                _add(found, parts, i, end)
             words -= counts[i]
+    for a, b, unit in _chunks(text, min_words):
+        found.setdefault((a, b), unit)
+    for a, b in sorted(found, key=lambda place: place[0]):
+        yield a, b, found[a, b]
+
+
+def _add(found: dict[tuple[int, int], str], parts: list[tuple[int, int, str]], i: int, j: int) -> None:
+    place = parts[i][0], parts[j][1]
+    if place not in found:
+        unit = " ".join([p[2] for p in parts[i:j + 1]])
+        if unit.strip(_ENDS):
+            found[place] = unit
+
+
+def _chunks(text: str, min_words: int) -> Iterator[tuple[int, int, str]]:
+    """Units from a content-defined cut to the first cut after ``min_words``
+    words.  A cut stands before two words whose hash is 0 modulo
+    ``CUT_EVERY``, so it does not depend on lines or sentences."""
+    if text.count(" ") < min_words and text.isascii() and len(text.split()) <= min_words:
+        return
+    low = text.lower()
+    if len(low) != len(text):  # some letter becomes two
+        low = "".join([x if len(x) == 1 else c for c in text for x in (c.lower(),)])
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = (codes != 32) & ((codes < 9) | (codes > 13))
+    split = np.zeros(len(codes) + 1, bool)  # a border of a word before the code point
+    split[0] = split[-1] = True
+    split[1:-1] = word[1:] != word[:-1]
+    if not text.isascii():
+        alone = np.zeros(len(codes), bool)
+        alone[[m.start() for m in _UNSPACED.finditer(text)]] = True
+        split[:-1] |= alone
+        split[1:] |= alone
+    at = np.flatnonzero(split)
+    is_word = word[at[:-1]]
+    start, end = at[:-1][is_word], at[1:][is_word]
+    if len(start) <= min_words:
+        return
+    offset = np.arange(len(codes)) - np.repeat(at[:-1], np.diff(at))
+    powers = np.multiply.accumulate(np.concatenate(
+        [np.ones(1, np.uint64), np.full(int(offset.max()), _RADIX)]))
+    hashes = C.mix(np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * powers[offset], at[:-1])[is_word])
+    pairs = C.mix(hashes[:-1] * _RADIX + hashes[1:]) % np.uint64(CUT_EVERY)
+    same = hashes[:-1] == hashes[1:]
+    after = np.concatenate([[False], same[:-1]])
+    step = max(min_words, 2 * CUT_EVERY)
+    if same.any():  # in a run of one word every ``step`` words, and behind the run
+        i = np.arange(len(same))
+        nth = i - np.maximum.accumulate(np.where(same & ~after, i, 0))
+        pairs = np.where(same, nth % step, np.where(after, 1, pairs))
+        behind = np.flatnonzero(after & ~same) + 1
+    else:
+        behind = []
+    cuts = np.unique(np.concatenate([[0], np.flatnonzero(pairs == 0), behind, [len(start)]])).astype(np.int64)
+    to = np.searchsorted(cuts, cuts + min_words)
+    some = to < len(cuts)
+    first, last = start[cuts[some]], end[cuts[to[some]] - 1]
+    kept = word.copy()  # one blank between words
+    kept[1:] |= word[:-1]
+    folded = np.where(word, codes, 32)[kept].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    place = np.concatenate([[0], np.cumsum(kept)])
+    for a, b, x, y in zip(first.tolist(), last.tolist(), place[first].tolist(), place[last].tolist()):
+        yield a, b, folded[x:y]
 
 
 def n_words(text: str) -> int:
@@ -148,6 +241,17 @@ def _rebuild(batches, text_col: str, names: list[str]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def _maybe(found: DataFrame, first: DataFrame) -> DataFrame:
+    """The units whose digest is in ``first``, and some others: a filter by at
+    most ``FILTER_BITS / 64`` words, which is the most that is broadcast."""
+    place = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
+    words = (first.select(place.alias("_place")).groupBy(F.expr("_place div 64").alias("_word"))
+             .agg(F.bit_or(bit).alias("_bits")))
+    return (found.withColumn("_place", place).join(F.broadcast(words), F.expr("_place div 64") == F.col("_word"))
+            .where(F.col("_bits").bitwiseAND(bit) != 0).select(*found.columns))
+
+
 def repeated_units(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    min_words: int = MIN_WORDS) -> DataFrame:
     """``id``, ``h`` and the ``spans`` to remove, a row per document that
@@ -161,7 +265,7 @@ def repeated_units(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     first = C.store(spark, found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first"))
                     .where("n > 1").select("digest", "first"), "firsts")
     # a longer unit may start at the same offset: it is another digest
-    again = found.join(first, "digest").where(place != F.col("first"))
+    again = _maybe(found, first).join(first, "digest").where(place != F.col("first"))
     return (again.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
 

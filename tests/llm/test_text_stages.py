@@ -86,6 +86,31 @@ def test_short_lines_and_lines_without_blanks_are_units(spark, make_docs):
     assert substring_dedup.n_words(chinese) == len(chinese) == 10 and substring_dedup.n_words("a b c") == 3
 
 
+def test_passages_across_line_ends_and_without_sentences_are_cut(spark, make_docs):
+    rng = random.Random(8)
+    word = lambda tag: f"{tag}{rng.randrange(10**6)}"
+
+    def wrapped(words, width):
+        return "\n".join(" ".join(words[i:i + width]) for i in range(0, len(words), width))
+    sentences = [w + ("." if i % 12 == 11 else "") for i, w in enumerate(word("s") for _ in range(72))]
+    unmarked = [word("u") for _ in range(120)]
+    han = "".join(chr(0x4e00 + rng.randrange(3000)) for _ in range(30)) + "\u3002"
+    rows = [(1, wrapped(sentences, 7)), (2, "own start\n" + wrapped(sentences, 5) + "\nown end"),
+            (3, " ".join([word("a") for _ in range(20)] + unmarked + [word("b") for _ in range(20)])),
+            (4, wrapped([word("c") for _ in range(9)] + unmarked + [word("d") for _ in range(9)], 6)),
+            (5, "the " * 100), (6, "own " + "the " * 57 + "last"),
+            (7, f"\u6211{han}"), (8, f"\u4f60\u3002{han}"), (9, f"\u4ed6\u3002{han}")]
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(spark, make_docs(rows)).collect()}
+    assert all(out[i] == dict(rows)[i] for i in (1, 3, 7))
+    left = [w for w in out[2].split() if w in set(sentences)]
+    assert out[2].startswith("own start") and out[2].endswith("own end") and len(left) <= 12
+    assert sum(w in set(unmarked) for w in out[4].split()) <= 40
+    assert sum(w[0] in "cd" for w in out[4].split()) == 18
+    assert out[6].count("the") < 16 and out[6].startswith("own") and out[6].endswith("last")
+    assert out[9].strip("\u3002") == "\u4ed6"
+    assert out[5].count("the") < 32
+
+
 # ---- decontamination -------------------------------------------------------
 def brute_contamination(docs, items, width=10):
     windows = defaultdict(set)
