@@ -4,21 +4,22 @@ Tokens of a page are its structural elements (with their path) and the text
 nodes outside of article elements.  Over the pages of one host each token has an
 occurrence vector (how often on which page); tokens with equal vectors form an
 equivalence class.  A class is valid if it has at least ``MIN_SIZE`` tokens, of
-which one is an element, and support on at least half of the host's pages; valid
-classes nest by their paths into the host's template.  What lies between template
+which one is an element, and support on at least ``MIN_PAGES`` and half of the
+host's distinct pages (copies of a page count once).  Order and nesting of a
+class's tokens are not checked beyond the paths that the tokens hold.  What lies between template
 tokens is a slot.  Slots under menus, headers, footers, sidebars, notices,
 adverts, forms and comments are dropped by the element they lie in; where a page
 has an article or main element, its slots are the text, else all slots that are
 left, without the template's own text.
 
 Vectors are never gathered: a token's vector is represented by two sums of
-hashes of (page, count), so a host with a third of all pages only adds up
-partial sums.  A template is at most twice as long as an average page.
+hashes of (page, count) modulo a prime, so a host with a third of all pages only
+adds up partial sums; each of n copies of a page adds 1 / n of it.  A template is at most twice as long as an average page.
 
 Defined results: null or empty html gives an empty text; pages of hosts with
-fewer than ``MIN_PAGES`` pages, or without a host, use the structure of the page
+fewer than ``MIN_PAGES`` distinct pages, or without a host, use the structure of the page
 alone; broken markup closes at the next fitting end tag, an unclosed element at
-the end; repeated rows count as separate pages and get equal results; equal
+the end; repeated rows get equal results; equal
 page ids with different html are separate pages; other columns are ignored; an
 empty table gives an empty result.
 """
@@ -40,6 +41,7 @@ from marktwert.llm import common as C
 MIN_SIZE = 2
 MIN_PAGES = 3
 SUPPORT = 0.5
+_PRIME = (1 << 31) - 1
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -172,19 +174,20 @@ def _signed(x: int) -> int:
 def _vectors(batches) -> Iterator[pa.RecordBatch]:
     """Partial sums of the occurrence vectors of a batch."""
     for batch in C.pieces(batches):
-        sums: dict[tuple[str, int], list[int]] = {}
-        for host, page_id, page in zip(*(batch.column(c).to_pylist() for c in ("host", "id", "html"))):
-            mark = xxhash.xxh64_intdigest(page or "")
+        sums: dict[tuple[str, int], list] = {}
+        for host, copies, page in zip(*(batch.column(c).to_pylist() for c in ("host", "copies", "html"))):
+            mark, part = xxhash.xxh64_intdigest(page or ""), pow(copies, -1, _PRIME)
             for token, n in tokens(page or "").items():
-                h = xxhash.xxh64_intdigest(f"{page_id}|{mark}|{n}")
-                row = sums.setdefault((host, token), [0, 0, 0])
-                row[0] += 1
-                row[1] += h & 0xFFFFFFFF
-                row[2] += h >> 32
+                h = xxhash.xxh64_intdigest(f"{mark}|{n}")
+                row = sums.setdefault((host, token), [0.0, 0, 0])
+                row[0] += 1 / copies
+                row[1] += (h & 0xFFFFFFFF) * part % _PRIME
+                row[2] += (h >> 32) * part % _PRIME
         keys, values = list(sums), list(sums.values())
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([_signed(k[1]) for k in keys], pa.int64()),
-             *[pa.array([v[i] for v in values], pa.int64()) for i in range(3)]], ["host", "token", "pages", "v1", "v2"])
+             pa.array([v[0] for v in values], pa.float64()),
+             *[pa.array([v[i] for v in values], pa.int64()) for i in (1, 2)]], ["host", "token", "pages", "v1", "v2"])
 
 
 def host_of(url: str) -> F.Column:
@@ -194,11 +197,16 @@ def host_of(url: str) -> F.Column:
 def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """``host`` and ``template`` (tokens of its valid classes); ``pages`` has
     ``host``, ``id``, ``html``."""
-    known = pages.where("host <> ''")
-    sums = (known.mapInArrow(_vectors, "host string, token long, pages long, v1 long, v2 long")
-            .groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "v1", "v2")]))
-    hosts = known.groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= MIN_PAGES)
-    strong = C.store(spark, sums.join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("all")), "vectors")
+    known = pages.where("host <> ''").withColumn("mark", F.xxhash64(F.coalesce("html", F.lit(""))))
+    distinct = C.store(spark, known.groupBy("host", "mark").agg(F.count("*").alias("copies")), "distinct")
+    repeated = C.store(spark, distinct.where("copies > 1"), "repeated")
+    sums = (known.join(repeated, ["host", "mark"], "left").select("host", F.coalesce("copies", F.lit(1)).alias("copies"), "html")
+            .mapInArrow(_vectors, "host string, token long, pages double, v1 long, v2 long")
+            .groupBy("host", "token").agg(F.round(F.sum("pages")).cast("long").alias("pages"),
+                                          *[F.pmod(F.sum(c), F.lit(_PRIME)).alias(c) for c in ("v1", "v2")]))
+    hosts = distinct.groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= MIN_PAGES)
+    strong = C.store(spark, sums.join(hosts, "host").where(
+        F.col("pages") >= F.greatest(F.lit(MIN_PAGES), SUPPORT * F.col("all"))), "vectors")
     classes = (strong.groupBy("host", "pages", "v1", "v2")
                .agg(F.count("*").alias("size"), F.max((F.col("token") % 2 == 0).cast("int")).alias("element"))
                .where((F.col("size") >= MIN_SIZE) & (F.col("element") == 1)))

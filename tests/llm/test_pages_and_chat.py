@@ -145,6 +145,16 @@ def test_template_text_of_a_host_is_dropped(spark):
     assert html_extract.main_text(spark, pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_do_not_make_a_template(spark):
+    page = "<html><body><div class=x><p>Main text of {0}</p></div><div class=y><p>more of {0}</p></div></body></html>"
+    rows = [(i, f"http://copies.example/{i}", page.format("one")) for i in range(7)]
+    rows += [(10 + i, f"http://few.example/{i}", page.format(f"page {i % 2}")) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["id"]: r["text"] for r in html_extract.main_text(spark, pages).collect()}
+    assert all(got[i] == "Main text of one more of one" for i in range(7))
+    assert all(got[10 + i] == f"Main text of page {i % 2} more of page {i % 2}" for i in range(6))
+
+
 def test_classes_share_their_vectors(spark):
     page = "<div class=a><p>Every page</p></div>{}<div class=b>x{}</div>"
     rows = [(i, "http://h/", page.format("<ul><li>some</ul>" if i % 2 else "", i)) for i in range(10)]
