@@ -1,16 +1,16 @@
 """HTML extraction by equivalence classes of template tokens.
 
-Tokens of a page are its structural elements (with their path) and the text
-nodes outside of article elements.  Over the pages of one host each token has an
+Tokens of a page are its structural elements (with their path) and its text
+nodes.  Over the pages of one host each token has an
 occurrence vector (how often on which page); tokens with equal vectors form an
 equivalence class.  A class is valid if it has at least ``MIN_SIZE`` tokens, of
 which one is an element, and support on at least ``MIN_PAGES`` and half of the
-host's distinct pages (copies of a page count once).  Order and nesting of a
+host's distinct pages (pages with equal text count once).  Order and nesting of a
 class's tokens are not checked beyond the paths that the tokens hold.  What lies between template
 tokens is a slot.  Slots under menus, headers, footers, sidebars, notices,
 adverts, forms and comments are dropped by the element they lie in; where a page
 has an article or main element, its slots are the text, else all slots that are
-left, without the template's own text.
+left, in both cases without the template's own text.
 
 Vectors are never gathered: a token's vector is represented by two sums of
 hashes of (page, count) modulo a prime, so a host with a third of all pages only
@@ -124,7 +124,7 @@ def tokens(page: str) -> Counter:
         if kind == "tag":
             path = value
             found[xxhash.xxh64_intdigest(value) & ~1] += 1
-        elif kind == "text" and not article and (text := " ".join(value.split())):
+        elif kind == "text" and (text := " ".join(value.split())):
             found[xxhash.xxh64_intdigest(f"{path}|{text}") | 1] += 1
     return found
 
@@ -149,12 +149,10 @@ def extract(page: str, template: frozenset[int] | set[int]) -> str:
         if kind == "text":
             if chrome:
                 continue
-            if article:
-                open_inside.append(value)
-            elif not seen_article:
+            if article or not seen_article:
                 text = " ".join(value.split())
-                if text and (xxhash.xxh64_intdigest(f"{path}|{text}") | 1) not in template:
-                    open_anywhere.append(value)
+                if not text or (xxhash.xxh64_intdigest(f"{path}|{text}") | 1) not in template:
+                    (open_inside if article else open_anywhere).append(value)
         else:
             end(open_inside, inside)
             end(open_anywhere, anywhere)
@@ -171,12 +169,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _marked(batches) -> Iterator[pa.RecordBatch]:
+    """Pages with a mark of their text."""
+    for batch in C.pieces(batches):
+        marks = [_signed(xxhash.xxh64_intdigest(extract(p or "", frozenset()).encode("utf-8", "surrogatepass")))
+                 for p in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(marks, pa.int64()), batch.column("html")],
+                                         ["host", "mark", "html"])
+
+
 def _vectors(batches) -> Iterator[pa.RecordBatch]:
     """Partial sums of the occurrence vectors of a batch."""
     for batch in C.pieces(batches):
         sums: dict[tuple[str, int], list] = {}
-        for host, copies, page in zip(*(batch.column(c).to_pylist() for c in ("host", "copies", "html"))):
-            mark, part = xxhash.xxh64_intdigest(page or ""), pow(copies, -1, _PRIME)
+        for host, mark, copies, page in zip(*(batch.column(c).to_pylist() for c in ("host", "mark", "copies", "html"))):
+            part = pow(copies, -1, _PRIME)
             for token, n in tokens(page or "").items():
                 h = xxhash.xxh64_intdigest(f"{mark}|{n}")
                 row = sums.setdefault((host, token), [0.0, 0, 0])
@@ -197,10 +204,11 @@ def host_of(url: str) -> F.Column:
 def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """``host`` and ``template`` (tokens of its valid classes); ``pages`` has
     ``host``, ``id``, ``html``."""
-    known = pages.where("host <> ''").withColumn("mark", F.xxhash64(F.coalesce("html", F.lit(""))))
+    known = pages.where("host <> ''").select("host", "html").mapInArrow(_marked, "host string, mark long, html string")
     distinct = C.store(spark, known.groupBy("host", "mark").agg(F.count("*").alias("copies")), "distinct")
     repeated = C.store(spark, distinct.where("copies > 1"), "repeated")
-    sums = (known.join(repeated, ["host", "mark"], "left").select("host", F.coalesce("copies", F.lit(1)).alias("copies"), "html")
+    sums = (known.join(repeated, ["host", "mark"], "left")
+            .select("host", "mark", F.coalesce("copies", F.lit(1)).alias("copies"), "html")
             .mapInArrow(_vectors, "host string, token long, pages double, v1 long, v2 long")
             .groupBy("host", "token").agg(F.round(F.sum("pages")).cast("long").alias("pages"),
                                           *[F.pmod(F.sum(c), F.lit(_PRIME)).alias(c) for c in ("v1", "v2")]))

@@ -155,6 +155,18 @@ def test_copies_of_a_page_do_not_make_a_template(spark):
     assert all(got[10 + i] == f"Main text of page {i % 2} more of page {i % 2}" for i in range(6))
 
 
+def test_the_template_decides_inside_articles(spark):
+    page = ("<body><div class=top><p>Site name</p></div><article><h1>Story {0}</h1><div class=tools><p>Tell your friends"
+            "</p></div><p>Words of {0}</p></article></body>")
+    rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(8)]
+    rows += [(20 + i, f"http://copies.example/{i}", page.format("one") + f"<p>view {i}</p>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["id"]: r["text"] for r in html_extract.main_text(spark, pages).collect()}
+    assert all(got[i] == f"Story {i} Words of {i}" for i in range(8))
+    assert all(got[20 + i] == "Story one Tell your friends Words of one" for i in range(5))
+    assert html_extract.extract(rows[0][2], frozenset()) == "Story 0 Tell your friends Words of 0"
+
+
 def test_classes_share_their_vectors(spark):
     page = "<div class=a><p>Every page</p></div>{}<div class=b>x{}</div>"
     rows = [(i, "http://h/", page.format("<ul><li>some</ul>" if i % 2 else "", i)) for i in range(10)]
