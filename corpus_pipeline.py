@@ -5,7 +5,7 @@ decontamination, mixing.
 in the shared folder and read again as the next stage's input.
 
 Defined results: a null or empty text has no language and goes in the first
-stage; an empty table gives an empty result; columns beside those of
+stage (unless no row has a label: then the stage passes all); an empty table gives an empty result; columns beside those of
 ``documents`` pass through (in the last stage ``size``, ``source_size``,
 ``target``, ``taken``, ``epoch`` and ``words`` are replaced).
 """

@@ -185,10 +185,11 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, text_col: str =
     return docs.mapInArrow(partial(_predict, model=spark.sparkContext.broadcast(model), text_col=text_col), schema)
 
 
-def keep_identified(spark: SparkSession, docs: DataFrame, least_share: float = 0.4) -> DataFrame:
-    """Documents whose language can be told: some letter, and one language
-    with at least ``least_share`` of the text.  Columns unchanged."""
+def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Documents whose languages can be told, one or several; all documents if
+    no row is labelled.  Columns unchanged."""
     model = train(spark, docs)
+    if not model.languages:
+        return docs
     found = identify(spark, docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns]), model, "_in_text")
-    found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_share))
-    return found.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])

@@ -313,3 +313,19 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
 def test_digest_of_no_items_is_of_the_empty_text(spark):
     rows = queries.op5_decontamination(spark, SMALL_SF).where("n_items = 0").select("items_sha256").distinct().collect()
     assert [r[0] for r in rows] == [hashlib.sha256(b"").hexdigest()]
+
+
+def test_a_text_in_three_languages_stays_and_unlabelled_tables_pass(spark, make_docs):
+    rng = random.Random(5)
+    letters = {"x1": "abcdefgh", "x2": "ijklmnop", "x3": "qrstuvwx"}
+
+    def text(lang, n=60):
+        return " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(n))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(list(letters) * 8)]
+    rows += [(100, " ".join(text(lang) for lang in letters), None), (101, "12 34", None)]
+    docs = make_docs(rows)
+    scores = {r["doc_id"]: r["score"] for r in language_id.identify(spark, docs, language_id.train(spark, docs)).collect()}
+    assert scores[100] < 0.4
+    assert {r["doc_id"] for r in language_id.keep_identified(spark, docs).collect()} == {r[0] for r in rows} - {101}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.keep_identified(spark, unlabelled).count() == len(rows)
