@@ -29,11 +29,11 @@ _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _JOIN = np.uint64(0xD1342543DE82EF95)
 
 
-def store(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def store(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write ``df`` to a fresh folder of the shared checkpoint
     directory and read it back, so a lost executor re-reads files."""
     path = shared_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marktwert.llm import common as C
-from marktwert.llm import (chat_format, decontaminate, html_extract, language_id, mixing, near_dedup, spotsigs,
-                           substring_dedup, toxicity, warc)
+from marktwert.llm import (chat_format, conversation_repair, decontaminate, html_extract, language_id, line_dedup,
+                           mixing, near_dedup, spotsigs, substring_dedup, token_alignment, toxicity, warc)
 from marktwert.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,36 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", C.held_out("doc_id").alias("held_out"), "lang_pred", "score", "languages")
 
 
+@_register
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep bitmaps of all documents (runs of kept lines) and what they keep."""
+    out = line_dedup.keep_bitmaps(spark, C.documents(spark, sf_dir).select("doc_id", "text"))
+    runs = F.transform("keep", lambda r: F.concat_ws("+", r["start"], r["length"]))
+    return out.select("doc_id", "n_lines", "n_dropped",
+                      F.sha2(F.encode(line_dedup.kept_text(), "utf-8"), 256).alias("kept_sha256"),
+                      F.concat_ws(",", runs).alias("keep"))
+
+
+@_register
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after planted damage."""
+    rows = C.documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = conversation_repair.repair(conversation_repair.damage(rows))
+    said = F.transform("repaired", lambda r: F.concat_ws(":", r["role"], r["text"]))
+    found = fixed.select(F.col("conv_id").alias("_conv"), *conversation_repair.COUNTS[1:], "audit",
+                         F.concat_ws("\n", said).alias("_said"))
+    out = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in conversation_repair.COUNTS[1:]],
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.sha2(F.encode(F.coalesce("_said", F.lit("")), "utf-8"), 256).alias("repaired_sha256"))
+
+
+@_register
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_alignment.alignment(spark, C.documents(spark, sf_dir).select("doc_id", "text"))
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 @_register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -221,3 +251,20 @@ k AS (SELECT d.doc_id, d.source, d.size, h.source_size, h.target,
 SELECT doc_id, source, size, source_size, target,
        CAST(epochs * size + greatest(0, least(size, rest - (upto - size))) AS BIGINT) AS taken FROM k
 """
+
+ORACLE["op11_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, r, i, ls[i] AS line,
+        translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM (SELECT doc_id, r, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+k AS (SELECT key, max(doc_id) AS top FROM l WHERE length(key) >= 20
+      GROUP BY key HAVING count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INT)) >= 3),
+m AS (SELECT l.*, k.key IS NOT NULL AND l.doc_id IS DISTINCT FROM k.top AS lost FROM l LEFT JOIN k USING (key)),
+runs AS (SELECT r, min(i) - 1 AS start, count(*) AS n
+         FROM (SELECT r, i, i - row_number() OVER (PARTITION BY r ORDER BY i) AS g FROM m WHERE NOT lost) GROUP BY r, g)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(lost AS INT)) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256,
+       coalesce((SELECT string_agg(start || '+' || n, ',' ORDER BY start) FROM runs WHERE runs.r = m.r), '') AS keep
+FROM m GROUP BY doc_id, r
+"""
