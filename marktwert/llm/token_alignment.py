@@ -8,11 +8,12 @@ pointers of all texts of a slice are doubled at once until they stand still.  A
 token's terminal then labels its group: the least stretch of bytes at whose ends
 tokens of both sides end.
 
-* One map pass encodes and aligns the texts, in slices of bounded bytes; texts
-  over ``CHUNK`` characters are encoded in chunks cut at a space between two
-  letters, where neither tokenizer has a token across.  It stores per text the
-  numbers, the digest of its groups and its linked id pairs with their counts
-  (sorted, differences only): nothing is encoded twice.
+* One map pass encodes and aligns the texts, in slices of bounded bytes.  Texts
+  are cut before single spaces between two signs, where neither tokenizer has a
+  token across (checked of B's pieces; A's pre-tokenizer never does), and each
+  distinct stretch is encoded once while it is among the last ``KNOWN`` ones.
+  The pass stores per text the numbers, the digest of its groups and its linked
+  id pairs with their counts (sorted, differences only).
 * Corpus counts of id pairs are summed per task, then by one grouped sum.
 * The pair table (at most the product of the vocabularies, whatever the corpus)
   goes back to the texts in blocks of at most ``BLOCK`` pairs; each block adds
@@ -32,6 +33,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +46,12 @@ from marktwert.llm import common as C
 FOLDER = "/opt/tokenizers"
 BYTE_BPE = f"{FOLDER}/byte_bpe_50k.json"
 PIECE_BPE = f"{FOLDER}/piece_bpe_32k.model"
-CHUNK = 100_000
+KNOWN = 500_000
+TOGETHER = 20_000
 BLOCK = 2_000_000
 LINKS_HELD = 2_000_000
-_CUT = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
+_SIGNS = re.compile(r"[!-~\w](?:.*[!-~\w])?\Z", re.DOTALL)
+_CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -83,33 +87,90 @@ class Pair:
         self.names = [b"%d%c" % (i, sign) for n, signs in ((self.n_a, b",|"), (self.n_b, b",;"))
                       for sign in signs for i in range(n)]
 
-    def encode(self, texts: list[str], chunk: int = CHUNK) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A over a space and each text, and of B over each text."""
-        parts, owner = [], []
-        for k, text in enumerate(texts):
-            for part in chunks(text, chunk):
-                parts.append(part)
-                owner.append(k)
-        a = [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
-        b = self.b.encode(parts, num_threads=1) if parts else []
-        out: tuple[list[list[int]], list[list[int]]] = ([[] for _ in texts], [[] for _ in texts])
-        for side, ids in zip(out, (a, b)):
-            for k, part in zip(owner, ids):
-                side[k] = side[k] + part if side[k] else part
-        return out
-
-
-def chunks(text: str, size: int) -> list[str]:
-    """The text cut at single spaces between letters (which go), a cut no
-    earlier than every ``size`` characters."""
-    out, lo = [], 0
-    while len(text) - lo > size:
-        cut = _CUT.search(text, lo + size)
-        if not cut:
-            break
-        out.append(text[lo:cut.start()])
-        lo = cut.end()
-    return [*out, text[lo:]]
+        self.parts = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.n_b))
+        self.forget()
+
+    def forget(self) -> None:
+        """No stretch is known: ``at`` numbers the known ones, ``ids`` and
+        ``first`` hold their ids of both sides, ``fine`` tells whether both
+        sides' tokens join to a space and the stretch."""
+        self.at: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.int64)] * 2
+        self.first = [np.zeros(1, np.int64)] * 2
+        self.fine = np.zeros(0, bool)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new stretches.  Those that begin and end with a sign are
+        encoded in long rows with spaces between, as in a text, and told apart
+        by their bytes; if the bytes of a row do not fit, one by one."""
+        rows, alone, held = [[]], [w for w in words if not _SIGNS.match(w)], 0
+        for word in (w for w in words if _SIGNS.match(w)):
+            rows[-1].append(word)
+            held += len(word)
+            if held > TOGETHER:
+                rows.append([])
+                held = 0
+        alone += self._learn([r for r in rows if r])
+        self._learn([[w] for w in alone], last=True)
+
+    def _learn(self, rows: list[list[str]], last: bool = False) -> list[str]:
+        """Encode rows of stretches; returns those of rows with other bytes
+        (with ``last`` they are learnt as not fine)."""
+        texts = [" ".join(r) for r in rows]
+        a = [x.ids for x in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        whole = [b" " + t.encode() for t in texts]
+        ok = [joined(self.a_bytes, x) == joined(self.b_bytes, y) == t for x, y, t in zip(a, b, whole)]
+        use = [k for k in range(len(rows)) if ok[k] or last]
+        words = [w for k in use for w in rows[k]]
+        ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
+        for k, (found, size) in enumerate(((a, self.a_len), (b, self.b_len))):
+            flat = np.fromiter(chain.from_iterable(found[i] for i in use), np.int64)
+            if last:
+                stop = np.cumsum(np.fromiter((len(found[i]) for i in use), np.int64, len(use)))
+            else:
+                stop = np.searchsorted(np.cumsum(size[flat]), ends) + 1
+            self.first[k] = np.append(self.first[k], self.first[k][-1] + stop)
+            self.ids[k] = np.append(self.ids[k], flat)
+        self.fine = np.append(self.fine, [ok[k] for k in use for _ in rows[k]])
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
+        return [w for k, row in enumerate(rows) if not (ok[k] or last) for w in row]
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of A over a space and each text and of B over each text, all in
+        a row, and their numbers per text."""
+        cut = [_CUT.split(t) if self.parts else [t] for t in texts]
+        distinct = set(chain.from_iterable(cut))
+        new = list(distinct.difference(self.at))
+        if len(self.at) + len(new) > KNOWN:
+            self.forget()
+            new = list(distinct)
+        if new:
+            self.learn(new)
+        n_words = np.fromiter(map(len, cut), np.int64, len(cut))
+        word = np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, int(n_words.sum()))
+        starts = np.cumsum(n_words) - n_words
+        doubtful = ~np.logical_and.reduceat(self.fine[word], starts) if texts else np.zeros(0, bool)
+        all_ids, all_n = [], []
+        for ids, first in zip(self.ids, self.first):
+            n = first[word + 1] - first[word]
+            before = np.cumsum(n) - n
+            all_ids.append(ids[np.repeat(first[word] - before, n) + np.arange(int(n.sum()))])
+            all_n.append(np.add.reduceat(n, starts) if texts else n)
+        bad = np.fromiter((not t for t in texts), bool, len(texts))
+        for k in np.flatnonzero(doubtful & ~bad).tolist():
+            lo = [int(n[:k].sum()) for n in all_n]
+            sides = [ids[x:x + n[k]].tolist() for ids, n, x in zip(all_ids, all_n, lo)]
+            bad[k] = any(joined(names, side) != b" " + texts[k].encode()
+                         for names, side in zip((self.a_bytes, self.b_bytes), sides))
+        for k in (0, 1):
+            all_ids[k] = all_ids[k][np.repeat(~bad, all_n[k])]
+            all_n[k] = np.where(bad, 0, all_n[k])
+        return all_ids, all_n
+
+
+def joined(names: list[bytes], ids: list[int]) -> bytes:
+    return b"".join(map(names.__getitem__, ids))
 
 
 @functools.lru_cache(maxsize=2)
@@ -117,13 +178,12 @@ def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def terminals(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Group label (the terminal B token) of every A and B token, from the byte
-    ends of two tilings of the same bytes."""
-    n = len(a_end)
-    over_a = np.searchsorted(b_end, a_end)                 # B token over an A token's last byte
-    over_b = np.searchsorted(a_end, b_end)
-    points = np.concatenate([n + over_a, np.where(a_end[over_b] > b_end, over_b, n + np.arange(len(b_end)))])
+def terminals(over_a: np.ndarray, over_b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group label (the terminal B token) of every A and B token: ``over_a`` and
+    ``over_b`` are the other side's token over a token's last byte, ``apart``
+    tells that it goes on beyond the B token."""
+    n = len(over_a)
+    points = np.concatenate([n + over_a, np.where(apart, over_b, n + np.arange(len(over_b)))])
     while True:
         further = points[points]
         if (further == points).all():
@@ -134,27 +194,21 @@ def terminals(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Aligned:
     """A slice of texts, encoded and aligned."""
 
-    def __init__(self, tok: Pair, texts: list[str], chunk: int = CHUNK):
-        a_ids, b_ids = tok.encode(texts, chunk)
-        for k, text in enumerate(texts):
-            whole = b" " + text.encode()
-            if (not text or b"".join(map(tok.a_bytes.__getitem__, a_ids[k])) != whole
-                    or b"".join(map(tok.b_bytes.__getitem__, b_ids[k])) != whole):
-                a_ids[k] = b_ids[k] = []
-        self.tok, n = tok, len(texts)
-        self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, n) for x in (a_ids, b_ids))
-        self.a = np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in a_ids]])
-        self.b = np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in b_ids]])
+    def __init__(self, tok: Pair, texts: list[str]):
+        n = len(texts)
+        self.tok = tok
+        (self.a, self.b), (self.n_a, self.n_b) = tok.encode(texts)
         a_end, b_end = np.cumsum(tok.a_len[self.a]), np.cumsum(tok.b_len[self.b])
-        self.a_text, self.b_text = np.repeat(np.arange(n), self.n_a), np.repeat(np.arange(n), self.n_b)
-        self.a_group, self.b_group = terminals(a_end, b_end) if len(a_end) else (self.a, self.b)
-        # overlapping pairs: one per stretch between neighbouring ends
-        ends = np.union1d(a_end, b_end)
-        at_a, at_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-        self.link_text = self.a_text[at_a]
-        self.link = self.a[at_a] * tok.n_b + self.b[at_b]
+        a_text, b_text = np.repeat(np.arange(n), self.n_a), np.repeat(np.arange(n), self.n_b)
+        over_a = np.searchsorted(b_end, a_end)                 # B token over an A token's last byte
+        over_b = np.searchsorted(a_end, b_end)
+        apart = a_end[over_b] > b_end                          # B tokens that end within an A token
+        self.a_group, self.b_group = terminals(over_a, over_b, apart)
+        # an overlap ends where its A token ends, or its B token within it
+        self.link_text = np.concatenate([a_text, b_text[apart]])
+        self.link = np.concatenate([self.a * tok.n_b + self.b[over_a], (self.a[over_b] * tok.n_b + self.b)[apart]])
         last = self.b_group == np.arange(len(self.b))
-        self.n_groups = np.bincount(self.b_text[last], minlength=n)
+        self.n_groups = np.bincount(b_text[last], minlength=n)
         self.n_links = np.bincount(self.link_text, minlength=n)
 
     def groups(self) -> list[bytes]:
@@ -196,7 +250,7 @@ def _unpack(column: pa.Array) -> list[np.ndarray]:
 
 
 def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str = BYTE_BPE,
-            b_path: str = PIECE_BPE, digest: bool = False, pairs: bool = False, chunk: int = CHUNK) -> DataFrame:
+            b_path: str = PIECE_BPE, digest: bool = False, pairs: bool = False) -> DataFrame:
     """Per text its numbers of tokens, groups and links and its ``groups``
     (written out, or as SHA-256 with ``digest``); with ``pairs`` also the
     packed ``_codes`` and ``_times`` of its linked id pairs."""
@@ -211,7 +265,7 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_p
         for batch in C.pieces(batches):
             texts = C.as_bytes(batch.column("_text"))
             for lo, hi in C.slices(texts):
-                x = Aligned(tok, [t.decode() for t in texts[lo:hi]], chunk)
+                x = Aligned(tok, [t.decode() for t in texts[lo:hi]])
                 groups = x.groups()
                 if digest:
                     groups = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
@@ -261,12 +315,12 @@ def pair_counts(spark: SparkSession, stored: DataFrame, n_b: int) -> DataFrame:
 
 
 def alignment(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-              a_path: str = BYTE_BPE, b_path: str = PIECE_BPE, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+              a_path: str = BYTE_BPE, b_path: str = PIECE_BPE, block: int = BLOCK) -> DataFrame:
     """Per text the numbers of :func:`aligned`, the SHA-256 of its groups as
     ``groups`` and, over the corpus-wide counts of linked id pairs, ``n_best``
     (links with the most frequent partner of their B id) and ``count_sum``."""
     n_b = pair(a_path, b_path).n_b
-    encoded = aligned(docs, id_col, text_col, a_path, b_path, digest=True, pairs=True, chunk=chunk)
+    encoded = aligned(docs, id_col, text_col, a_path, b_path, digest=True, pairs=True)
     stored = C.store(spark, encoded.withColumn("_row", F.monotonically_increasing_id()), "aligned", compression="zstd")
     counts = C.store(spark, pair_counts(spark, stored, n_b), "pairs")
     size = counts.count()
