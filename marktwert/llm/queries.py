@@ -268,3 +268,54 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(lost AS INT)) AS BIGINT) AS n_
        coalesce((SELECT string_agg(start || '+' || n, ',' ORDER BY start) FROM runs WHERE runs.r = m.r), '') AS keep
 FROM m GROUP BY doc_id, r
 """
+
+ORACLE["op12_conversation_repair"] = r"""
+WITH RECURSIVE
+c AS (SELECT conv_id, turn, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, coalesce(role, ' ') AS role,
+        coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+k AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+          list_transform(range(1, length(key) + 1), lambda j: CAST(unicode(key[j]) AS BIGINT))),
+          lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+            lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS kind FROM c),
+d AS (SELECT g, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM k),
+o AS (SELECT g, turn, role, text, left(role, 1) AS initial,
+        row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+e AS (SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY i) AS nth FROM o),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN nth > 1 THEN 'd'
+          WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+        lag(initial) OVER (PARTITION BY g ORDER BY i) || initial AS step FROM e),
+n AS (SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated,
+        count(*) FILTER (step IS NOT NULL AND step NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY g),
+ins(s, t, letters, said) AS (VALUES (0, 0, '', []), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']),
+        (1, 1, '', []), (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']),
+        (2, 2, '', []), (2, 3, 'I', ['assistant:']), (3, 3, '', []), (3, 2, 'I', ['user:'])),
+ed(edit, s, initial, role, t, price) AS (VALUES ('D', 0, '', '', 0, 3), ('D', 1, '', '', 1, 3), ('D', 2, '', '', 2, 3),
+        ('D', 3, '', '', 3, 3), ('K', 0, 's', '', 1, 0), ('K', 0, 'u', '', 2, 0), ('K', 1, 'u', '', 2, 0), ('K', 2, 'a', '', 3, 0),
+        ('K', 3, 'u', '', 2, 0), ('R', 0, '', 'user', 2, 2), ('R', 1, '', 'user', 2, 2), ('R', 2, '', 'assistant', 3, 2),
+        ('R', 3, '', 'user', 2, 2)),
+dp AS (SELECT n.g, CAST(0 AS BIGINT) AS i, ins.t AS s, CAST(2 * length(letters) AS BIGINT) AS cost, letters AS audit,
+         CAST(ins.said AS VARCHAR[]) AS said FROM n, ins WHERE ins.s = 0
+  UNION ALL
+  SELECT g, i, s, cost, audit, said FROM (
+    SELECT dp.g, f.i, ins.t AS s,
+           dp.cost + ed.price + CASE WHEN ed.edit <> 'D' AND f.fault = 't' THEN 1 ELSE 0 END + 2 * length(ins.letters) AS cost,
+           dp.audit || ed.edit || ins.letters AS audit,
+           dp.said || CASE ed.edit WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [f.role || ':' || f.text]
+                      ELSE [ed.role || ':' || f.text] END || CAST(ins.said AS VARCHAR[]) AS said
+    FROM dp JOIN f ON f.g = dp.g AND f.i = dp.i + 1
+    JOIN ed ON ed.s = dp.s AND (ed.edit = 'D' OR (f.fault NOT IN ('b', 'd') AND (ed.edit = 'R' OR ed.initial = f.initial)))
+    JOIN ins ON ins.s = ed.t)
+  QUALIFY row_number() OVER (PARTITION BY g, i, s ORDER BY cost, audit) = 1),
+best AS (SELECT dp.g, cost, audit, said FROM dp JOIN n ON n.g = dp.g AND n.n = dp.i WHERE s IN (0, 3)
+         QUALIFY row_number() OVER (PARTITION BY dp.g ORDER BY cost, audit) = 1),
+ids AS (SELECT DISTINCT conv_id, g FROM c)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN n USING (g) LEFT JOIN best USING (g)
+"""
