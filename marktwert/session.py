@@ -78,3 +78,13 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     a folder of this application (two sessions never share a path)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, spark.sparkContext.applicationId, *parts])
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a written intermediate of this application, in whatever store it is."""
+    base = shared_path(spark)
+    if not path.startswith(base.rstrip("/") + "/"):
+        raise ValueError(f"not an intermediate of this application: {path}")
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
