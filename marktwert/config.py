@@ -107,3 +107,36 @@ YEAR_EVENTS = [(2008, "Financial Crisis"), (2020, "COVID-19")]
 # ---- fixed values: boosted-tree settings of the shipped model ------------
 GBT_PARAMS = {"n_estimators": 500, "max_depth": 10, "learning_rate": 0.02,
               "subsample": 0.8, "colsample_bytree": 0.9, "random_state": 42}
+GBT_PATIENCE = 10
+
+# ---- fixed values: tuning of the boosted trees ----------------------------
+TUNING = {"n_trials": 30, "timeout": 1200, "cv_folds": 5}
+TUNING_SPACE = {
+    "n_estimators": [50, 300, 500, 600, 800],
+    "max_depth": [8, 10, 12, 15],
+    "learning_rate": [0.0001, 0.02, 0.05, 0.08, 0.5],
+    "subsample": [0.7, 0.8],
+    "colsample_bytree": [0.9],
+    "random_state": [15, 42, 100],
+}
+# ---- fixed values: model comparison ---------------------------------------
+CV_REPORT_FOLDS = 10
+SEARCH_FOLDS = 5
+SEARCH_CANDIDATES = 5
+SEARCH_SPACES = {
+    "knn": {"k": [3, 5, 8, 10, 15, 20]},
+    "gbt": {"maxIter": [300, 500, 800, 1000], "maxDepth": [5, 10, 20], "stepSize": [0.001, 0.05, 0.1]},
+    "rf": {"numTrees": [50, 100, 150, 200], "maxDepth": [5, 15]},
+}
+TUNED_MODELS = {
+    "knn": {"k": 8},
+    "gbt": {"max_iter": 300, "max_depth": 10, "step": 0.05, "subsample": 1.0, "colsample": 1.0},
+    "rf": {"num_trees": 200, "max_depth": 15},
+}
+# untuned models: the usual defaults of such regressors (trees of a forest grow
+# as deep as Spark allows)
+PLAIN_MODELS = {
+    "knn": {"k": 5},
+    "gbt": {"max_iter": 100, "max_depth": 6, "step": 0.3, "subsample": 1.0, "colsample": 1.0},
+    "rf": {"num_trees": 100, "max_depth": 30},
+}

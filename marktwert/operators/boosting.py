@@ -479,7 +479,7 @@ class _Fit:
     def _rules(self, t: int) -> _Rules:
         get = self.est.getOrDefault
         rng = np.random.default_rng([get("seed") % 2**32, t])
-        columns = np.sort(rng.permutation(self.d)[:max(1, int(get("colsample") * self.d))])
+        columns = np.sort(rng.permutation(self.d)[:max(1, math.ceil(get("colsample") * self.d))])
         return _Rules(get("maxDepth"), get("stepSize"), get("l2"), get("minGain"), get("minRows"), self.unit,
                       max(len(c) for c in self.cuts) + 1, columns)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import encode as E
+from .boosting import source_importances
 from .stats import exact_quantiles
 
 
@@ -516,3 +518,13 @@ def variance_frame(spark, model: PipelineModel) -> DataFrame:
     ratios = model.stages[1].explainedVariance.toArray()
     return spark.createDataFrame([(i + 1, float(v), float(c)) for i, (v, c) in enumerate(zip(ratios, np.cumsum(ratios)))],
                                  "component int, ratio double, cumulative double")
+
+
+def importances_by_column(df: DataFrame, vector_col: str, loadings: np.ndarray, importances: np.ndarray) -> dict[str, float]:
+    """Importances of components as shares of the source columns: the slots'
+    names come from the vector column's metadata, their suffix names the
+    transformation."""
+    attrs = json.loads(json.dumps(df.schema[vector_col].metadata))["ml_attr"]["attrs"]
+    slots = sorted((a["idx"], a["name"]) for kind in attrs.values() for a in kind)
+    source = [re.split(r"_(?:ohe|idx|scaled|boxcox|quantile)(?:_|$)", name)[0] for _, name in slots]
+    return source_importances(importances, loadings, source)

@@ -8,17 +8,23 @@ from __future__ import annotations
 import itertools
 import random
 import time
+import uuid
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import shared_path
 from . import evaluation as EV
+from . import tuning
+from .boosting import HistGBTRegressor
+from .neighbors import KNNRegressor
 
 LABEL = C.TARGET
 
@@ -26,14 +32,23 @@ LABEL = C.TARGET
 def gbt(max_iter: int = C.GBT_PARAMS["n_estimators"], max_depth: int = C.GBT_PARAMS["max_depth"],
         step: float = C.GBT_PARAMS["learning_rate"], subsample: float = C.GBT_PARAMS["subsample"],
         colsample: float = C.GBT_PARAMS["colsample_bytree"], seed: int = C.GBT_PARAMS["random_state"],
-        features: str = "features", **kw) -> GBTRegressor:
-    """M1: boosted trees with the shipped model's settings by default
-    (column sampling is per node in Spark, there is no L2 term)."""
-    if max_depth > 30:
-        raise ValueError(f"trees are at most 30 deep, not {max_depth}")
-    return GBTRegressor(featuresCol=features, labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=str(colsample),
-                        seed=seed, **kw)
+        features: str = "features", **kw) -> HistGBTRegressor:
+    """M1: boosted trees with the shipped model's settings by default (columns
+    sampled per tree, L2 term 1)."""
+    return HistGBTRegressor(featuresCol=features, labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
+                            stepSize=step, subsample=subsample, colsample=colsample, seed=seed, **kw)
+
+
+def knn(k: int = C.PLAIN_MODELS["knn"]["k"], features: str = "features") -> KNNRegressor:
+    """M4 on a feature vector."""
+    return KNNRegressor(featuresCol=features, labelCol=LABEL, k=k)
+
+
+def members(settings: dict[str, dict]) -> dict[str, Callable[[], object]]:
+    """Makers of the compared models by name, from ``C.PLAIN_MODELS`` or
+    ``C.TUNED_MODELS``."""
+    makers = {"knn": knn, "gbt": gbt, "rf": random_forest}
+    return {name: (lambda name=name, kw=kw: makers[name](**kw)) for name, kw in settings.items()}
 
 
 def random_forest(num_trees: int = 20, max_depth: int = 5, seed: int = 42,
@@ -56,12 +71,10 @@ def metrics_row(pred: DataFrame, prediction: str = "prediction") -> dict:
 
 # ---- M2 early stopping -----------------------------------------------------------
 
-def gbt_early_stop(train: DataFrame, validation_fraction_col: str = "is_validation",
-                   tol: float = 0.01, **kw):
-    """M2: boosted trees that stop when the validation error stops improving.
-    The validation indicator is a hash-split column of the *training* rows."""
-    est = gbt(validationIndicatorCol=validation_fraction_col, validationTol=tol, **kw)
-    return est.fit(train)
+def gbt_early_stop(train: DataFrame, validation_col: str = "is_validation", patience: int = C.GBT_PATIENCE, **kw):
+    """M2: boosted trees that stop after ``patience`` rounds without a better
+    error on the flagged rows of ``train`` and end at the best round."""
+    return gbt(validationCol=validation_col, patience=patience, **kw).fit(train)
 
 
 # ---- M6/M7 ensembles ------------------------------------------------------------
@@ -85,7 +98,7 @@ def stacking(members: dict[str, Callable[[], object]], train: DataFrame, k: int
     For each fold, members are fit on the other folds and predict the held
     fold; the held-out predictions are unioned into the meta training set.
     Returns (members refit on all rows, meta model, meta feature names)."""
-    folded = EV.with_folds(train, k)
+    folded = _stored(EV.with_folds(train, k))
     oof = None
     names = [f"pred_{n}" for n in members]
     for f in range(k):
@@ -113,30 +126,64 @@ def stacking_predict(full: dict, meta_model, names: Sequence[str], df: DataFrame
     return meta_model.transform(out)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder: every fold reads files."""
+    spark = df.sparkSession
+    path = shared_path(spark, "models", f"folds-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # ---- M8 k-fold report -----------------------------------------------------------
 
-def cv_report(make: Callable[[], object], train: DataFrame, k: int = 10, name: str = "model"):
+def cv_report(make: Callable[[], object], train: DataFrame, k: int = C.CV_REPORT_FOLDS, name: str = "model",
+              parallelism: int = 1):
     """M8: per fold train and test R2/MAE/MSE and fit/score seconds; returns
-    a list of dict rows (k rows, bounded)."""
-    folded = EV.with_folds(train, k).cache()
-    rows = []
-    try:
-        for f in range(k):
-            tr = folded.where(F.col("fold") != f)
-            te = folded.where(F.col("fold") == f)
-            t0 = time.time()
-            m = make().fit(tr)
-            fit_s = time.time() - t0
-            t1 = time.time()
-            m_te = metrics_row(m.transform(te))
-            score_s = time.time() - t1
-            m_tr = metrics_row(m.transform(tr))
-            rows.append({"model": name, "fold": f, "train_r2": m_tr["r2"], "test_r2": m_te["r2"],
-                         "train_mae": m_tr["mae"], "test_mae": m_te["mae"], "train_mse": m_tr["mse"],
-                         "test_mse": m_te["mse"], "fit_seconds": fit_s, "score_seconds": score_s})
-    finally:
-        folded.unpersist()
-    return rows
+    a list of dict rows (k rows, bounded).  With ``parallelism`` folds run side
+    by side and their seconds include waiting for each other."""
+    folded = _stored(EV.with_folds(train, k))
+
+    def fold(f: int) -> dict:
+        tr = folded.where(F.col("fold") != f)
+        te = folded.where(F.col("fold") == f)
+        t0 = time.time()
+        m = make().fit(tr)
+        fit_s = time.time() - t0
+        t1 = time.time()
+        m_te = metrics_row(m.transform(te))
+        score_s = time.time() - t1
+        m_tr = metrics_row(m.transform(tr))
+        return {"model": name, "fold": f, "train_r2": m_tr["r2"], "test_r2": m_te["r2"],
+                "train_mae": m_tr["mae"], "test_mae": m_te["mae"], "train_mse": m_tr["mse"],
+                "test_mse": m_te["mse"], "fit_seconds": fit_s, "score_seconds": score_s}
+    return _each(fold, range(k), parallelism)
+
+
+def _each(job: Callable, items: Sequence, parallelism: int) -> list:
+    """Jobs of the driver side by side, in order."""
+    if parallelism <= 1:
+        return [job(i) for i in items]
+    with ThreadPool(parallelism) as pool:
+        return pool.map(job, items, chunksize=1)
+
+
+def cv_summary(rows: list[dict]) -> list[dict]:
+    """Means over the folds of each model, by test MAE (ties by name)."""
+    out = []
+    for name in sorted({r["model"] for r in rows}):
+        mine = [r for r in rows if r["model"] == name]
+        means = {c: sum(r[c] for r in mine) / len(mine) for c in mine[0] if c not in ("model", "fold")}
+        out.append({"model": name, "folds": len(mine), **means})
+    out.sort(key=lambda r: (r["test_mae"], r["model"]))
+    return [{"rank": i + 1, **r} for i, r in enumerate(out)]
+
+
+def cv_mean_r2(make: Callable[[], object], folded: DataFrame, k: int, parallelism: int = 1) -> float:
+    """Mean test R2 over the ``fold`` column."""
+    def fold(f: int) -> float:
+        m = make().fit(folded.where(F.col("fold") != f))
+        return metrics_row(m.transform(folded.where(F.col("fold") == f)))["r2"]
+    return sum(_each(fold, range(k), parallelism)) / k
 
 
 # ---- M9-M11 searches ---------------------------------------------------------------
@@ -148,12 +195,12 @@ def grid_search(est, grid: dict, train: DataFrame, k: int = 5, parallelism: int
         builder = builder.addGrid(est.getParam(p), list(values))
     cv = CrossValidator(estimator=est, estimatorParamMaps=builder.build(),
                         evaluator=RegressionEvaluator(labelCol=LABEL, metricName="r2"),
-                        foldCol="fold", parallelism=parallelism)
+                        numFolds=k, foldCol="fold", parallelism=parallelism)
     return cv.fit(EV.with_folds(train, k))
 
 
-def random_search(est, space: dict, train: DataFrame, n_candidates: int = 5, k: int = 5,
-                  seed: int = 42, parallelism: int = 2):
+def random_search(est, space: dict, train: DataFrame, n_candidates: int = C.SEARCH_CANDIDATES,
+                  k: int = C.SEARCH_FOLDS, seed: int = 42, parallelism: int = 2):
     """M9: ``n_candidates`` parameter maps sampled from the space, refit by R2."""
     rng = random.Random(seed)
     keys = list(space)
@@ -162,34 +209,34 @@ def random_search(est, space: dict, train: DataFrame, n_candidates: int = 5, k:
     maps = [{est.getParam(p): v for p, v in zip(keys, combo)} for combo in picks]
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps,
                         evaluator=RegressionEvaluator(labelCol=LABEL, metricName="r2"),
-                        foldCol="fold", parallelism=parallelism)
-    return cv.fit(EV.with_folds(train, k)), maps
-
-
-def budgeted_search(make: Callable[[dict], object], space: dict, train: DataFrame, max_trials: int = 30,
-                    budget_seconds: float = 1200.0, k: int = 5, seed: int = 42):
-    """Sequential trials (random sampling) with a trial cap and a
-    deadline checked between trials; objective = mean k-fold R2.  Returns
-    (best params, trial rows)."""
-    rng = random.Random(seed)
-    folded = EV.with_folds(train, k).cache()
-    deadline = time.time() + budget_seconds
-    trials = []
-    try:
-        for t in range(max_trials):
-            if time.time() >= deadline:
-                break
-            params = {p: rng.choice(list(v)) for p, v in space.items()}
-            scores = []
-            for f in range(k):
-                m = make(params).fit(folded.where(F.col("fold") != f))
-                scores.append(metrics_row(m.transform(folded.where(F.col("fold") == f)))["r2"])
-            trials.append({"trial": t, **{str(p): v for p, v in params.items()},
-                           "mean_r2": sum(scores) / len(scores)})
-    finally:
-        folded.unpersist()
-    best = max(trials, key=lambda r: r["mean_r2"])
-    return {p: best[p] for p in space}, trials
+                        numFolds=k, foldCol="fold", parallelism=parallelism)
+    return cv.fit(_stored(EV.with_folds(train, k))), maps
+
+
+def tuned_gbt(params: dict, **kw) -> HistGBTRegressor:
+    """A boosted model from a point of ``C.TUNING_SPACE``."""
+    return gbt(max_iter=params["n_estimators"], max_depth=params["max_depth"], step=params["learning_rate"],
+               subsample=params["subsample"], colsample=params["colsample_bytree"], seed=params["random_state"], **kw)
+
+
+def tune_gbt(train: DataFrame, space: dict = C.TUNING_SPACE, max_trials: int = C.TUNING["n_trials"],
+             budget_seconds: float = C.TUNING["timeout"], k: int = C.TUNING["cv_folds"], seed: int = 42,
+             parallelism: int = 4, table: str | None = None):
+    """A study over ``space`` (objective: mean k-fold R2), then a refit of
+    the best point with early stopping on a fifth of the rows.  Returns (model,
+    best parameters, trials, whether the deadline cut the study)."""
+    folded = _stored(EV.with_folds(EV.with_validation_flag(train), k))
+    best, trials, cut = tuning.study(lambda p: cv_mean_r2(lambda: tuned_gbt(p), folded, k, parallelism), space,
+                                     max_trials, budget_seconds, seed, train.sparkSession, table)
+    model = tuned_gbt(best, validationCol="is_validation", patience=C.GBT_PATIENCE).fit(folded)
+    return model, best, trials, cut
+
+
+def ranked(rows: list[dict]) -> list[dict]:
+    """Models by test MAE, with the best by R2 marked."""
+    best = max(rows, key=lambda r: r["r2"])["model"]
+    rows = sorted(rows, key=lambda r: (r["mae"], r["model"]))
+    return [{"mae_rank": i + 1, **r, "best_by_r2": r["model"] == best} for i, r in enumerate(rows)]
 
 
 def fit_full(features: Pipeline, est, train: DataFrame) -> PipelineModel:

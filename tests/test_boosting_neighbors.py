@@ -47,7 +47,7 @@ def brute_boost(x, y, held, est):
     margin, curve = np.full(len(y), base), []
     for t in range(g("maxIter")):
         rng = np.random.default_rng([g("seed"), t])
-        columns = np.sort(rng.permutation(x.shape[1])[:max(1, int(g("colsample") * x.shape[1]))])
+        columns = np.sort(rng.permutation(x.shape[1])[:max(1, int(np.ceil(g("colsample") * x.shape[1])))])
         grad = np.rint((margin - y) * unit)
 
         def grow(rows, depth):

@@ -178,8 +178,8 @@ def test_model_beats_mean_and_roundtrips(spark, tmp_path):
     assert r.r2 > 0.8
     path = str(tmp_path / "gbt")
     m.write().overwrite().save(path)
-    from pyspark.ml.regression import GBTRegressionModel
-    again = GBTRegressionModel.load(path)
+    from marktwert.operators.boosting import HistGBTRegressionModel
+    again = HistGBTRegressionModel.load(path)
     d = m.transform(df).select("prediction").collect()
     e = again.transform(df).select("prediction").collect()
     assert d == e
