@@ -8,7 +8,6 @@ from __future__ import annotations
 import itertools
 import random
 import time
-import uuid
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..session import shared_path
+from ..session import stored
 from . import evaluation as EV
 from . import tuning
 from .boosting import HistGBTRegressor
@@ -98,7 +97,7 @@ def stacking(members: dict[str, Callable[[], object]], train: DataFrame, k: int
     For each fold, members are fit on the other folds and predict the held
     fold; the held-out predictions are unioned into the meta training set.
     Returns (members refit on all rows, meta model, meta feature names)."""
-    folded = _stored(EV.with_folds(train, k))
+    folded = stored(EV.with_folds(train, k), "folds")
     oof = None
     names = [f"pred_{n}" for n in members]
     for f in range(k):
@@ -126,14 +125,6 @@ def stacking_predict(full: dict, meta_model, names: Sequence[str], df: DataFrame
     return meta_model.transform(out)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder: every fold reads files."""
-    spark = df.sparkSession
-    path = shared_path(spark, "models", f"folds-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # ---- M8 k-fold report -----------------------------------------------------------
 
 def cv_report(make: Callable[[], object], train: DataFrame, k: int = C.CV_REPORT_FOLDS, name: str = "model",
@@ -141,7 +132,7 @@ def cv_report(make: Callable[[], object], train: DataFrame, k: int = C.CV_REPORT
     """M8: per fold train and test R2/MAE/MSE and fit/score seconds; returns
     a list of dict rows (k rows, bounded).  With ``parallelism`` folds run side
     by side and their seconds include waiting for each other."""
-    folded = _stored(EV.with_folds(train, k))
+    folded = stored(EV.with_folds(train, k), "folds")
 
     def fold(f: int) -> dict:
         tr = folded.where(F.col("fold") != f)
@@ -210,7 +201,7 @@ def random_search(est, space: dict, train: DataFrame, n_candidates: int = C.SEAR
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps,
                         evaluator=RegressionEvaluator(labelCol=LABEL, metricName="r2"),
                         numFolds=k, foldCol="fold", parallelism=parallelism)
-    return cv.fit(_stored(EV.with_folds(train, k))), maps
+    return cv.fit(stored(EV.with_folds(train, k), "folds")), maps
 
 
 def tuned_gbt(params: dict, **kw) -> HistGBTRegressor:
@@ -225,7 +216,7 @@ def tune_gbt(train: DataFrame, space: dict = C.TUNING_SPACE, max_trials: int = C
     """A study over ``space`` (objective: mean k-fold R2), then a refit of
     the best point with early stopping on a fifth of the rows.  Returns (model,
     best parameters, trials, whether the deadline cut the study)."""
-    folded = _stored(EV.with_folds(EV.with_validation_flag(train), k))
+    folded = stored(EV.with_folds(EV.with_validation_flag(train), k), "folds")
     best, trials, cut = tuning.study(lambda p: cv_mean_r2(lambda: tuned_gbt(p), folded, k, parallelism), space,
                                      max_trials, budget_seconds, seed, train.sparkSession, table)
     model = tuned_gbt(best, validationCol="is_validation", patience=C.GBT_PATIENCE).fit(folded)

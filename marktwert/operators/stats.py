@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 
 
 # ---- distributed exclusive prefix sums ------------------------------------------
@@ -78,7 +78,7 @@ _NUMERIC = ("integer", "long", "double", "float", "short", "decimal", "byte")
 def average_rank(df: DataFrame, c: str, cuts: Sequence[float] | None = None) -> DataFrame:
     """Distinct values of ``c`` with their average (tie) rank, 1-based."""
     counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-    pre = ordered_prefix(counts, c, ["_n"], cuts=cuts)
+    pre = ordered_prefix(stored(counts, "counts"), c, ["_n"], cuts=cuts)
     return pre.select(c, (F.col("cum__n") + (F.col("_n") + 1) / 2.0).alias(f"rank_{c}"))
 
 
@@ -102,26 +102,29 @@ def exact_quantiles(df: DataFrame, probs: dict[str, Sequence[float]]) -> dict[st
     """Exact quantiles (linear interpolation) of several numeric columns;
     None for a column without values.
 
-    Per column: value counts, running counts by ``ordered_prefix``, and only
-    the values at the wanted positions (two per level) reach the driver.
+    The (column, value) counts of all columns are stored once; running counts
+    come from ``ordered_prefix``, and only the values at the wanted positions
+    (two per level) reach the driver.
     """
+    columns = list(probs)
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v"))
+                                for i, c in enumerate(columns)]))
+    counts = stored(df.select(pairs.alias("p")).select("p.*").where("_v is not null").groupBy("_c", "_v")
+                    .agg(F.count(F.lit(1)).alias("_n")), "counts")
+    totals = {r["_c"]: r["n"] for r in counts.groupBy("_c").agg(F.sum("_n").alias("n")).collect()}  # a row a column
+    at = {i: [(totals[i] - 1) * p for p in probs[columns[i]]] for i in totals}
+    wanted = {i: sorted({x for h in hs for x in (math.floor(h), math.ceil(h))}) for i, hs in at.items()}
+    found: dict[tuple[int, int], float] = {}
+    if wanted:
+        places = F.create_map(*[x for i, w in wanted.items() for x in (
+            F.lit(i), F.array(*[F.lit(v).cast("long") for v in w]))])
+        pos = ordered_prefix(counts, "_v", ["_n"], groups=["_c"])
+        inside = F.filter(places[F.col("_c")], lambda i: (i >= F.col("cum__n")) & (i < F.col("cum__n") + F.col("_n")))
+        found = {(r["_c"], r["i"]): r["_v"] for r in pos.select("_c", "_v", F.explode(inside).alias("i")).collect()}
     out: dict[str, list[float] | None] = {}
-    cuts = shared_cuts(df, list(probs))
-    for c, levels in probs.items():
-        counts = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("_v"))
-                    .agg(F.count(F.lit(1)).alias("_n")))
-        total = counts.agg(F.sum("_n")).first()[0]
-        if not total:
-            out[c] = None
-            continue
-        at = [(total - 1) * p for p in levels]
-        wanted = sorted({i for h in at for i in (math.floor(h), math.ceil(h))})
-        places = F.array(*[F.lit(i).cast("long") for i in wanted])
-        pos = ordered_prefix(counts, "_v", ["_n"], cuts=cuts.get(c))
-        inside = F.filter(places, lambda i: (i >= F.col("cum__n")) & (i < F.col("cum__n") + F.col("_n")))
-        value = {r["i"]: r["_v"] for r in pos.select("_v", F.explode(inside).alias("i")).collect()}
-        out[c] = [value[math.floor(h)] * (1 - (h - math.floor(h))) + value[math.ceil(h)] * (h - math.floor(h))
-                  for h in at]
+    for i, c in enumerate(columns):
+        out[c] = [found[i, math.floor(h)] * (1 - (h - math.floor(h))) + found[i, math.ceil(h)] * (h - math.floor(h))
+                  for h in at[i]] if i in totals else None
     return out
 
 
@@ -151,7 +154,7 @@ def box_stats(df: DataFrame, value: str, group: str | Sequence[str], factor: flo
     """Quartiles, whiskers (most extreme values inside q +- factor*IQR) and
     outlier count per group, all from the (group, value) counts."""
     groups = [group] if isinstance(group, str) else list(group)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stored(df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
     q = group_quantiles(counts, value, groups, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     q = q.withColumn("_lo", F.col("q1") - factor * (F.col("q3") - F.col("q1"))) \
          .withColumn("_hi", F.col("q3") + factor * (F.col("q3") - F.col("q1")))
@@ -226,7 +229,7 @@ def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     null in either column is ranked on the rows complete for that pair.
     """
     cols = list(columns)
-    tuples = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w"))
+    tuples = stored(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w")), "tuples")
     nulls = tuples.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     full = [c for c in cols if not nulls[c]]
     cuts = shared_cuts(df, cols)
@@ -310,7 +313,7 @@ def _kendall_tau(row: DataFrame, x: str, y: str) -> DataFrame:
 
 def _dense_rank(data: DataFrame, c: str, name: str) -> DataFrame:
     """Distinct values of ``c`` with their 0-based dense rank ``name``."""
-    vals = data.select(c).distinct().withColumn("_one", F.lit(1).cast("long"))
+    vals = stored(data.select(c).distinct().withColumn("_one", F.lit(1).cast("long")), "values")
     return ordered_prefix(vals, c, ["_one"]).select(c, F.col("cum__one").alias(name))
 
 
@@ -329,13 +332,18 @@ def _kendall_pairs_by_digits(data: DataFrame, x: str, y: str,
     sums (one row per group), never by a window over a whole group.  Sums
     are exact decimals.
     """
-    cells = data.groupBy(x, y).agg(F.count(F.lit(1)).alias("_n"))
+    cells = stored(data.groupBy(x, y).agg(F.count(F.lit(1)).alias("_n")), "cells")
     rx, ry = _dense_rank(cells, x, "_dx"), _dense_rank(cells, y, "_ry")
     n_x, n_y = rx.count(), ry.count()
     m = 1
     while base ** m < n_x:
         m += 1
-    ranked = cells.join(rx, x).join(ry, y).select("_dx", "_ry", "_n")
+    ranked = stored(cells.join(rx, x).join(ry, y).select("_dx", "_ry", "_n"), "ranked")
+    ranges = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def even(size: int) -> list[float]:
+        """Cuts of a dense key 0..size-1 into equal ranges."""
+        return sorted({float(size * i // ranges) for i in range(1, ranges)})
     names = [f"_c{i}" for i in range(base)]
     dec = "decimal(38,0)"
     parts = []
@@ -347,7 +355,8 @@ def _kendall_pairs_by_digits(data: DataFrame, x: str, y: str,
                      .na.fill(0))
         lvl = lvl.toDF("_g", "_ry", *names).withColumn(
             "_key", F.col("_g") * F.lit(n_y) + F.col("_ry"))
-        pre = ordered_prefix(lvl, "_key", names)
+        groups = -(-n_x // (s * base))
+        pre = ordered_prefix(lvl, "_key", names, cuts=even(groups * n_y))
         c = [F.col(nm).cast(dec) for nm in names]
         b = [F.col(f"cum_{nm}").cast(dec) for nm in names]
         # rows: the same sums as the single-level path, with running counts
@@ -363,7 +372,7 @@ def _kendall_pairs_by_digits(data: DataFrame, x: str, y: str,
                        F.sum(row_ny * run).alias("nytb"))
         # groups: off_i(g) = points of earlier groups at digit i
         tot = lvl.groupBy("_g").agg(*[F.sum(nm).alias(nm) for nm in names])
-        gp = ordered_prefix(tot, "_g", names)
+        gp = ordered_prefix(tot, "_g", names, cuts=even(groups))
         t = [F.col(nm).cast(dec) for nm in names]
         off = [F.col(f"cum_{nm}").cast(dec) for nm in names]
         obelow, orun = [], F.lit(0).cast(dec)
@@ -432,41 +441,98 @@ def ols_trend(df: DataFrame, x: str, y: str, group: str) -> DataFrame:
 
 # ---- A26 LOWESS trend ----------------------------------------------------------
 
+BUCKETS = 1024
+
+
 def lowess_trend(df: DataFrame, x: str, y: str, group: str, frac: float = 2 / 3,
-                 grid: int = 50) -> DataFrame:
-    """Local linear (non-robust) LOWESS per group on ``grid`` evenly spaced
-    points over the group's x range.
+                 grid: int = 50, robust_rounds: int = 0) -> DataFrame:
+    """Local linear LOWESS per group on ``grid`` evenly spaced points over the
+    group's x range.
 
     At each grid point x0 the bandwidth is the distance to the
     ``ceil(frac * n)``-th nearest observation (counting repeats); weights are
-    tricube(d / h).  Observations are pre-aggregated to (group, x) with count
-    and sum of y, so each grid point pairs with the *distinct* x values of its
-    group only (grid x distinct values, never observation pairs).
+    tricube(d / h).  Observations are pre-aggregated, so each grid point pairs
+    with the *distinct* x values of its group only (grid x distinct values,
+    never observation pairs), in partial sums.
+
+    Each of ``robust_rounds`` rounds interpolates the fit between the grid
+    points, takes the residuals of all observations, and weighs them by the
+    bisquare of the residual over six times the group's median absolute
+    residual (prefix sums, no group in one task) for the next fit.  A median of
+    zero leaves the weights as they are; an observation beside a grid point
+    that has lost all its weight keeps weight 1.
     """
-    data = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(group).isNotNull())
-              .select(group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")))
-    pts = data.groupBy(group, "_x").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_sy"))
-    rng = data.groupBy(group).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
-                                  F.count(F.lit(1)).alias("_total"))
+    cells = stored(df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(group).isNotNull())
+                   .groupBy(F.col(group), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+                   .agg(F.count(F.lit(1)).alias("_n")), "lowess")
+    rng = cells.groupBy(group).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("_total"))
     steps = max(grid - 1, 1)
     g = (rng.select(group, "_total", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"),
                     "_lo", "_hi")
             .withColumn("x0", F.col("_lo") + F.col("point") * (F.col("_hi") - F.col("_lo")) / steps)
             .withColumn("_k", F.ceil(F.col("_total") * F.lit(frac))))
-    j = g.join(pts, group).withColumn("_d", F.abs(F.col("_x") - F.col("x0")))
-    w = Window.partitionBy(group, "point").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
-    h = (j.withColumn("_cum", F.sum("_n").over(w)).where(F.col("_cum") >= F.col("_k"))
-          .groupBy(group, "point").agg(F.min("_d").alias("_h")))
-    jj = j.join(h, [group, "point"])
-    u = F.when(F.col("_h") > 0, F.col("_d") / F.col("_h")).otherwise(F.when(F.col("_d") == 0, 0.0).otherwise(1.0))
-    wt = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
+    points = stored(_with_bandwidth(cells, g, group), "lowess-grid")  # groups x grid rows
+    fits = _local_fits(cells.withColumn("_r", F.lit(1.0)), points, group)
+    for _ in range(robust_rounds):
+        fits = _local_fits(_bisquare(cells, stored(fits, "lowess-fit"), group, steps), points, group)
+    return fits.select(group, "point", F.round("x0", 6).alias("x"), F.round("fit", 6).alias("fitted"))
+
+
+def _with_bandwidth(cells: DataFrame, g: DataFrame, group: str) -> DataFrame:
+    """Grid points with ``_h``: distances fall into ``BUCKETS`` ranges, the
+    counts of the ranges tell which one holds the k-th observation, and only its
+    distances are put in order."""
+    pts = cells.groupBy(group, "_x").agg(F.sum("_n").alias("_n"))
+    d = g.join(pts, group).withColumn("_d", F.abs(F.col("_x") - F.col("x0")))
+    far = F.col("_hi") - F.col("_lo")
+    d = d.withColumn("_b", F.when(far > 0, F.floor(F.col("_d") / far * BUCKETS)).otherwise(0))
+    key = [group, "point"]
+    upto = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (d.groupBy(*key, "_b", "_k").agg(F.sum("_n").alias("_m"))
+              .withColumn("_before", F.coalesce(F.sum("_m").over(upto), F.lit(0)))
+              .where((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_m") >= F.col("_k")))
+              .select(*key, "_b", "_before"))
+    near = Window.partitionBy(*key).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+    h = (d.join(ranges, [*key, "_b"]).withColumn("_cum", F.col("_before") + F.sum("_n").over(near))
+         .where(F.col("_cum") >= F.col("_k")).groupBy(*key).agg(F.min("_d").alias("_h")))
+    return g.join(h, key)
+
+
+def _local_fits(weighted: DataFrame, points: DataFrame, group: str) -> DataFrame:
+    """``points`` with ``fit``, from cells with robustness weight ``_r``."""
+    w = F.col("_n") * F.col("_r")
+    pts = weighted.groupBy(group, "_x").agg(F.sum(w).alias("_w"), F.sum(w * F.col("_y")).alias("_wy"))
     dx = F.col("_x") - F.col("x0")
-    sums = jj.groupBy(group, "point").agg(
-        F.first("x0").alias("x"), F.sum(wt * F.col("_n")).alias("s0"), F.sum(wt * F.col("_n") * dx).alias("s1"),
-        F.sum(wt * F.col("_n") * dx * dx).alias("s2"), F.sum(wt * F.col("_sy")).alias("t0"),
-        F.sum(wt * F.col("_sy") * dx).alias("t1"))
+    d = F.abs(dx)
+    u = F.when(F.col("_h") > 0, d / F.col("_h")).otherwise(F.when(d == 0, 0.0).otherwise(1.0))
+    wt = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
+    sums = points.join(pts, group).groupBy(*points.columns).agg(
+        F.sum(wt * F.col("_w")).alias("s0"), F.sum(wt * F.col("_w") * dx).alias("s1"),
+        F.sum(wt * F.col("_w") * dx * dx).alias("s2"), F.sum(wt * F.col("_wy")).alias("t0"),
+        F.sum(wt * F.col("_wy") * dx).alias("t1"))
     den = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
     slope = F.when(F.abs(den) > 1e-12, (F.col("s0") * F.col("t1") - F.col("s1") * F.col("t0")) / den) \
              .otherwise(F.lit(0.0))
-    fit = (F.col("t0") - slope * F.col("s1")) / F.col("s0")
-    return sums.select(group, "point", F.round("x", 6).alias("x"), F.round(fit, 6).alias("fitted"))
+    fit = F.when(F.col("s0") > 0, (F.col("t0") - slope * F.col("s1")) / F.col("s0"))
+    return sums.withColumn("fit", fit).select(*points.columns, "fit")
+
+
+def _bisquare(cells: DataFrame, fits: DataFrame, group: str, steps: int) -> DataFrame:
+    """Cells with ``_r`` from their residuals to the interpolated fit."""
+    left = fits.select(group, F.col("point").alias("_p"), F.col("x0").alias("_x0"), F.col("fit").alias("_f0"), "_lo", "_hi")
+    right = fits.select(F.col(group).alias("_g"), (F.col("point") - 1).alias("_q"), F.col("x0").alias("_x1"),
+                        F.col("fit").alias("_f1"))
+    spans = left.join(right, (F.col(group) == F.col("_g")) & (F.col("_p") == F.col("_q")), "left").drop("_g", "_q")
+    ends = fits.groupBy(group).agg(F.first("_lo").alias("_a"), F.first("_hi").alias("_b"))
+    far = F.col("_b") - F.col("_a")
+    place = F.when(far > 0, F.least(F.floor((F.col("_x") - F.col("_a")) / far * steps), F.lit(steps))).otherwise(0)
+    at = cells.join(ends, group).withColumn("_p", place.cast("int")).drop("_a", "_b").join(spans, [group, "_p"])
+    share = F.when(F.col("_x1") > F.col("_x0"), (F.col("_x") - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))).otherwise(0.0)
+    fit = F.when(F.col("_x1").isNull() | (share <= 0), F.col("_f0")).otherwise(
+        F.col("_f0") + share * (F.col("_f1") - F.col("_f0")))
+    rows = stored(at.select(group, "_x", "_y", "_n", F.abs(F.col("_y") - fit).alias("_e")), "lowess-residuals")
+    sizes = stored(rows.where(F.col("_e").isNotNull()).groupBy(group, "_e").agg(F.sum("_n").alias("_n")), "lowess-sizes")
+    median = group_quantiles(sizes, "_e", [group], {"_s": 0.5}).select(group, "_s")
+    u = F.col("_e") / (6 * F.col("_s"))
+    r = F.when(F.col("_s") > 0, F.when(u < 1, F.pow(1 - u * u, 2)).otherwise(0.0)).otherwise(1.0)
+    return rows.join(median, group, "left").select(group, "_x", "_y", "_n", F.coalesce(r, F.lit(1.0)).alias("_r"))

@@ -196,3 +196,9 @@ def q_lowess_trend(spark, sf):
     """Price vs kilometer per fuel type (also tested against a NumPy
     reference)."""
     return stats.lowess_trend(market_df(spark, sf), "kilometer", "price", "fuelType")
+
+
+@register("lowess_robust")
+def q_lowess_robust(spark, sf):
+    """A26 with three robust rounds (tested against a NumPy loop)."""
+    return stats.lowess_trend(market_df(spark, sf), "kilometer", "price", "fuelType", robust_rounds=3)

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings of the local sessions that ``get_session`` builds.
 DEFAULT_CONF = {
@@ -80,6 +81,15 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, spark.sparkContext.applicationId, *parts])
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a fresh folder of the shared directory and read
+    back: plans that use it more than once read files, as does a lost executor."""
+    spark = df.sparkSession
+    path = shared_path(spark, "stored", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Remove a written intermediate of this application, in whatever store it is."""
     base = shared_path(spark)
