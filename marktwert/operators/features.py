@@ -15,10 +15,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import (PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
                                 VectorSlicer)
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import encode as E
+from ..session import stored
 from .boosting import source_importances
 from .stats import exact_quantiles
 
@@ -480,24 +483,139 @@ def feature_pipeline(numeric: Sequence[str] = tuple(C.NUMERICAL_FEATURES),
 
 # ---- F9 PCA keeping a share of variance -----------------------------------------
 
+WIDE = 1000
+
+
+def _products(basis: np.ndarray | None, d: int):
+    """Per task: sums of the rows and of their squares, or (given a basis) the
+    product of the rows with their projections on it."""
+    def run(batches):
+        first, second = np.zeros(d), np.zeros((d, 1 if basis is None else basis.shape[1]))
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            first += x.sum(axis=0)
+            second += (x * x).sum(axis=0)[:, None] if basis is None else x.T @ (x @ basis)
+            n += len(x)
+        rows = pa.array(np.arange(d, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [rows, pa.array(np.full(d, n)), pa.array(first), pa.array(second.tolist(), pa.list_(pa.float64()))],
+            ["slot", "n", "first", "second"])
+    return run
+
+
+def _summed(x: DataFrame, basis: np.ndarray | None, d: int, width: int):
+    """Products summed over all tasks, a row per slot."""
+    parts = x.mapInArrow(_products(basis, d), "slot int, n long, first double, second array<double>")
+    rows = parts.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("first").alias("first"), *[
+        F.sum(F.col("second")[i]).alias(f"s{i}") for i in range(width)]).orderBy("slot").collect()  # d rows
+    return rows[0]["n"], np.array([r["first"] for r in rows]), np.array([[r[f"s{i}"] for i in range(width)] for r in rows])
+
+
+def leading_components(df: DataFrame, input_col: str, share: float, seed: int = 42, start: int = 32,
+                       tolerance: float = 1e-9, most_rounds: int = 60):
+    """Mean, variances, loadings (slots x k) and total variance of the first k
+    principal components that hold ``share`` of the total, by a randomised range
+    finder: a seeded test matrix of ``start`` columns goes through the
+    covariance as task-wise products (two narrow matrices, never slots x slots),
+    is orthogonalised, and so on until the variances on its span stand still;
+    while they hold less than the share the span is doubled.
+
+    Raises if they do not settle in ``most_rounds`` rounds at one width."""
+    x = stored(df.select(vector_to_array(input_col).alias("x")).where("x is not null"), "wide-rows")
+    d = len(x.first()["x"])
+    n, first, squares = _summed(x, None, d, 1)
+    if n < 2:
+        raise ValueError("fewer than two rows")
+    mean = first / n
+    total = float((squares[:, 0] - n * mean * mean).sum() / (n - 1))
+    width = min(start, d)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
+    while True:
+        before = np.zeros(width)
+        for _ in range(most_rounds):
+            _, _, product = _summed(x, basis, d, width)
+            product = (product - n * np.outer(mean, mean @ basis)) / (n - 1)
+            small = basis.T @ product
+            values, turns = np.linalg.eigh((small + small.T) / 2)
+            values, turns = np.maximum(values[::-1], 0), turns[:, ::-1]
+            held = np.cumsum(values) >= share * total * (1 - 1e-12)
+            k = int(np.argmax(held)) + 1 if held.any() else width
+            # a span that is too narrow need not settle
+            done = width == d or np.abs(values[:k] - before[:k]).max() <= tolerance * max(values[0], 1e-300)
+            if done and held.any():
+                return mean, values[:k], basis @ turns[:, :k], total
+            if not held.any() and (done or np.abs(values - before).max() <= 1e-3 * max(values[0], 1e-300)):
+                break
+            before, basis = values, np.linalg.qr(product)[0]
+        else:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        if width == d:
+            return mean, values, basis @ turns, total  # rounding alone keeps them below the share
+        wider = min(2 * width, d)
+        more = np.random.default_rng([seed, wider]).normal(size=(d, wider - width))
+        basis, width = np.linalg.qr(np.hstack([product, more]))[0], wider
+
+
+class ProjectionModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """Centred vectors projected on fitted loadings."""
+
+    inputCol = Param(Params._dummy(), "inputCol", "vector column", typeConverter=TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "kept components", typeConverter=TypeConverters.toString)
+    state = _StateParams.state
+
+    @keyword_only
+    def __init__(self, inputCol: str = "assembled", outputCol: str = "features"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        fitted = json.loads(self.getOrDefault(self.state))
+        shared = df.sparkSession.sparkContext.broadcast((np.array(fitted["mean"]), np.array(fitted["loadings"])))
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def project(x: pd.Series) -> pd.Series:
+            mean, loadings = shared.value
+            if not len(x):
+                return pd.Series([], dtype=object)
+            return pd.Series(list((np.stack(x.to_numpy()) - mean) @ loadings))
+        out = project(vector_to_array(self.getOrDefault(self.inputCol)))
+        return df.withColumn(self.getOrDefault(self.outputCol), array_to_vector(out))
+
+
 class SharePCA(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Centre, fit all components once, keep the first k whose cumulative
     explained variance reaches ``share`` (a slice of the one fit).  The fitted
-    model is a persistable ``PipelineModel``."""
+    model is a persistable ``PipelineModel``.
+
+    Over ``wide`` slots the components come from ``leading_components``, which
+    holds nothing of size slots x slots on the driver, and the model ends in a
+    ``ProjectionModel``."""
 
     inputCol = Param(Params._dummy(), "inputCol", "vector column", typeConverter=TypeConverters.toString)
     outputCol = Param(Params._dummy(), "outputCol", "kept components", typeConverter=TypeConverters.toString)
     share = Param(Params._dummy(), "share", "variance share to keep", typeConverter=TypeConverters.toFloat)
+    wide = Param(Params._dummy(), "wide", "slots beyond which only leading components are fitted",
+                 typeConverter=TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, inputCol: str = "assembled", outputCol: str = "features", share: float = C.PCA_VARIANCE):
+    def __init__(self, inputCol: str = "assembled", outputCol: str = "features", share: float = C.PCA_VARIANCE,
+                 wide: int = WIDE):
         super().__init__()
-        self._setDefault(inputCol="assembled", outputCol="features", share=C.PCA_VARIANCE)
+        self._setDefault(inputCol="assembled", outputCol="features", share=C.PCA_VARIANCE, wide=WIDE)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> PipelineModel:
         src, dst = self.getOrDefault(self.inputCol), self.getOrDefault(self.outputCol)
         d = len(df.select(src).first()[0])
+        if d > self.getOrDefault(self.wide):
+            mean, variances, loadings, _ = leading_components(df, src, self.getOrDefault(self.share))
+            model = ProjectionModel(inputCol=src, outputCol=dst)
+            model._set(state=json.dumps({"mean": mean.tolist(), "variances": variances.tolist(),
+                                         "loadings": loadings.tolist()}))
+            return PipelineModel(stages=[model])
         centre = StandardScaler(inputCol=src, outputCol=f"{dst}_centred", withMean=True, withStd=False).fit(df)
         full = PCA(k=d, inputCol=f"{dst}_centred", outputCol=f"{dst}_all").fit(centre.transform(df))
         cumulative = np.cumsum(full.explainedVariance.toArray())
