@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,6 +86,15 @@ class OutlierClipperModel(Model, _StateParams, DefaultParamsReadable, DefaultPar
                 out = out.withColumn(c, E.null_safe_clip(c, lo, hi))
         return out
 
+    def transform_counted(self, df: DataFrame) -> tuple[DataFrame, Observation]:
+        """A23 while transforming: the clipped frame and an observation of the
+        values outside the bounds per column, filled by the first action on the
+        frame (no second scan)."""
+        seen = Observation()
+        outside = [F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(c) for c, (lo, hi) in self.bounds.items()
+                   if c in df.columns]
+        return self._transform(df.observe(seen, *outside) if outside else df), seen
+
     def outlier_counts(self, df: DataFrame) -> DataFrame:
         """A23 for the fitted bounds: rows outside per column, one pass."""
         b = self.bounds

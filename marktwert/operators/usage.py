@@ -192,3 +192,17 @@ def usage_records(requests: DataFrame) -> DataFrame:
         (F.col("elapsed_s") * 1000).alias("response_time_ms"),
         F.col("predicted_price").cast("decimal(12,2)").alias("predicted_price"),
         F.coalesce(F.col("is_cached"), F.lit(False)).alias("is_cached"))
+
+
+def append_log(batch: DataFrame, path: str, batch_id: str | int) -> None:
+    """Append one batch of usage rows to the log in ``path``.
+
+    A batch owns a folder named by its id and overwrites it, and Spark commits
+    a folder only when all its tasks have ended: a batch that is replayed after
+    a failure, or a task that ran twice, adds no row twice."""
+    batch.write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
+
+
+def read_log(spark, path: str) -> DataFrame:
+    """All appended batches of the log."""
+    return spark.read.parquet(path).drop("_batch")

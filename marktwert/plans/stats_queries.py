@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from .. import config as C
 from ..functions import encode as E
-from ..operators import clean, stats
+from ..operators import clean, features, stats
+from ..session import shared_path
 from .common import listings, market as market_df
 from .oracle import with_listings, with_market
 from .registry import register
@@ -162,6 +167,18 @@ def q_outlier_counts(spark, sf):
     return stats.outlier_counts(market_df(spark, sf), OUTLIER_COLS)
 
 
+@register("clip_counts", with_market("\nUNION ALL\n".join(_outlier_sql(c) for c in OUTLIER_COLS)))
+def q_clip_counts(spark, sf):
+    """A23 in the pass that clips and stores the rows."""
+    df = market_df(spark, sf)
+    model = features.OutlierClipper(inputCols=list(OUTLIER_COLS)).fit(df)
+    clipped, seen = model.transform_counted(df)
+    clipped.write.parquet(shared_path(spark, "out", f"clipped-{uuid.uuid4().hex}"))
+    rows = [(c, float(lo), float(hi), int(seen.get[c])) for c, (lo, hi) in model.bounds.items()]
+    out = spark.createDataFrame(rows, "feature string, lower double, upper double, outliers long")
+    return out.select("feature", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), "outliers")
+
+
 @register("ols_trend", with_market("""
 SELECT vehicleType, count(*) AS n, round(regr_slope(price, powerPS), 6) AS slope,
        round(regr_intercept(price, powerPS), 6) AS intercept, round(regr_r2(price, powerPS), 6) AS r2

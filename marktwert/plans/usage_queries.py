@@ -7,6 +7,7 @@ static table, plan 4 from neither (falls back to the default plan).
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 from pyspark.sql import functions as F
@@ -150,8 +151,13 @@ SELECT user_id, CAST(ts AS TIMESTAMP) AS request_timestamp, 'POST /predict' AS e
        event_type = 'click' AS is_cached
 FROM events WHERE event_type <> 'view' AND user_id IS NOT NULL""")
 def q_usage_append(spark, sf):
-    out = U.usage_records(handled_requests(spark, sf))
-    return out.withColumn("predicted_price", F.col("predicted_price").cast("double"))
+    """Two batches (even and odd days) appended to a log, the second one
+    twice as after a failure, and read back."""
+    rows = U.usage_records(handled_requests(spark, sf))
+    path = shared_path(spark, "usage-log", uuid.uuid4().hex)
+    for batch_id in (0, 1, 1):
+        U.append_log(rows.where(F.dayofmonth("request_timestamp") % 2 == batch_id), path, batch_id)
+    return U.read_log(spark, path).withColumn("predicted_price", F.col("predicted_price").cast("double"))
 
 
 # ---- prediction cache (SC5, SC6) ------------------------------------------------
