@@ -43,6 +43,32 @@ def usage_stream(events: DataFrame) -> DataFrame:
         F.col("value").alias("response_time_ms"))
 
 
+#: User of heartbeat rows; their windows are left out when the sink is read.
+HEARTBEAT_USER = -1
+
+
+def heartbeat(spark: SparkSession, path: str, at: str) -> None:
+    """Add a heartbeat (a request of no real user at time ``at``) to the
+    heartbeat files in ``path``."""
+    row = spark.range(1).select(
+        F.lit(-1).cast("long").alias("event_id"), F.to_timestamp_ntz(F.lit(at)).alias("ts"),
+        F.lit(HEARTBEAT_USER).cast("long").alias("user_id"), F.lit("click").alias("event_type"),
+        F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+    row.write.mode("append").parquet(path)
+
+
+def with_heartbeats(events: DataFrame, path: str) -> DataFrame:
+    """The stream with heartbeats: in quiet times they alone push the watermark
+    past the last request, so its window closes.  ``path`` must hold files (a
+    first heartbeat at the epoch closes nothing)."""
+    beats = events.sparkSession.readStream.schema(EVENTS_SCHEMA).parquet(path)
+    return events.unionByName(beats)
+
+
+def without_heartbeats(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("user_id") != HEARTBEAT_USER)
+
+
 def minute_windows_stream(usage: DataFrame, watermark: str = "1 minute") -> DataFrame:
     """U4: per-user fixed one-minute windows; a window is emitted once the
     watermark passes its end (append mode)."""

@@ -73,3 +73,10 @@ def test_replayed_batch_replaces_its_rows(spark, tmp_path):
     for batch, rows in ((0, [(1, 5)]), (1, [(1, 6), (2, 1)]), (1, [(1, 6), (2, 1)])):
         spark.createDataFrame(rows, "user_id long, requests long").write.mode("overwrite").parquet(f"{path}/_batch={batch}")
     assert sorted((r.user_id, r.requests) for r in US.latest_rows(spark, path, ["user_id"]).collect()) == [(1, 6), (2, 1)]
+
+
+def test_heartbeat_closes_the_last_windows(spark):
+    q = entry.queries()
+    s = {(r.user_id, r.window_start): r.requests for r in q["minute_windows_all"](spark, SMALL_SF).collect()}
+    b = {(r.user_id, r.window_start): r.requests for r in q["minute_windows"](spark, SMALL_SF).collect()}
+    assert s and s == b
