@@ -227,3 +227,26 @@ HAVING 3600.0 - CAST(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(request_timest
 def q_cache_live(spark, sf):
     from ..operators import scoring
     return scoring.cache_live(replayed(spark, sf), "request_key", "request_timestamp", AS_OF)
+
+
+def cache_purges(spark, sf):
+    """Deletions of the cache: every 500th view of the log stands for one."""
+    from ..sources.tables import read_table
+    ev = read_table(spark, sf, "events")
+    return ev.where((F.col("event_type") == "view") & (F.col("event_id") % 500 == 0)).select(
+        F.col("ts").cast("timestamp").alias("purged_at"))
+
+
+PURGED_REPLAY_SQL = _REPLAY_SQL.replace("'}') AS request_key", """'}') || '#' || CAST((
+             SELECT count(*) FROM events x WHERE x.event_type = 'view' AND x.event_id % 500 = 0
+             AND CAST(x.ts AS TIMESTAMP) <= CAST(events.ts AS TIMESTAMP)) AS VARCHAR) AS request_key""")
+
+
+@register("cache_purge", PURGED_REPLAY_SQL + """
+SELECT id, split_part(request_key, '#', 1) AS request_key, request_timestamp, succeeded, cache_hit, computed FROM r""")
+def q_cache_purge(spark, sf):
+    """SC6: the replay of the log with deletions of the whole cache."""
+    from ..operators import scoring
+    keyed = scoring.with_generation(cache_requests(spark, sf), "request_key", "request_timestamp", cache_purges(spark, sf))
+    out = scoring.cache_replay(keyed, "request_key", "request_timestamp", "id", success="succeeded")
+    return scoring.without_generation(out, "request_key")

@@ -80,3 +80,19 @@ def test_heartbeat_closes_the_last_windows(spark):
     s = {(r.user_id, r.window_start): r.requests for r in q["minute_windows_all"](spark, SMALL_SF).collect()}
     b = {(r.user_id, r.window_start): r.requests for r in q["minute_windows"](spark, SMALL_SF).collect()}
     assert s and s == b
+
+
+def test_listing_after_a_purge_is_empty_until_the_next_computation(spark):
+    import datetime as dt
+    from marktwert.operators import scoring
+    t0 = dt.datetime(2024, 1, 1, 12)
+    rows = [(1, "a", t0, True), (2, "b", t0, True), (3, "a", t0 + dt.timedelta(minutes=20), True)]
+    reqs = spark.createDataFrame(rows, "id long, k string, t timestamp, ok boolean")
+    purges = spark.createDataFrame([(t0 + dt.timedelta(minutes=10),)], "purged_at timestamp")
+    out = scoring.cache_replay(scoring.with_generation(reqs, "k", "t", purges), "k", "t", "id", success="ok")
+    assert {r.id: r.cache_hit for r in out.collect()} == {1: False, 2: False, 3: False}
+
+    def live(minute, commands):
+        as_of = str(t0 + dt.timedelta(minutes=minute))
+        return sorted(r.k for r in scoring.cache_live_after(out, "k", "t", as_of, commands).collect())
+    assert live(5, purges) == ["a", "b"] and live(15, purges) == [] and live(25, purges) == ["a"]
