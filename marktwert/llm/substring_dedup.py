@@ -258,8 +258,9 @@ def repeated_units(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     repeats a unit of an earlier place."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    found = rows.mapInArrow(partial(_units, min_words=min_words),
-                            f"id {id_type}, h long, start int, end int, digest binary")
+    # stored, so that the texts are cut into units once
+    found = C.store(spark, rows.mapInArrow(partial(_units, min_words=min_words),
+                                           f"id {id_type}, h long, start int, end int, digest binary"), "units")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "h", "start", "end")
     # stored, so that the join below reads two shuffles, of which a hot digest's partition can be split
     first = C.store(spark, found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first"))
