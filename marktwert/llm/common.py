@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktwert.session import shared_path
+from marktwert.session import remove_path, shared_path
 
 SLICE_BYTES = 500_000
 PIECE_ROWS = 1000
@@ -29,10 +31,32 @@ _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _JOIN = np.uint64(0xD1342543DE82EF95)
 
 
+_folder: ContextVar[str] = ContextVar("folder", default="llm")
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """Tables stored inside the block lie in one folder, which goes at its end:
+    store what is needed later outside, with :func:`store_at`."""
+    folder = f"{_folder.get()}/{name}-{uuid.uuid4().hex}"
+    before = _folder.set(folder)
+    try:
+        yield
+    finally:
+        _folder.reset(before)
+        remove_path(spark, shared_path(spark, folder))
+
+
+def store_at(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to a new folder and read it back."""
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def store(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write ``df`` to a fresh folder of the shared checkpoint
     directory and read it back, so a lost executor re-reads files."""
-    path = shared_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
+    path = shared_path(spark, _folder.get(), f"{name}-{uuid.uuid4().hex}")
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
