@@ -260,12 +260,12 @@ def repeated_units(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     id_type = docs.schema[id_col].dataType.simpleString()
     # stored, so that the texts are cut into units once
     found = C.store(spark, rows.mapInArrow(partial(_units, min_words=min_words),
-                                           f"id {id_type}, h long, start int, end int, digest binary"), "units")
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "h", "start", "end")
+                                           f"id {id_type}, h long, start int, end int, digest binary"), "units", compression="zstd")
+    # units of one digest and start differ in blanks at the end alone: one occurrence
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "h", "start")
     # stored, so that the join below reads two shuffles, of which a hot digest's partition can be split
     first = C.store(spark, found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first"))
                     .where("n > 1").select("digest", "first"), "firsts")
-    # a longer unit may start at the same offset: it is another digest
     again = _maybe(found, first).join(first, "digest").where(place != F.col("first"))
     return (again.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 

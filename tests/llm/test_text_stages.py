@@ -26,10 +26,8 @@ def brute_dedup(rows):
     firsts, places = {}, defaultdict(list)
     for key, text in sorted({(r[0] is None, r[0] or 0, r[1] or ""): r[1] for r in rows}.items()):
         for a, b, unit in substring_dedup.units(text or ""):
-            if unit in firsts:
+            if firsts.setdefault(unit, (key, a)) != (key, a):
                 places[key].append((a, b))
-            else:
-                firsts[unit] = key
     return [substring_dedup.cut(r[1], places[(r[0] is None, r[0] or 0, r[1] or "")])[0] if r[1] else r[1] for r in rows]
 
 
@@ -68,6 +66,26 @@ def test_passage_inside_other_lines_is_cut_and_offsets_hold(spark, make_docs):
         assert kept + text[at:] == out[i]["text"]
 
 
+def test_blanks_at_a_line_end_make_no_second_occurrence(spark, make_docs):
+    """A line with blanks at its end and the chunk without them are one place."""
+    words = " ".join(f"word{i}" for i in range(12))
+    rows = [(1, words + "  "), (2, "other " + words + " \t\nend"), (3, "alone " * 3)]
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(spark, make_docs(rows)).collect()}
+    assert out[1] == words + "  " and out[3] == "alone " * 3
+    assert {k: out[k] for k in out} == dict(zip([1, 2, 3], brute_dedup(rows)))
+
+
+def test_scratch_tables_go_and_stored_results_stay(spark):
+    import os
+    from marktwert.session import shared_path
+    path = shared_path(spark, "kept", "scratch-test")
+    with C.scratch(spark, "t"):
+        inner = C.store(spark, spark.range(5).toDF("x"), "a")
+        folder = inner.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+        out = C.store_at(spark, inner.where("x > 1"), path)
+    assert out.count() == 3 and not os.path.exists(folder)
+
+
 def test_units_cover_lines_and_sentence_runs():
     text = "One two three four five six. Seven eight nine ten eleven twelve.\nshort line\n\n" + "x " * 12
     found = list(substring_dedup.units(text))
