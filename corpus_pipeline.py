@@ -2,7 +2,8 @@
 decontamination, mixing.
 
 ``run`` applies the stages to ``documents``; each result is written as Parquet
-in the shared folder and read again as the next stage's input.
+in the shared folder and read again as the next stage's input.  What a stage
+stores on the way, and the result it read, are removed once its own is written.
 
 Defined results: a null or empty text has no language and goes in the first
 stage (unless no row has a label: then the stage passes all); an empty table gives an empty result; columns beside those of
@@ -12,9 +13,12 @@ stage (unless no row has a label: then the stage passes all); an empty table giv
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 from marktwert.llm import common, decontaminate, language_id, mixing, near_dedup, substring_dedup
+from marktwert.session import remove_path, shared_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +33,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines and paragraphs are cut from all but their first document."""
+    """Repeated lines, paragraphs, sentence chains and chunks are cut from all
+    but their first place."""
     return substring_dedup.without_repeats(spark, docs)
 
 
@@ -57,7 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    docs, read = common.documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = common.store(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        written = shared_path(spark, "pipeline", f"{name}-{uuid4().hex}")
+        with common.scratch(spark, name):
+            docs = common.store_at(spark, stage(spark, docs, sf_dir), written)
+        if read:
+            remove_path(spark, read)
+        read = written
     return docs
