@@ -2,14 +2,16 @@
 
 Every text becomes its set of distinct word shingles.  Equal sets are one
 *class*; only classes are joined.  A class is embedded as ``TOKENS`` minwise
-tokens.  Each of ``TREES`` independent trees branches a node into two children
-by the values of two selected token coordinates (fixed at the root, below it
-drawn from the node's own key), so a class needs nothing but its tokens to find
-its nodes.  A node of at most ``NODE`` classes is compared exhaustively on 2-bit
-token sketches and set sizes; larger ones branch again.  A pair of similarity
-0.8 is missed by all trees with a probability of about 4e-9 at the root; below it
-all draws come from ``BRANCHES`` coordinates, so the miss grows with the depth of
-its nodes: at most about 6e-6 at depth 2, 2e-5 at 3, 4e-5 at 4, 1.6e-4 at 10.
+tokens.  Each of ``TREES`` independent trees starts with the path of two tokens
+of its own (a node by one token holds every text with one common shingle, so it
+would nearly always branch) and branches a node into two children by the values
+of two token coordinates drawn from the node's own key, so a class needs nothing
+but its tokens to find its nodes.  A node of at most ``NODE`` classes is compared
+exhaustively on 2-bit token sketches and set sizes; larger ones branch again.
+A pair of similarity 0.8 is missed by all trees with a probability of about 8e-8
+at the first nodes; below them all draws come from ``BRANCHES`` coordinates, so
+the miss grows with the depth of its nodes: about 7e-6 at depth 2, 3e-5 at 3,
+7e-5 at 4, 3e-4 at 10.
 Every candidate is confirmed on the full shingle sets of both texts.
 
 Skew.  A large group of near copies never splits, so groups are collapsed
@@ -25,8 +27,9 @@ candidates are dealt to salted parts.
 
 Texts move only for candidates: a bitmap of fixed size over the hashed ids
 keeps most other rows out of the shuffle (saturated, it just passes more).  In
-the large nodes, where one class may have many candidates, texts go to the
-chunks once a row, not once a pair, and pairs are confirmed on the spot.
+the large nodes, where one class may have many candidates, rows without a
+similar sketch in their chunk are dropped, then texts go to the chunks once a
+row, not once a pair, and pairs are confirmed on the spot.
 
 Defined results: null text, empty text and text without words have an empty
 set, no links and form their own component; fewer words than a shingle give one
@@ -52,10 +55,10 @@ from marktwert.llm import common as C
 #: Minwise tokens of a sketch; the first ``BRANCHES`` of them choose branches.
 TOKENS = 256
 BRANCHES = 32
-TREES = 6
+TREES = 16
 NODE = 300
-#: Trees and depth of the rounds that propose neighbours.
-PROPOSAL_ROUNDS = ((0, 1), (2, 3))
+#: Trees of the rounds that propose neighbours.
+PROPOSAL_ROUNDS = ((0, 1, 2, 3, 4), (5, 6, 7, 8, 9))
 SPLIT_DEPTH = 2
 #: A large node beyond this many chunks branches on, whatever its depth.
 MAX_CELLS = 40
@@ -71,7 +74,7 @@ FILTER_BITS = 1 << 24
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(1, 2**64, TOKENS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 2**64, TOKENS, dtype=np.uint64)
-#: One salt per root coordinate or branch (array product: wraps silently).
+#: One salt per tree or branch (array product: wraps silently).
 _SALT = np.arange(2 * TOKENS + 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,15 +133,16 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def _branch(batches, trees: tuple[int, ...] | None, schema: str) -> Iterator[pa.RecordBatch]:
-    """Rows of the children: of the roots (tree ``r`` on coordinates 2r and
-    2r + 1), or, without ``trees``, of each row's node."""
+    """Rows of the first nodes (tree ``r``: the path of tokens 2r and 2r + 1),
+    or, without ``trees``, of the children of each row's node."""
     names = [f.split()[0] for f in schema.split(", ")]
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             part = batch.slice(lo, 4096)
             tokens = C.matrix(part.column("sig"), "<u2")
             if trees is not None:
-                nodes = [C.mix(tokens[:, c].astype(np.uint64) + _SALT[c + 1]) for r in trees for c in (2 * r, 2 * r + 1)]
+                nodes = [C.mix((tokens[:, 2 * r].astype(np.uint64) << np.uint64(16) | tokens[:, 2 * r + 1]) + _SALT[r + 3])
+                         for r in trees]
             else:
                 node = part.column("node").to_numpy().view(np.uint64)
                 nodes = []
@@ -385,6 +389,15 @@ def _confirm(spark, docs, recs, pairs, k, percent, id_col, text_col) -> DataFram
             .mapInArrow(partial(_confirmed, k=k, percent=percent), "u long, v long").distinct())
 
 
+def _met(batches, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a similar row of another label in their run."""
+    for batch in _batches(C.whole_runs(batches, keys)):
+        met = np.zeros(batch.num_rows, bool)
+        for i, j, _ in _similar(batch, keys):
+            met[i] = met[j] = True
+        yield batch.filter(pa.array(met))
+
+
 def _dense_links(batches, keys: list[str], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Confirmed links of similar rows in each run; two labels that are linked
     in a run need no further pair there."""
@@ -416,13 +429,14 @@ def _dense_links(batches, keys: list[str], k: int, percent: int) -> Iterator[pa.
 
 
 def _confirm_dense(spark, docs, recs, dealt, k, percent, id_col, text_col) -> DataFrame:
-    """Links among the rows of large nodes: each row takes its text along."""
-    dealt = C.store(spark, dealt, "dealt")
+    """Links among the rows of large nodes: each row that has a similar one
+    takes its text along."""
+    keys = ["node", "part"]
+    dealt = C.store(spark, _deal(dealt, keys).mapInArrow(partial(_met, keys=keys), dealt.schema), "dealt")
     need = C.store(spark, recs.select("cid", "rid", "least").join(dealt.select("cid").distinct(), "cid", "left_semi"), "need")
     texts = (_needed_texts(docs, need.select(F.col("least").alias("id")), id_col, text_col)
              .mapInArrow(partial(_with_rid, k=k), "rid binary, text string")
              .join(need.select("rid", "cid"), "rid").groupBy("cid").agg(F.min("text").alias("text")))
-    keys = ["node", "part"]
     return (_deal(dealt.join(texts, "cid"), keys)
             .mapInArrow(partial(_dense_links, keys=keys, k=k, percent=percent), "u long, v long").distinct())
 

@@ -110,7 +110,7 @@ def test_recall_of_the_trees():
         a = np.unique(np.concatenate([common, rng.integers(0, 2**63, 10, dtype=np.uint64)]))
         b = np.unique(np.concatenate([common, rng.integers(0, 2**63, 10, dtype=np.uint64)]))
         tokens = N._tokens([a, b])
-        nodes = [{(c, int(t[c])) for c in range(2 * N.TREES)} for t in tokens]
+        nodes = [{(r, int(t[2 * r]), int(t[2 * r + 1])) for r in range(N.TREES)} for t in tokens]
         missed += not (nodes[0] & nodes[1])
         low = N._sketch(tokens)
         same = sum(int(((low[0] ^ low[1]) >> s & 3 == 0).sum()) for s in (0, 2, 4, 6))
@@ -134,6 +134,28 @@ def test_words_and_shingles_equal_the_regex():
     assert [len(s) for s in sets] == [len(shingles(t, 2)) for t in texts]
 
 
+@pytest.mark.parametrize("node_limit", [N.NODE, 10])
+def test_whole_table_equals_the_inverted_index(spark, node_limit):
+    """All links of the table by an index on its shingles; small nodes send
+    most pairs through several levels of branching."""
+    docs = C.documents(spark, SMALL_SF)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    got = result(N.near_duplicates(spark, docs, node_limit=node_limit))
+    assert got == expected(rows, 2)
+
+
+def test_rows_of_large_nodes_without_a_similar_one_stay_behind():
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, N.TOKENS // 4, dtype=np.uint8)
+    sketch = np.stack([base, base, *rng.integers(0, 256, (4, len(base)), dtype=np.uint8)])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 1, 1, 1, 2, 2]), pa.array([0] * 6), pa.array([50] * 6), pa.array(range(6)), pa.array(range(6)),
+         C.fixed_binary(sketch)], ["node", "part", "n", "cid", "lab", "sketch"])
+    out = [c for b in N._met(iter([batch]), ["node", "part"]) for c in b.column("cid").to_pylist()]
+    assert out == [0, 1]
+
+
 def test_small_table_has_all_documents(spark):
     docs = C.documents(spark, SMALL_SF)
     assert N.near_duplicates(spark, docs).count() == docs.count()
