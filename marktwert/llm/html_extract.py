@@ -3,11 +3,23 @@
 Tokens of a page are its structural elements (with their path) and its text
 nodes.  Over the pages of one host each token has an
 occurrence vector (how often on which page); tokens with equal vectors form an
-equivalence class.  A class is valid if it has at least ``MIN_SIZE`` tokens, of
+equivalence class.  A class is a candidate if it has at least ``MIN_SIZE`` tokens, of
 which one is an element, and support on at least ``MIN_PAGES`` and half of the
-host's distinct pages (pages with equal text count once).  Order and nesting of a
-class's tokens are not checked beyond the paths that the tokens hold.  What lies between template
-tokens is a slot.  Slots under menus, headers, footers, sidebars, notices,
+host's distinct pages (pages with equal text count once).  A second look at the
+pages then keeps of it what is a template:
+
+* order: the tokens of a class are numbered by their place on a page; a token
+  stays if its number is the same in every repetition on every page;
+* nesting: a class that starts between two tokens of another one must end there,
+  and must lie between the same two tokens on every page, else it goes (and may
+  take classes inside it along, so text is rather kept);
+* near copies: a page with ``NEAR_COPY`` of its text or more in candidate tokens
+  tells no template from an article that many pages share.  All such pages of a
+  host count as one page when the support is counted again, so the paragraphs of
+  an article with many near copies are no template, and a host of nothing but
+  such pages has none.
+
+What lies between template tokens is a slot.  Slots under menus, headers, footers, sidebars, notices,
 adverts, forms and comments are dropped by the element they lie in; where a page
 has an article or main element, its slots are the text, else all slots that are
 left, in both cases without the template's own text.
@@ -41,6 +53,8 @@ from marktwert.llm import common as C
 MIN_SIZE = 2
 MIN_PAGES = 3
 SUPPORT = 0.5
+#: Share of a page's text in candidate tokens from which it counts as a near copy.
+NEAR_COPY = 0.7
 _PRIME = (1 << 31) - 1
 
 _TOKEN = re.compile(
@@ -115,18 +129,50 @@ def walk(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         yield "tag", path, chrome, article
 
 
-def tokens(page: str) -> Counter:
-    """Template candidates of a page with their counts, as 64-bit hashes (even:
-    element, odd: text node)."""
-    found: Counter = Counter()
-    path = ""
+def placed(page: str) -> Iterator[tuple[int, int, bool]]:
+    """Template candidates of a page in order: token (64-bit hash; even: element,
+    odd: text node), length of its text, and whether extraction without a
+    template returns that text."""
+    path, seen_article = "", False
+    rows: list[tuple[int, int, bool, bool]] = []
     for kind, value, chrome, article in walk(page):
         if kind == "tag":
             path = value
-            found[xxhash.xxh64_intdigest(value) & ~1] += 1
+            seen_article = seen_article or article
+            rows.append((xxhash.xxh64_intdigest(value) & ~1, 0, False, article))
         elif kind == "text" and (text := " ".join(value.split())):
-            found[xxhash.xxh64_intdigest(f"{path}|{text}") | 1] += 1
-    return found
+            rows.append((xxhash.xxh64_intdigest(f"{path}|{text}") | 1, len(text), not chrome, article))
+    for token, size, free, article in rows:
+        yield token, size, free and (article or not seen_article)
+
+
+def nested(places: list[tuple[int, int]]) -> tuple[dict[int, list[int]], set[int], dict[int, set[tuple[int, int]]]]:
+    """Order and nesting of the classes on one page, given its (token, class) in
+    order: the places of every token in its class, the classes that cross the
+    one around them, and the slots (class, token before) that each class lies in."""
+    runs: dict[int, list[int]] = {}
+    for token, group in places:
+        runs.setdefault(group, []).append(token)
+    width = {group: len(set(run)) for group, run in runs.items()}
+    ranks: dict[int, list[int]] = {}
+    seen: Counter = Counter()
+    crossing: set[int] = set()
+    slots: dict[int, set[tuple[int, int]]] = {}
+    open_: list[tuple[int, int]] = []  # class, its last token
+    for token, group in places:
+        rank = seen[group] % width[group]
+        seen[group] += 1
+        ranks.setdefault(token, []).append(rank)
+        if rank == 0:
+            slots.setdefault(group, set()).add(open_[-1] if open_ else (0, 0))
+            open_.append((group, token))
+        elif any(g == group for g, _ in open_):
+            while open_[-1][0] != group:
+                crossing.add(open_.pop()[0])
+            open_[-1] = (group, token)
+        if rank == width[group] - 1 and open_ and open_[-1][0] == group:
+            open_.pop()
+    return ranks, crossing, slots
 
 
 def extract(page: str, template: frozenset[int] | set[int]) -> str:
@@ -184,9 +230,15 @@ def _vectors(batches) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], list] = {}
         for host, mark, copies, page in zip(*(batch.column(c).to_pylist() for c in ("host", "mark", "copies", "html"))):
             part = pow(copies, -1, _PRIME)
-            for token, n in tokens(page or "").items():
+            found, returned = Counter(), set()
+            for token, _, free in placed(page or ""):
+                found[token] += 1
+                if free:
+                    returned.add(token)
+            for token, n in found.items():
                 h = xxhash.xxh64_intdigest(f"{mark}|{n}")
-                row = sums.setdefault((host, token), [0.0, 0, 0])
+                row = sums.setdefault((host, token), [0.0, 0, 0, 0])
+                row[3] |= token in returned
                 row[0] += 1 / copies
                 row[1] += (h & 0xFFFFFFFF) * part % _PRIME
                 row[2] += (h >> 32) * part % _PRIME
@@ -194,23 +246,77 @@ def _vectors(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([_signed(k[1]) for k in keys], pa.int64()),
              pa.array([v[0] for v in values], pa.float64()),
-             *[pa.array([v[i] for v in values], pa.int64()) for i in (1, 2)]], ["host", "token", "pages", "v1", "v2"])
+             *[pa.array([int(v[i]) for v in values], pa.int64()) for i in (1, 2, 3)]],
+            ["host", "token", "pages", "v1", "v2", "free"])
+
+
+_CHECKED = ("host string, token long, varied double, near long, low long, high long, crossing long, "
+            "first_slot long, last_slot long")
+
+
+def _checked(batches) -> Iterator[pa.RecordBatch]:
+    """Per host and candidate token of a batch: pages that hold it (near copies
+    apart), least and greatest place in its class, crossings, least and greatest
+    slot.  Token 0 stands for the pages of the host."""
+    names = [c.split()[0] for c in _CHECKED.split(", ")]
+    for batch in C.pieces(batches):
+        known: dict[str, dict[int, int]] = {}
+        sums: dict[tuple[str, int], list] = {}
+        for host, copies, page, classes in zip(*(batch.column(c).to_pylist() for c in ("host", "copies", "html", "classes"))):
+            if host not in known:
+                known[host] = {c["token"]: c["class"] for c in classes}
+            group_of = known[host]
+            places, shared, returned = [], 0, 0
+            for token, size, free in placed(page or ""):
+                group = group_of.get(_signed(token))
+                if group is not None:
+                    places.append((_signed(token), group))
+                if free:
+                    returned += size
+                    shared += size if group is not None else 0
+            near = returned > 0 and shared >= NEAR_COPY * returned
+            ranks, crossing, slots = nested(places)
+            marks = {g: [_signed(xxhash.xxh64_intdigest(f"{s}")) for s in found] for g, found in slots.items()}
+            for token, group, rank in [(0, None, [0]), *((t, group_of[t], r) for t, r in ranks.items())]:
+                slot = marks.get(group, [0])
+                row = sums.setdefault((host, token), [0.0, 0, rank[0], rank[0], 0, slot[0], slot[0]])
+                if near:
+                    row[1] = 1
+                else:
+                    row[0] += 1 / copies
+                row[2], row[3] = min(row[2], *rank), max(row[3], *rank)
+                row[4] |= group in crossing
+                row[5], row[6] = min(row[5], *slot), max(row[6], *slot)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()),
+             pa.array([v[0] for v in sums.values()], pa.float64()),
+             *[pa.array([int(v[i]) for v in sums.values()], pa.int64()) for i in range(1, 7)]], names)
 
 
 def host_of(url: str) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """``host`` and ``template`` (tokens of its valid classes); ``pages`` has
-    ``host``, ``id``, ``html``."""
+def _distinct(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages of known hosts with the ``copies`` of their text, and the distinct
+    texts of each host."""
     known = pages.where("host <> ''").select("host", "html").mapInArrow(_marked, "host string, mark long, html string")
     distinct = C.store(spark, known.groupBy("host", "mark").agg(F.count("*").alias("copies")), "distinct")
     repeated = C.store(spark, distinct.where("copies > 1"), "repeated")
-    sums = (known.join(repeated, ["host", "mark"], "left")
-            .select("host", "mark", F.coalesce("copies", F.lit(1)).alias("copies"), "html")
-            .mapInArrow(_vectors, "host string, token long, pages double, v1 long, v2 long")
-            .groupBy("host", "token").agg(F.round(F.sum("pages")).cast("long").alias("pages"),
+    return (known.join(repeated, ["host", "mark"], "left")
+            .select("host", "mark", F.coalesce("copies", F.lit(1)).alias("copies"), "html")), distinct
+
+
+def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """``host`` and ``template`` (tokens of its candidate classes), ``classes``
+    (these tokens with their class) and ``free`` (extraction returns text of
+    one); ``pages`` has ``host``, ``id``, ``html``."""
+    return _candidates(spark, *_distinct(spark, pages))
+
+
+def _candidates(spark: SparkSession, counted: DataFrame, distinct: DataFrame) -> DataFrame:
+    sums = (counted.mapInArrow(_vectors, "host string, token long, pages double, v1 long, v2 long, free long")
+            .groupBy("host", "token").agg(F.round(F.sum("pages")).cast("long").alias("pages"), F.max("free").alias("free"),
                                           *[F.pmod(F.sum(c), F.lit(_PRIME)).alias(c) for c in ("v1", "v2")]))
     hosts = distinct.groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= MIN_PAGES)
     strong = C.store(spark, sums.join(hosts, "host").where(
@@ -218,7 +324,27 @@ def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
     classes = (strong.groupBy("host", "pages", "v1", "v2")
                .agg(F.count("*").alias("size"), F.max((F.col("token") % 2 == 0).cast("int")).alias("element"))
                .where((F.col("size") >= MIN_SIZE) & (F.col("element") == 1)))
-    return (strong.join(classes.select("host", "pages", "v1", "v2"), ["host", "pages", "v1", "v2"])
+    named = strong.join(classes.select("host", "pages", "v1", "v2"), ["host", "pages", "v1", "v2"])
+    return named.groupBy("host").agg(
+        F.collect_set("token").alias("template"), F.max("free").alias("free"),
+        F.collect_list(F.struct("token", F.xxhash64("pages", "v1", "v2").alias("class"))).alias("classes"))
+
+
+def valid_templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """``host`` and ``template``: the candidate tokens that keep order and
+    nesting and have their support without near copies.  Hosts whose candidates
+    hold no text that extraction returns are left out: their template changes
+    nothing, and their pages are not read again."""
+    counted, distinct = _distinct(spark, pages)
+    found = C.store(spark, _candidates(spark, counted, distinct).where("free = 1").select("host", "classes"), "candidates")
+    checked = C.store(spark, counted.join(found, "host").select("host", "copies", "html", "classes")
+                      .mapInArrow(_checked, _CHECKED).groupBy("host", "token")
+                      .agg((F.round(F.sum("varied")) + F.max("near")).cast("long").alias("pages"),
+                           F.min("low").alias("low"), F.max("high").alias("high"), F.max("crossing").alias("crossing"),
+                           F.min("first_slot").alias("first_slot"), F.max("last_slot").alias("last_slot")), "checked")
+    hosts = checked.where("token = 0").select("host", F.col("pages").alias("all"))
+    return (checked.where("token <> 0 and low = high and crossing = 0 and first_slot = last_slot").join(hosts, "host")
+            .where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), SUPPORT * F.col("all")))
             .groupBy("host").agg(F.collect_set("token").alias("template")))
 
 
@@ -241,6 +367,6 @@ def main_text(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", ur
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
                         host_of(url_col).alias("host"))
-    found = C.store(spark, templates(spark, rows.select("host", "id", "html")), "templates")
+    found = C.store(spark, valid_templates(spark, rows.select("host", "id", "html")), "templates")
     return (rows.join(found, "host", "left").select("id", "url", "html", "template")
             .mapInArrow(_extract, f"id {kind}, url string, text string"))

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import html
 import io
+import random
 import re
 
 import pytest
@@ -185,3 +186,74 @@ def test_pages_of_the_table(spark):
         inner = re.sub(r"</?(?:h1|p|br|li|ul)[^>]*>", " ", inner)
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", "", inner)).split())
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
+
+
+def _main(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["id"]: r["text"] for r in html_extract.main_text(spark, pages).collect()}
+
+
+def test_an_article_with_near_copies_keeps_its_text(spark):
+    shared = [f"Paragraph {c} of one article that several pages of the host carry." for c in "abc"]
+    page = "<body><div class=x><p>Read on</p></div><article><h1>Title</h1>{}<p>{}</p></article></body>"
+    own = [f"Only page {i} has this line." for i in range(4)]
+    rows = [(i, f"http://h.example/{i}", page.format("".join(f"<p>{p}</p>" for p in shared), own[i])) for i in range(4)]
+    plain_page = "<body><div class=x><p>Read on</p></div><div class=y><p>{}</p><p>{}</p></div></body>"
+    # near copies beside other pages of a host: the template is still found
+    rows += [(10 + i, f"http://mixed.example/{i}", plain_page.format(" ".join(shared), own[i])) for i in range(4)]
+    rows += [(20 + i, f"http://mixed.example/o{i}", plain_page.format(f"Something else {i * 'and more '}.", f"End {i}"))
+             for i in range(4)]
+    got = _main(spark, rows)
+    for i in range(4):
+        assert got[i] == " ".join(["Title", *shared, own[i]])
+        assert got[10 + i] == " ".join([*shared, own[i]])
+        assert got[20 + i] == f"Something else {i * 'and more '}.".replace(" .", " .") + f" End {i}"
+
+
+def test_a_menu_without_a_telling_name_goes(spark):
+    page = "<body><div class=q1><p>Home</p><p>Shop</p></div><div class=q2><p>{}</p></div><div class=q3><p>Imprint</p></div></body>"
+    got = _main(spark, [(i, f"http://h.example/{i}", page.format(f"Long own words of the page {i} " * 3)) for i in range(6)])
+    assert all(got[i] == (f"Long own words of the page {i} " * 3).strip() for i in range(6))
+
+
+def test_text_without_a_fixed_place_is_no_template(spark):
+    a, b = "<div class=a><p>Alpha</p></div>", "<div class=b><p>Beta</p></div>"
+    page = "<body><div class=t><p>Top</p></div>{}<div class=z><p>{}</p></div></body>"
+    own = [f"The own words of page number {i}." for i in range(6)]
+    got = _main(spark, [(i, f"http://h.example/{i}", page.format(a + b if i % 2 else b + a, own[i])) for i in range(6)])
+    assert all(got[i] == ("Alpha Beta " if i % 2 else "Beta Alpha ") + own[i] for i in range(6))
+
+
+def test_order_and_nesting_of_classes():
+    outer, inner = [(1, 7), (2, 7), (3, 7)], [(11, 8), (12, 8)]
+    ranks, crossing, slots = html_extract.nested([outer[0], *inner, *inner, *outer[1:]])
+    assert ranks == {1: [0], 2: [1], 3: [2], 11: [0, 0], 12: [1, 1]}
+    assert not crossing and slots == {7: {(0, 0)}, 8: {(7, 1)}}
+    ranks, crossing, slots = html_extract.nested([outer[0], inner[0], outer[1], inner[1], outer[2]])
+    assert crossing == {8}
+    _, crossing, slots = html_extract.nested([outer[0], *inner, outer[1], *inner, outer[2]])
+    assert not crossing and slots[8] == {(7, 1), (7, 2)}
+    assert html_extract.nested([]) == ({}, set(), {})
+
+
+def test_classes_against_explicit_vectors(spark):
+    rng = random.Random(5)
+    parts = [f"<div class=c{k}><p>Text {k}</p></div>" for k in range(6)]
+    pages = ["<body>" + "".join(rng.choices(["", p, p + p], [2, 6, 1])[0] for p in parts) + f"<div class=own><p>own {i}</p></div>"
+             for i in range(25)]
+    df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "id long, host string, html string")
+    got = html_extract.templates(spark, df.withColumn("host", html_extract.host_of("host"))).collect()[0]
+    vectors = {}
+    for i, page in enumerate(pages):
+        for token, _, _ in html_extract.placed(page):
+            vectors.setdefault(token, [0] * len(pages))[i] += 1
+    groups = {}
+    for token, vector in vectors.items():
+        if sum(n > 0 for n in vector) >= 12.5:
+            groups.setdefault(tuple(vector), set()).add(token)
+    want = {frozenset(g) for g in groups.values() if len(g) >= 2 and any(t % 2 == 0 for t in g)}
+    found = {}
+    for row in got["classes"]:
+        found.setdefault(row["class"], set()).add(row["token"] % (1 << 64))
+    assert {frozenset(g) for g in found.values()} == want and len(want) > 3
+    assert {t % (1 << 64) for t in got["template"]} == frozenset().union(*want)
