@@ -61,6 +61,16 @@ def store(spark: SparkSession, df: DataFrame, name: str, **options: str) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``PIECE_ROWS`` rows and 8 MB where the session has Spark's
+    defaults: a batch of 10,000 texts lies several times in the buffers of the
+    JVM and of each Python worker, beside the executor's heap."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", str(PIECE_ROWS)), ("maxBytesPerBatch", "64MB", "8MB")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default).lower() in (default.lower(), "67108864b", "67108864"):
+            spark.conf.set(key, value)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
