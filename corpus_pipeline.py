@@ -4,6 +4,8 @@ decontamination, mixing.
 ``run`` applies the stages to ``documents``; each result is written as Parquet
 in the shared folder and read again as the next stage's input.  What a stage
 stores on the way, and the result it read, are removed once its own is written.
+Texts pass to Python in small Arrow batches (``common.small_batches``; settings
+of the session other than Spark's defaults stay).
 
 Defined results: a null or empty text has no language and goes in the first
 stage (unless no row has a label: then the stage passes all); an empty table gives an empty result; columns beside those of
@@ -24,22 +26,26 @@ from marktwert.session import remove_path, shared_path
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told stay; the model learns from the
     stage's own input."""
+    common.small_batches(spark)
     return language_id.keep_identified(spark, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the least id) of each group of near duplicates stays."""
+    common.small_batches(spark)
     return near_dedup.keep_one_per_group(spark, docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines, paragraphs, sentence chains and chunks are cut from all
     but their first place."""
+    common.small_batches(spark)
     return substring_dedup.without_repeats(spark, docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    common.small_batches(spark)
     return decontaminate.drop_contaminated(spark, docs, common.documents(spark, sf_dir, "benchmark"))
 
 
