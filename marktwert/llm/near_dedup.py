@@ -25,8 +25,9 @@ blocks, cell by cell.  So the work on a group of copies follows its size, and
 no pair is dropped.  Counts are combined before they are shuffled; a hub's
 candidates are dealt to salted parts.
 
-Texts move only for candidates: a bitmap of fixed size over the hashed ids
-keeps most other rows out of the shuffle (saturated, it just passes more).  In
+Rows move only to nodes with two labels, and texts only for candidates: a
+bitmap of fixed size over the hashed keys keeps most others out of the shuffle
+(saturated, it just passes more).  In
 the large nodes, where one class may have many candidates, rows without a
 similar sketch in their chunk are dropped, then texts go to the chunks once a
 row, not once a pair, and pairs are confirmed on the spot.
@@ -246,6 +247,25 @@ def _own_part(parts: F.Column) -> F.Column:
     return F.pmod(F.xxhash64("cid"), parts)
 
 
+def _perhaps_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose ``key`` is in ``wanted``, and a few others: a filter by
+    a bitmap of at most ``FILTER_BITS / 64`` words over the hashed keys, which is
+    the most that is ever broadcast (saturated, it just passes more)."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
+    words = (wanted.select(place.alias("_place")).groupBy((F.expr("_place div 64")).alias("_word"))
+             .agg(F.bit_or(bit).alias("_bits")))
+    return (rows.withColumn("_place", place).join(F.broadcast(words), F.expr("_place div 64") == F.col("_word"))
+            .where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns))
+
+
+def _in_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``nodes`` (each listed once): most others go before the
+    shuffle of the join.  An inner join, as a semi join is pushed below the filter."""
+    nodes = nodes.select("node")
+    return _perhaps_in(rows, nodes, "node").join(nodes, "node").select(*rows.columns)
+
+
 def _walk(spark: SparkSession, recs: DataFrame, trees: tuple[int, ...], node_limit: int, deepest: int):
     """Nodes level by level: (rows of small nodes, rows of the large ones, the
     list of these with ``c`` and ``parts``, whether this level is the last).  Nodes with one label
@@ -259,16 +279,16 @@ def _walk(spark: SparkSession, recs: DataFrame, trees: tuple[int, ...], node_lim
 
         counts = rows(_COUNT).groupBy("node").agg(F.count("*").alias("c"), F.min("lab").alias("lo"), F.max("lab").alias("hi"))
         mixed = C.store(spark, counts.where("lo <> hi").select("node", "c"), "nodes")
-        small = rows(_LEAF).join(mixed.where(F.col("c") <= node_limit).select("node"), "node", "left_semi")
+        small = _in_nodes(rows(_LEAF), mixed.where(F.col("c") <= node_limit))
         big = C.store(spark, mixed.where(F.col("c") > node_limit).withColumn(
             "parts", F.ceil(F.col("c") / node_limit).cast("long")), "big")
         if big.isEmpty():
             yield small, None, None, True
             return
-        onward = yield small, rows(_LEAF).join(big.select("node"), "node", "left_semi"), big, depth == deepest
+        onward = yield small, _in_nodes(rows(_LEAF), big), big, depth == deepest
         if depth == deepest:
             return
-        parents = rows(_TRACE).join((big if onward is None else onward).select("node"), "node", "left_semi")
+        parents = _in_nodes(rows(_TRACE), big if onward is None else onward)
         roots = None
 
 
@@ -335,16 +355,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 # ---- confirmation ----------------------------------------------------------
 def _needed_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``text`` of the documents whose id is in ``ids``, and of a few others:
-    a filter by a bitmap of at most ``FILTER_BITS / 64`` words, which is the
-    most that is ever broadcast."""
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
-    words = (ids.select(place.alias("_place")).groupBy((F.expr("_place div 64")).alias("_word"))
-             .agg(F.bit_or(bit).alias("_bits")))
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("_place", place)
-    return (text.join(F.broadcast(words), F.expr("_place div 64") == F.col("_word"))
-            .where(F.col("_bits").bitwiseAND(bit) != 0).select("text"))
+    """``text`` of the documents whose id is in ``ids``, and of a few others."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _perhaps_in(texts, ids, "id").select("text")
 
 
 def _with_rid(batches, k: int) -> Iterator[pa.RecordBatch]:
