@@ -46,3 +46,36 @@ def test_prepared_rows_are_stored_without_dense_vectors(spark, tables):
         assert set(stored.columns) == {*side.columns, "assembled"}
         want = sorted(tuple(r[0]) for r in pipe.transform(side).select("features").collect())
         assert want and sorted(tuple(r[0]) for r in frame.select("features").collect()) == want
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(240, 3)), 2)
+    y = x @ [30.0, -20.0, 5.0] + rng.normal(size=240) + 900
+    return spark.createDataFrame([(i, Vectors.dense(a), float(b)) for i, (a, b) in enumerate(zip(x, y))],
+                                 ["age", "features", "price"])
+
+
+def test_grid_search_caches_no_folds_and_scores_like_a_loop(vectors, monkeypatch):
+    def refuse(self, *_):
+        raise AssertionError("a fold was cached")
+    monkeypatch.setattr(DataFrame, "cache", refuse)
+    grid = {"regParam": [0.01, 50.0], "elasticNetParam": [0.0, 0.5]}
+    cv = M.grid_search(M.linear(), grid, vectors, k=3)
+    folded = M.EV.with_folds(vectors, 3)
+    want = []
+    for reg in grid["regParam"]:
+        for elastic in grid["elasticNetParam"]:
+            scores = []
+            for f in range(3):
+                held = M.linear(reg, elastic).fit(folded.where(F.col("fold") != f)).transform(folded.where(F.col("fold") == f))
+                scores.append(M.RegressionEvaluator(labelCol="price", metricName="r2").evaluate(held))
+            want.append(sum(scores) / 3)
+    assert sorted(cv.avgMetrics) == pytest.approx(sorted(want))
+    assert max(cv.avgMetrics) == pytest.approx(max(want)) and cv.bestModel.getRegParam() == 0.01
+
+
+def test_folds_are_stored_without_other_columns(vectors):
+    wide = vectors.withColumn("assembled", F.col("features"))
+    assert M._folded(wide, 3).columns == ["features", "price", "fold"]
