@@ -79,3 +79,20 @@ def test_grid_search_caches_no_folds_and_scores_like_a_loop(vectors, monkeypatch
 def test_folds_are_stored_without_other_columns(vectors):
     wide = vectors.withColumn("assembled", F.col("features"))
     assert M._folded(wide, 3).columns == ["features", "price", "fold"]
+
+
+def test_generations_of_many_purges_by_lookup(spark):
+    start = dt.datetime(2024, 1, 1)
+    rng = random.Random(5)
+    purged = [start + dt.timedelta(seconds=rng.randrange(5000)) for _ in range(700)] + [None]
+    asked = [start + dt.timedelta(seconds=rng.randrange(-50, 5100)) for _ in range(300)] + [None]
+    purges = spark.createDataFrame([(p,) for p in purged], "purged_at timestamp")
+    reqs = spark.createDataFrame([(i, "k", t) for i, t in enumerate(asked)], "id long, k string, t timestamp")
+    out = scoring.with_generation(reqs, "k", "t", purges)
+    got = {r["id"]: r["k"] for r in out.collect()}
+    for i, t in enumerate(asked):
+        assert got[i] == f"k#{sum(t is not None and p is not None and p <= t for p in purged)}"
+    # no list of purges travels with the rows
+    assert "NestedLoopJoin" not in out._jdf.queryExecution().toString()
+    none = scoring.with_generation(reqs, "k", "t", purges.limit(0))
+    assert {r["k"] for r in none.collect()} == {"k#0"}
