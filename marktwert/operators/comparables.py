@@ -113,12 +113,32 @@ def similar_listings(listings: DataFrame, requests: DataFrame,
 
 
 def _match_sums(listings: DataFrame, requests: DataFrame) -> DataFrame:
-    """Count and cent sum of all comparables, per request that has any."""
+    """Count and cent sum of all comparables, per request that has any.
+
+    The band is a rectangle, so its sums are taken side by side: first over the
+    kilometres, once per power of a (brand, model) and asked kilometre value,
+    then over the powers of a request.  A request so meets the powers of its band
+    instead of all its cells."""
     cells, _ = listing_cells(listings)
-    m = matched_cells(requests, cells)
+    kilometres = requests.select("brand", "model", "req_kilometer").distinct()
+    strips = (_in_band(kilometres, cells, "kilometer", ["brand", "model"])
+              .groupBy("brand", "model", "req_kilometer", "powerPS")
+              .agg(F.sum("_n").alias("_n"), F.sum("_cents").alias("_cents")))
+    m = _in_band(requests.select(*REQ_KEY), strips, "powerPS", ["brand", "model", "req_kilometer"])
     return m.groupBy(*REQ_KEY).agg(F.sum("_n").alias("_ns"), F.sum("_cents").alias("_c"))
 
 
+def _in_band(requests: DataFrame, cells: DataFrame, side: str, key: list[str],
+             lo_f: float = C.SIMILAR_LOW, hi_f: float = C.SIMILAR_HIGH) -> DataFrame:
+    """Requests joined with the cells of equal ``key`` whose ``side`` lies in the
+    request's band, as an equi join on its log-scale bins."""
+    v = F.col(f"req_{side}")
+    probes = requests.withColumn("_bin", F.explode(_bin_range(v, lo_f, hi_f)))
+    c = cells.withColumn("_bin", _bin(F.col(side)))
+    # see matched_cells
+    return probes.join(c.hint("merge"), [*key, "_bin"]).where(F.col(side).between(v * F.lit(lo_f), v * F.lit(hi_f)))
+
+
 def _summary_cols() -> list[Column]:
     n = F.coalesce("_ns", F.lit(0)).cast("bigint")
     return [n.alias("n_similar"), (F.col("_c") / (F.col("_ns") * F.lit(100.0))).alias("avg_similar_price")]

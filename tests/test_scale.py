@@ -96,3 +96,29 @@ def test_generations_of_many_purges_by_lookup(spark):
     assert "NestedLoopJoin" not in out._jdf.queryExecution().toString()
     none = scoring.with_generation(reqs, "k", "t", purges.limit(0))
     assert {r["k"] for r in none.collect()} == {"k#0"}
+
+
+def test_verdicts_sum_strips_of_the_band(spark, monkeypatch, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.choice(["m", None]), rng.choice([0.0, 10.0, 40.0, 45.0, 100.0, 130.0, None]),
+             rng.choice([-5.0, 0.0, 3000.0, 9000.0, 12000.0, 39000.0]), float(rng.randrange(100, 999))) for _ in range(200)]
+    cars = spark.createDataFrame(rows, "brand string, model string, powerPS double, kilometer double, price double")
+    for c in comparables.TIE_ORDER:
+        if c not in cars.columns:
+            cars = cars.withColumn(c, F.lit("x"))
+    cars.write.parquet(str(tmp_path / "cars"))
+    cars = spark.read.parquet(str(tmp_path / "cars"))
+    pairs = []
+    real = comparables._in_band if hasattr(comparables, "_in_band") else None
+    monkeypatch.setattr(comparables, "_in_band", lambda *a: pairs.append(real(*a)) or pairs[-1], raising=False)
+    got = {(r.brand, r.model, r.powerPS, r.kilometer): (r.n_similar, r.avg_similar_price)
+           for r in comparables.price_verdict(cars, cars).collect()}
+    for (b, m, p, k), (n, mean) in got.items():
+        like = [r[4] for r in rows if m and p is not None and r[:2] == (b, m) and r[2] is not None
+                and (p * 0.3 <= r[2] <= p * 1.3 if p > 0 else p == r[2]) and p >= 0
+                and (k * 0.3 <= r[3] <= k * 1.3 if k > 0 else k == 0 and r[3] == 0)]
+        assert n == len(like) and (mean == pytest.approx(sum(like) / n) if n else mean is None)
+    strips, met = (x.count() for x in pairs)
+    requests = comparables.distinct_requests(cars)
+    direct = comparables.matched_cells(requests, comparables.listing_cells(cars)[0]).count()
+    assert met < direct and strips < direct
