@@ -122,3 +122,19 @@ def test_verdicts_sum_strips_of_the_band(spark, monkeypatch, tmp_path):
     requests = comparables.distinct_requests(cars)
     direct = comparables.matched_cells(requests, comparables.listing_cells(cars)[0]).count()
     assert met < direct and strips < direct
+
+
+def test_a_pass_walks_no_earlier_tree_again(vectors):
+    est = B.HistGBTRegressor(maxIter=3, maxDepth=3, stepSize=0.3, localRows=50)
+    fit = B._Fit(est, vectors)
+    want = {r["_row"]: r["_margin"] for r in fit.state.collect()}
+    for t in range(2):
+        fit._add_trees([fit._tree(t)])
+        fit._advance(fit.trees[-1])
+        for r in fit.state.collect():
+            bins = np.frombuffer(bytes(r["_bins"]), np.uint8)[None, :]
+            want[r["_row"]] += fit.trees[t].value[fit.trees[t].leaves(bins, fit.trees[t].bin)][0]
+        assert {r["_row"]: r["_margin"] for r in fit._current().collect()} == want
+    assert fit.live.storageLevel.useMemory and "pending" not in vars(fit._rows(2, [B._leaf()]))
+    fit._release()
+    assert fit._current() is fit.state
