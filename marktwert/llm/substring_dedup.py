@@ -33,10 +33,10 @@ empty result.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,8 @@ _ENDS = " .!?" + _WIDE
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
                        "\U00020000-\U0003ffff]")
 _WHITE = " \t\x0b\x0c\r\n"
+#: White space of ``str.split`` beside the class ``[\x20\x09-\x0D]``.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = " \t\x0b\x0c\r"
 
@@ -69,46 +71,62 @@ _BLANK = " \t\x0b\x0c\r"
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
     """(start, end, normalised text) of every unit, by place."""
     found: dict[tuple[int, int], str] = {}
+    plain = _OTHER_SPACE.search(text) is None
+    unspaced = not text.isascii() and _UNSPACED.search(text) is not None
     for paragraph in _PARAGRAPH.finditer(text):
-        parts, counts, last_of_line = [], [], []
+        starts, ends, parts, counts, last_of_line = [], [], [], [], []
         for line in _LINE.finditer(text, *paragraph.span()):
             first = len(parts)
-            parts += [(m.start(), m.end(), normal(m.group())) for m in _SENTENCE.finditer(text, *line.span())]
-            if len(parts) == first:
+            for m in _SENTENCE.finditer(text, *line.span()):
+                start, end = m.span()
+                # ``split`` without arguments is ``normal`` where the text has no other white space
+                part = " ".join(text[start:end].lower().split()) if plain else normal(text[start:end])
+                starts.append(start)
+                ends.append(end)
+                parts.append(part)
+                counts.append(n_words(part) if unspaced else part.count(" ") + 1)
+            last = len(parts) - 1
+            if last < first:
                 continue
-            counts += [n_words(p[2]) for p in parts[first:]]
-            last_of_line += [len(parts) - 1] * (len(parts) - first)
-            _add(found, parts, first, len(parts) - 1)
+            last_of_line += [last] * (last + 1 - first)
+            _add(found, starts, ends, parts, first, last)
         if not parts:
             continue
-        _add(found, parts, 0, len(parts) - 1)
+        n = len(parts)
+        if last_of_line[0] < n - 1:
+            _add(found, starts, ends, parts, 0, n - 1)
         j, words = 0, 0
-        for i in range(len(parts)):
-            while j < len(parts) and words < min_words:
+        for i in range(n):
+            while j < n and words < min_words:
                 words += counts[j]
                 j += 1
             if words < min_words:
                 break
             end = j - 1
-            if end <= last_of_line[i]:
-                _add(found, parts, i, end)
-            longer = words
-            while end + 1 < len(parts) and parts[end][2][-1] not in _ENDS and longer <= MAX_CHAIN:
-                end += 1
-                longer += counts[end]
-            if longer <= MAX_CHAIN:
-                _add(found, parts, i, end)
+            inside = end <= last_of_line[i]
+            if inside:
+                _add(found, starts, ends, parts, i, end)
+            longer, more = words, end
+            while more + 1 < n and parts[more][-1] not in _ENDS and longer <= MAX_CHAIN:
+                more += 1
+                longer += counts[more]
+            if longer <= MAX_CHAIN and not (inside and more == end):
+                _add(found, starts, ends, parts, i, more)
             words -= counts[i]
     for a, b, unit in _chunks(text, min_words):
         found.setdefault((a, b), unit)
-    for a, b in sorted(found, key=lambda place: place[0]):
-        yield a, b, found[a, b]
+    for (a, b), unit in sorted(found.items(), key=_start):
+        yield a, b, unit
 
 
-def _add(found: dict[tuple[int, int], str], parts: list[tuple[int, int, str]], i: int, j: int) -> None:
-    place = parts[i][0], parts[j][1]
+def _start(item: tuple[tuple[int, int], str]) -> int:
+    return item[0][0]
+
+
+def _add(found: dict[tuple[int, int], str], starts: list[int], ends: list[int], parts: list[str], i: int, j: int) -> None:
+    place = starts[i], ends[j]
     if place not in found:
-        unit = " ".join([p[2] for p in parts[i:j + 1]])
+        unit = " ".join(parts[i:j + 1]) if j > i else parts[i]
         if unit.strip(_ENDS):
             found[place] = unit
 
@@ -152,7 +170,11 @@ def _chunks(text: str, min_words: int) -> Iterator[tuple[int, int, str]]:
         behind = np.flatnonzero(after & ~same) + 1
     else:
         behind = []
-    cuts = np.unique(np.concatenate([[0], np.flatnonzero(pairs == 0), behind, [len(start)]])).astype(np.int64)
+    border = np.zeros(len(start) + 1, bool)
+    border[:-2] = pairs == 0
+    border[behind] = True
+    border[[0, len(start)]] = True
+    cuts = np.flatnonzero(border)
     to = np.searchsorted(cuts, cuts + min_words)
     some = to < len(cuts)
     first, last = start[cuts[some]], end[cuts[to[some]] - 1]
@@ -186,11 +208,11 @@ def _units(batches, min_words: int) -> Iterator[pa.RecordBatch]:
                  pa.array(digest, pa.binary())], ["id", "h", "start", "end", "digest"])
 
         for i, text in enumerate(texts):
-            for a, b, unit in units(text or "", min_words):
-                at.append(i)
-                start.append(a)
-                end.append(b)
-                digest.append(hashlib.blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+            found = list(units(text or "", min_words))
+            at += [i] * len(found)
+            start += [a for a, _, _ in found]
+            end += [b for _, b, _ in found]
+            digest += [blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=16).digest() for _, _, unit in found]
             if len(at) > 100_000:
                 yield flush()
                 at, start, end, digest = [], [], [], []

@@ -95,6 +95,16 @@ def test_units_cover_lines_and_sentence_runs():
     assert list(substring_dedup.units("")) == [] == list(substring_dedup.units(" \n\t.. \n"))
 
 
+def test_sentences_are_split_by_a_pattern_only_where_a_text_has_other_white_space(monkeypatch):
+    slow, calls = substring_dedup.normal, []
+    monkeypatch.setattr(substring_dedup, "normal", lambda text: calls.append(text) or slow(text))
+    plain = "One two\tthree. Four  five\x0bsix!\nSeven eight nine ten eleven. \u4e2d\u56fd\u3002\n\nA b"
+    assert {u for _, _, u in substring_dedup.units(plain)} >= {"one two three. four five six!", "a b"}
+    assert not calls
+    odd = "One\xa0two  three.\x1cFour\tfive"  # neither of the two signs separates words
+    assert [u for _, _, u in substring_dedup.units(odd)] == ["one\xa0two three.\x1cfour five"] and calls
+
+
 def test_short_lines_and_lines_without_blanks_are_units(spark, make_docs):
     chinese = "\u6211\u4eec\u6bcf\u5929\u90fd\u5728\u8fd9\u91cc\u5de5\u4f5c"
     rows = [(1, f"Share this\nown words of one\n{chinese}"), (2, f"share  THIS\nwords of two\n{chinese}\n..."),
