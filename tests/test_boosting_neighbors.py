@@ -94,6 +94,16 @@ def test_local_and_distributed_growth_give_the_same_trees(small):
     assert trees_of(models[0]) == trees_of(models[1]) == trees_of(models[2])
 
 
+def test_small_histograms_are_added_up_without_a_shuffle(small, monkeypatch):
+    df = small[0].where("id % 50 > 0")
+    est = B.HistGBTRegressor(maxIter=3, maxDepth=4, stepSize=0.3, minRows=3.0, localRows=40)
+    monkeypatch.setattr(B, "SUMS", 0, raising=False)
+    shuffled = trees_of(est.fit(df))
+    monkeypatch.undo()
+    monkeypatch.setattr(B, "_split_rows", None)
+    assert trees_of(est.fit(df)) == shuffled
+
+
 def test_patience_stops_like_a_loop(small):
     df = small[0]
     full = B.HistGBTRegressor(maxIter=25, maxDepth=5, stepSize=0.9, l2=0.0, validationCol="held").fit(df)
