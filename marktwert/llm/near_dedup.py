@@ -259,19 +259,20 @@ def _perhaps_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
             .where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns))
 
 
-def _in_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of ``nodes`` (each listed once): most others go before the
-    shuffle of the join.  An inner join, as a semi join is pushed below the filter."""
-    nodes = nodes.select("node")
-    return _perhaps_in(rows, nodes, "node").join(nodes, "node").select(*rows.columns)
+def _in_nodes(rows: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
+    """The rows of ``nodes`` (each listed once) with the columns ``more`` of their
+    node: most others go before the shuffle of the join.  An inner join, as a semi
+    join is pushed below the filter."""
+    nodes = nodes.select("node", *more)
+    return _perhaps_in(rows, nodes, "node").join(nodes, "node").select(*rows.columns, *more)
 
 
 def _walk(spark: SparkSession, recs: DataFrame, trees: tuple[int, ...], node_limit: int, deepest: int):
-    """Nodes level by level: (rows of small nodes, rows of the large ones, the
-    list of these with ``c`` and ``parts``, whether this level is the last).  Nodes with one label
-    are left out.  The rows of a level are recomputed from the classes (each
-    level is a filter on the list of large nodes and a branch), so what is
-    stored is a few numbers a node."""
+    """Nodes level by level: (rows of small nodes, the rows of the level by
+    schema, the list of large nodes with ``c`` and ``parts``, whether this level is
+    the last).  Nodes with one label are left out.  The rows of a level are branched
+    each time from those of the level above in its large nodes, which are moved and
+    stored once."""
     parents, roots = recs.select("n", "cid", "lab", "sig", "sketch"), trees
     for depth in range(1, deepest + 1):
         def rows(schema: str, parents=parents, roots=roots) -> DataFrame:
@@ -285,10 +286,10 @@ def _walk(spark: SparkSession, recs: DataFrame, trees: tuple[int, ...], node_lim
         if big.isEmpty():
             yield small, None, None, True
             return
-        onward = yield small, _in_nodes(rows(_LEAF), big), big, depth == deepest
+        onward = yield small, rows, big, depth == deepest
         if depth == deepest:
             return
-        parents = _in_nodes(rows(_TRACE), big if onward is None else onward)
+        parents = C.store(spark, _in_nodes(rows(_TRACE), big if onward is None else onward), "trace")
         roots = None
 
 
@@ -296,10 +297,11 @@ def _proposed(spark: SparkSession, recs: DataFrame, trees: tuple[int, ...], node
     """Pairs of classes with their proposed neighbours: at most two a class.
     Nodes that are still large at ``SPLIT_DEPTH`` are cut into chunks."""
     dealt = []
-    for small, large, big, last in _walk(spark, recs, trees, node_limit, SPLIT_DEPTH):
+    for small, rows, big, last in _walk(spark, recs, trees, node_limit, SPLIT_DEPTH):
         dealt.append(small.withColumn("part", F.lit(0).cast("long")).select(_columns("part")))
-        if last and large is not None:
-            dealt.append(large.join(big, "node").withColumn("part", _own_part(F.col("parts"))).select(_columns("part")))
+        if last and big is not None:
+            dealt.append(_in_nodes(rows(_LEAF), big, "parts").withColumn("part", _own_part(F.col("parts")))
+                         .select(_columns("part")))
     keys = ["node", "part"]
     found = _deal(_union(dealt), keys).mapInArrow(partial(_proposals, keys=keys), "cid long, best long, score long, hub long")
     best = found.groupBy("cid").agg(F.max(F.struct("score", "best")).alias("best"), F.min("hub").alias("hub"))
@@ -316,19 +318,20 @@ def _remaining(spark: SparkSession, recs: DataFrame, trees: int, node_limit: int
     walk = _walk(spark, recs, tuple(range(trees)), node_limit, MAX_DEPTH)
     step, depth = next(walk), 1
     while True:
-        small, large, big, last = step
+        small, level, big, last = step
         compared.append(small.select(_columns()))
-        if large is None:
+        if big is None:
             break
         # the heaviest label of each large node
-        heaviest = (large.groupBy("node", "lab").agg(F.count("*").alias("k")).groupBy("node")
+        heaviest = (_in_nodes(level(_COUNT), big).groupBy("node", "lab").agg(F.count("*").alias("k")).groupBy("node")
                     .agg(F.max(F.struct("k", "lab")).alias("t")))
         top = C.store(spark, big.join(heaviest, "node").select(
             "node", F.col("t.lab").alias("top"), (F.col("c") - F.col("t.k")).alias("rest"), "parts"), "top")
         every = F.sequence(zero, F.col("parts") - 1)
         uneven = F.col("rest") <= node_limit
         cells = ~uneven & ((F.col("parts") <= MAX_CELLS) & F.lit(depth >= SPLIT_DEPTH) | F.lit(last))
-        rows = large.join(top.where(uneven | cells), "node").withColumn("own", _own_part(F.col("parts")))
+        rows = _in_nodes(level(_LEAF), top.where(uneven | cells), "top", "rest", "parts").withColumn(
+            "own", _own_part(F.col("parts")))
         # one label outweighs the rest: the rest meets every chunk of that label
         chunks = (rows.where(uneven).withColumn("side", F.when(F.col("lab") == F.col("top"), 0).otherwise(1).cast("long"))
                   .withColumn("part", F.explode(F.when(F.col("side") == 0, F.array("own")).otherwise(every))))

@@ -159,3 +159,27 @@ def test_rows_of_large_nodes_without_a_similar_one_stay_behind():
 def test_small_table_has_all_documents(spark):
     docs = C.documents(spark, SMALL_SF)
     assert N.near_duplicates(spark, docs).count() == docs.count()
+
+
+def test_a_level_of_large_nodes_is_moved_once(spark, make_docs, monkeypatch):
+    """Near copies of one text, more than a node holds: the rows of a level are
+    joined to the list of large nodes once and stored, so the level below reads files."""
+    rng = random.Random(3)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    stored, plain = [], C.store
+
+    def store(spark, df, name, **options):
+        if name == "nodes" and stored[-1] in ("trace", "pairs"):
+            reads.append((stored[-1], [f for f in df.inputFiles() if "/trace-" in f]))
+        stored.append(name)
+        return plain(spark, df, name, **options)
+    reads = []
+    monkeypatch.setattr(C, "store", store)
+    got = result(N.near_duplicates(spark, make_docs(rows), shingle=2, node_limit=12))
+    assert got == expected(rows, 2)
+    below = [files for after, files in reads if after == "trace"]
+    assert below and all(below)
