@@ -13,8 +13,12 @@ A request matches listings of the same brand and model whose power lies in
 3. the exact band is a residual filter; sums over matched cells give count
    and mean.  The cheapest 10 rows of a request lie in the matched cells
    whose minimum price ranks within the first 10 (a cell ranked lower has 10
-   rows at or below its price ahead of it, ties kept), so only those cells'
-   top rows are expanded before the final ``row_number() <= 10``.
+   rows at or below its price ahead of it, ties kept).  The ranks are taken side
+   by side, as the sums are: first over the kilometres, once per power of a
+   (brand, model) and asked kilometre value, then over the powers of a request,
+   which so meets at most the first cells of each power.  Of the cell with rank
+   c only the first ``10 - c + 1`` rows are expanded (each cheaper cell has a
+   row ahead of them) before the final ``row_number() <= 10``.
 """
 
 from __future__ import annotations
@@ -57,12 +61,13 @@ def listing_cells(listings: DataFrame, k: int = C.SIMILAR_TOP_K):
     key = ["brand", "model", "powerPS", "kilometer"]
     cells = (listings.groupBy(*key)
                      .agg(F.count(F.lit(1)).alias("_n"), F.sum(cents("price")).alias("_cents"),
-                          F.min("price").alias("_minkey"))
+                          # as a struct a missing price counts as the least, as it ranks
+                          F.min(F.struct("price")).alias("_minkey"))
                      .withColumn("_pb", _bin(F.col("powerPS")))
                      .withColumn("_kb", _bin(F.col("kilometer"))))
     w = Window.partitionBy(*key).orderBy(*[F.col(c).asc() for c in TIE_ORDER])
     top = (listings.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-                   .select(*key, *[c for c in TIE_ORDER if c not in key]))
+                   .select(*key, *[c for c in TIE_ORDER if c not in key], "_r"))
     return cells, top
 
 
@@ -100,13 +105,22 @@ def similar_listings(listings: DataFrame, requests: DataFrame,
                      k: int = C.SIMILAR_TOP_K) -> DataFrame:
     """The ``k`` cheapest comparable listings per request."""
     cells, top = listing_cells(listings, k)
-    m = matched_cells(requests, cells).drop("_n", "_cents")
     # The k cheapest rows lie in the cells whose cheapest price ranks within
-    # the first k (``rank`` keeps every cell tied at the boundary): keep
-    # those cells, then expand their rows.
-    wc = Window.partitionBy(*REQ_KEY).orderBy("_minkey")
-    m = m.withColumn("_cr", F.rank().over(wc)).where(F.col("_cr") <= k).drop("_cr", "_minkey")
-    cand = m.join(top, ["brand", "model", "powerPS", "kilometer"])
+    # the first k (``rank`` keeps every cell tied at the boundary), in the strip
+    # of each power as in the whole band.
+    def first(cells: DataFrame, *key: str) -> DataFrame:
+        cheapest = F.rank().over(Window.partitionBy(*key).orderBy("_minkey"))
+        return cells.withColumn("_cr", cheapest).where(F.col("_cr") <= k)
+
+    kilometres = requests.select("brand", "model", "req_kilometer").distinct()
+    strip = ["brand", "model", "req_kilometer", "powerPS"]
+    strips = (first(_in_band(kilometres, cells, "kilometer", ["brand", "model"]), *strip)
+              .groupBy(*strip).agg(F.collect_list(F.struct("kilometer", "_minkey")).alias("_cells")))
+    m = _in_band(requests.select(*REQ_KEY), strips, "powerPS", ["brand", "model", "req_kilometer"])
+    m = first(m.select(*REQ_KEY, "powerPS", F.inline("_cells")), *REQ_KEY).drop("_minkey")
+    # c - 1 cells have a cheaper row, and r - 1 rows of its cell come before a row
+    cand = (m.join(top, ["brand", "model", "powerPS", "kilometer"]).where(F.col("_cr") + F.col("_r") <= k + 1)
+            .drop("_cr", "_r"))
     w = Window.partitionBy(*REQ_KEY).orderBy(*[F.col(c).asc() for c in TIE_ORDER])
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("brand", "model", "req_powerPS", "req_kilometer", "rank", *DISPLAY)

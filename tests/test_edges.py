@@ -229,3 +229,35 @@ def test_mean_keeps_fractions(spark):
     from marktwert.operators import market
     df = spark.createDataFrame([(1.9,), (2.9,), (None,)], "powerPS double")
     assert df.agg(market.mean_exact("powerPS")).first()[0] == 2.4
+
+
+def test_similar_listings_equal_a_plain_loop_with_few_cells_met(spark, monkeypatch):
+    """Ties, null prices and more cells than are kept: the ranked rows are those of
+    a plain loop, and each power of a request's band brings its first cells only."""
+    import random
+    from marktwert.operators import comparables
+    rng, rows = random.Random(4), []
+    for i in range(700):
+        rows.append(("b", "m" if i % 9 else "n", rng.choice([0.0, 40.0, 50.0, 60.0, 100.0]), float(rng.randrange(0, 60)) * 1000,
+                     rng.choice([None, 100.0, 200.0, 300.0 + i % 7]), "v", "f", 2000 + rng.randrange(3), "g", None))
+    names = ["brand", "model", "powerPS", "kilometer", "price", "vehicleType", "fuelType", "yearOfRegistration",
+             "gearbox", "notRepairedDamage"]
+    cars = spark.createDataFrame(rows, "brand string, model string, powerPS double, kilometer double, price double, "
+                                 "vehicleType string, fuelType string, yearOfRegistration int, gearbox string, notRepairedDamage string")
+    met, real = [], comparables._in_band
+    monkeypatch.setattr(comparables, "_in_band", lambda *a: met.append(real(*a)) or met[-1])
+    requests = comparables.distinct_requests(cars)
+    got: dict = {}
+    for r in comparables.similar_listings(cars, requests).collect():
+        got.setdefault((r.brand, r.model, r.req_powerPS, r.req_kilometer), []).append(
+            (r["rank"], r.price, r.powerPS, r.kilometer, r.yearOfRegistration))
+    at = {n: i for i, n in enumerate(names)}
+    want = {}
+    for b, m, p, k in {x[:4] for x in rows}:
+        like = [x for x in rows if x[:2] == (b, m) and p * 0.3 <= x[2] <= p * 1.3 and k * 0.3 <= x[3] <= k * 1.3]
+        like.sort(key=lambda x: [(x[at[c]] is not None, x[at[c]] or 0) for c in ("price", "powerPS", "kilometer", "yearOfRegistration")])
+        want[b, m, p, k] = [(i + 1, x[4], x[2], x[3], x[7]) for i, x in enumerate(like[:10])]
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    strips, pairs = met
+    direct = comparables.matched_cells(requests, comparables.listing_cells(cars)[0]).count()
+    assert strips.count() < direct and pairs.selectExpr("sum(size(_cells))").first()[0] < direct
