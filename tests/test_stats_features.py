@@ -272,3 +272,32 @@ def test_knn_symmetric_tie_is_shared(spark):
     test = spark.createDataFrame([("b", "m", 500.0, 100000.0, 7, 0.0)], schema)
     r = knn.knn_regress(train, test, ["powerPS", "kilometer", "age"], k=2).first()
     assert r.prediction == pytest.approx((1000.0 + (3000.0 + 7000.0) / 2) / 2, abs=1e-9)
+
+
+def test_knn_regress_reads_each_side_once_before_the_last_join(spark, tmp_path):
+    """Every read of a side leaves a file per partition."""
+    import uuid
+
+    from marktwert.operators import knn
+    rng = np.random.default_rng(12)
+
+    def side(name, n):
+        folder = tmp_path / name
+        folder.mkdir()
+        rows = [("b", f"m{i % 3}", float(a), float(b), float(p))
+                for i, (a, b, p) in enumerate(zip(rng.integers(0, 30, n), rng.normal(0, 9, n), rng.integers(1, 99, n)))]
+
+        def noted(batches, at=str(folder)):
+            open(f"{at}/{uuid.uuid4().hex}", "w").close()
+            yield from batches
+        schema = "brand string, model string, x double, y double, price double"
+        df = spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(noted, schema)
+        return rows, df, lambda: len(list(folder.iterdir()))
+    train_rows, train, train_reads = side("train", 400)
+    test_rows, test, test_reads = side("test", 60)
+    got = {(r["model"], r["x"], r["y"]): r["prediction"] for r in knn.knn_regress(train, test, ["x", "y"], k=4).collect()}
+    s = [np.std([r[i] for r in train_rows]) for i in (2, 3)]
+    scaled = [[(r[1], (r[2] / s[0], r[3] / s[1]), r[4]) for r in rows] for rows in (train_rows, test_rows)]
+    for row, want in zip(test_rows, knn.knn_brute(*scaled, 4)):
+        assert got[row[1], row[2], row[3]] == pytest.approx(want, abs=1e-6)
+    assert train_reads() == 1 and test_reads() == 2
