@@ -63,3 +63,30 @@ def test_rounds_equal_a_loop(spark, rows, rounds):
     if rounds == 3:  # the outliers no longer lift the trend
         worst = max(abs(r["fitted"] - (100 - 2 * r["x"])) for r in got if r["g"] == "a")
         assert worst < 25
+
+
+def test_medians_put_few_values_in_order(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(1, 40, 6000), np.round(rng.gamma(2.0, 900.0, 6000), 2)
+    df = spark.createDataFrame([("a", float(i), float(j)) for i, j in zip(x, y)], "g string, x double, y double")
+    whole, ordered = stats.ordered_prefix, []
+
+    def counted(rows, *args, **kw):
+        ordered.append(rows.count())
+        return whole(rows, *args, **kw)
+
+    monkeypatch.setattr(stats, "ordered_prefix", counted)
+    got = stats.lowess_trend(df, "x", "y", "g", grid=9, robust_rounds=1).collect()
+    _, fits = loop(x.astype(float), y, 9, 1)
+    assert [r["fitted"] for r in sorted(got, key=lambda r: r["point"])] == pytest.approx(fits.tolist(), abs=1e-5)
+    assert ordered and max(ordered) < 300
+
+
+@pytest.mark.parametrize("values", [
+    [0.0, 0.0, 0.0, 5.0], [0.0, 3.0], [1e-9, 1e9, 4.0], [2.0] * 5, [7.0], [1.0, 1.0, 2.0, 1e6],
+    [0.5, 100.0, 0.25, 1000.0, 0.125, 1e-300]])
+def test_group_median(spark, values):
+    rows = [(g, v, w) for g, w in (("a", 1), ("b", 3)) for v in values] + [("a", None, 1), ("none", None, 2)]
+    df = spark.createDataFrame(rows, "g string, v double, _n long")
+    got = {r["g"]: r["median"] for r in stats._group_median(df, "v", "g").collect()}
+    assert got == pytest.approx({"a": np.median(values), "b": np.median(values * 3)})
